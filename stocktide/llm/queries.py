@@ -4,25 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_count, token_store
+from . import chat, decontaminate, packing, quality, simhash, token_count, token_store, warc
 from .common import documents, fresh_path
 from .tokens import tokenizer_path
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    rows = rows.union(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
+    return chat.read_back(chat.format_trees(chat.linear_messages(rows)))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archive(spark, path)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     token_store.write_token_ids(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
     return token_store.digest(token_store.read_token_ids(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op7_token_counts, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_simhash, op5_chat_format, op6_decontamination, op7_token_counts, op8_warc, op10_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
