@@ -5,7 +5,7 @@ root: after k joins a path has up to 2^k messages, so a tree of depth d takes lo
 branches; they are ranked by their mean score (then by the least leaf) and each chosen branch becomes one conversation.
 
 Template: <|turn|>role<|text|>text<|end|> and a line feed. Inside roles and texts, control strings (this template's and those
-of common chat templates) get a backslash after their first character, and those that already have backslashes there one
+of common chat templates) get a backslash after their < or [, and those that already have backslashes there one
 more, which unescape() takes back. loss_starts and loss_ends are the code points of the trained roles' texts.
 
 Defined cases: a null role or text is empty; a reply to a message that is not there is a root; messages that reply to each other in
@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from .common import as_batch, written
 
 TRAINED = ("assistant",)
-_REST = r"(?:\||/?s>|/?INST\]|/?<?SYS>>|<SYS>>)"  # what follows the first character of a control string
+_REST = r"(?:\||/?s>|/?INST\]|/?SYS>>)"  # what follows the last < or [ of a control string
 _ESCAPE, _UNESCAPE = re.compile(rf"([<\[])(\\*)(?={_REST})"), re.compile(rf"([<\[])(\\*)\\(?={_REST})")
 _TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.S)
 
