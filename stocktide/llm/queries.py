@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, quality, simhash, token_count, token_store, warc
+from . import chat, decontaminate, packing, pii, quality, simhash, token_count, token_store, warc
 from .common import documents, fresh_path
 from .tokens import tokenizer_path
 
@@ -42,12 +42,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path)
 
 
+#: The key of the registered runs; an application passes a secret of its own.
+PII_KEY = "registered-query"
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.replace_in(docs, PII_KEY, count_col="n_replaced")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     token_store.write_token_ids(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
     return token_store.digest(token_store.read_token_ids(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_simhash, op5_chat_format, op6_decontamination, op7_token_counts, op8_warc, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_simhash, op5_chat_format, op6_decontamination, op7_token_counts, op8_warc, op9_pii_surrogates, op10_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
