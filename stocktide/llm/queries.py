@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, pii, quality, simhash, token_count, token_store, warc
+from . import chat, decontaminate, packing, pii, quality, simhash, suffix, token_count, token_store, warc
 from .common import documents, fresh_path
 from .tokens import tokenizer_path
 
@@ -17,6 +17,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -57,6 +61,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(token_store.read_token_ids(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_simhash, op5_chat_format, op6_decontamination, op7_token_counts, op8_warc, op9_pii_surrogates, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_suffix_dedup, op4_simhash, op5_chat_format, op6_decontamination, op7_token_counts, op8_warc, op9_pii_surrogates, op10_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
