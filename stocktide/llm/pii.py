@@ -164,8 +164,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     return made.groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "made"))), lambda x: x["made"]), " ").alias("made")).select("entity", F.concat(title, "made").alias("surrogate"))
 
 
-def replace_in(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """df with its texts' entities replaced; all columns kept. count_col: also the number of replacements."""
+def replace_in(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """df with its texts' entities replaced; all columns kept. count_col: also the number of replacements. length_col: a column
+    of df that holds the text's length in characters, set anew where the text changes."""
     found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
     counted = lambda d, n: d.withColumn(count_col, n) if count_col else d
     hit = df.where(F.col(text_col).rlike(PATTERN))
@@ -177,4 +178,6 @@ def replace_in(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     between = F.split(F.col(text_col), PATTERN, -1)
     new = F.array_join(F.zip_with(between, found, lambda p, f: F.concat(p, F.coalesce(F.element_at("_own", f), f, F.lit("")))), "")
     out = counted(joined, F.size(found)).withColumn(text_col, new).drop("_id", "_own")
+    if length_col:
+        out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
     return out.select(*clean.columns).unionByName(clean)
