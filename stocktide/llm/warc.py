@@ -81,7 +81,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
             if out:
                 yield as_batch(_CHUNKS, *zip(*out, strict=True))
 
-    rows.mapInArrow(run, CHUNKS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, CHUNKS).write.parquet(path)
 
 
 class RecordReader:
