@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from .common import as_batch, id_and_text, slices
 from .tokens import Encoder
 
+BROADCAST_PARTS = 100_000  # rows of the parts' totals, 16 bytes each, that are broadcast; more are joined by a shuffle
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -60,6 +61,8 @@ def read_token_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each part
     before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    if parts.count() <= BROADCAST_PARTS:
+        before = F.broadcast(before)
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")

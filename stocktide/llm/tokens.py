@@ -3,8 +3,9 @@
 Byte-pair merges never cross a pre-token, so ids of a text are the ids of its pre-tokens in order.
 
 * Byte-level vocabularies run on the tiktoken engine over the ranks of the same file.
-* Vocabularies with word ends cut the text with a compiled `re` pattern and keep the ids of each distinct pre-token; the
-  library encodes the unseen ones of a block of texts in one call. The cache has two generations, so it never exceeds 2 x CACHE.
+* Vocabularies with word ends drop white space, so the ids of each distinct word between white space are kept; a new word is
+  cut with a compiled `re` pattern and the same engine merges its pre-tokens, a word's end being the byte 0xFF, which no UTF-8
+  text has. The cache has two generations, so it never exceeds 2 x CACHE and one block's words.
 
 Both hold for letters and digits below U+0250 and some punctuation; a text with any other character, or with a special
 string, goes to the library whole.
@@ -15,14 +16,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE = 300_000  # entries of one cache generation, some 60 MB
+CACHE = 450_000  # entries of one cache generation, some 90 MB
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
+_END = b"\xff"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed: the contractions that both vocabularies were built with
 _WORDS = re.compile(rf"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _BYTE_LEVEL = rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
@@ -37,6 +40,27 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of words between white space, as bytes; a word that is not there is cut into pre-tokens and merged."""
+
+    def __init__(self, merge):
+        self.merge, self.old = merge, {}
+
+    def turn(self) -> None:
+        """Begins a new generation when this one is full."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            pieces = [word] if word.isalpha() else _WORDS.findall(word)
+            ids = array("I", self.merge(word.encode() + _END)).tobytes() if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """encode_many(texts) -> one array of uint32 ids a text."""
 
@@ -45,23 +69,22 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        import tiktoken
+
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        vocab = model["vocab"]
-        self.word_ends = model.get("end_of_word_suffix")
-        if self.word_ends:
-            self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(self.word_ends)]] = True
-            self.new: dict[str, bytes] = {}
-            self.old: dict[str, bytes] = {}
-        else:
-            import tiktoken
-
-            of = _byte_of_char()
-            ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if all(c in of for c in t)}
-            special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-            self.engine = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks={t: i for t, i in ranks.items() if i not in special.values()}, special_tokens={})
+        end, of = model.get("end_of_word_suffix"), _byte_of_char()
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        ranks = {}
+        for t, i in model["vocab"].items():
+            inner = t.removesuffix(end) if end else t
+            if t not in special and all(c in of for c in inner):
+                ranks[bytes(of[c] for c in inner) + (_END if inner != t else b"")] = i
+        engine = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.word_ends = bool(end)
+        self.one_piece, self.one_text = engine._encode_single_piece, engine.encode_to_numpy
+        self.words = _Words(self.one_piece)
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -73,39 +96,13 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts the pieces' ids into the newer generation; one call of the library encodes all that neither has."""
-        unseen = []
-        for p in pieces:
-            if (ids := self.old.get(p)) is not None:
-                self.new[p] = ids
-            else:
-                unseen.append(p)
-        ids = self._whole(" ".join(unseen)) if unseen else np.empty(0, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(unseen):
-            raw, at = ids.tobytes(), 0
-            for p, to in zip(unseen, (4 * cuts).tolist(), strict=True):
-                self.new[p] = raw[at:to]
-                at = to
-        else:
-            self.new |= {p: self._whole(p).tobytes() for p in unseen}
-
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if not self.word_ends:
-            one = self.engine.encode_to_numpy
+            one = self.one_text
             return [self._whole(t) if _UNSAFE.search(t) else one(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
-        cut = [None if _UNSAFE.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        pieces: set[str] = set()
-        for c in cut:
-            pieces.update(c or ())
-        pieces.difference_update(self.new)
-        if pieces:
-            self._learn(pieces)
-        new = self.new
-        return [self._whole(t) if c is None else np.frombuffer(b"".join([new[p] for p in c]), np.uint32) for t, c in zip(texts, cut, strict=True)]
+        self.words.turn()
+        of = self.words.__getitem__
+        return [self._whole(t) if _UNSAFE.search(t) else np.frombuffer(b"".join(map(of, t.lower().split())), np.uint32) for t in texts]
 
 
 def tokenizer_path(name: str) -> str:
