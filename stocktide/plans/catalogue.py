@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import q_forecast, q_panel  # noqa: F401
+from . import q_forecast, q_panel, q_stock, q_twin  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

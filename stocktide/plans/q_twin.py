@@ -1,0 +1,195 @@
+"""Simulation tables as queries: rows of the twin on the holdout, products being categories and stores states."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..config import SAFETY_MULTIPLIERS, SERVICE_GRID, TwinConfig
+from ..functions.exprs import lookup, r
+from ..operators import twin
+from ..operators.twin import Option, Shock
+from ..sources import retail
+from ..sources.store import materialised
+from .q_forecast import CFG, p1
+from .q_stock import safety, srows
+from .registry import query
+
+REPS = 50
+SCENARIOS = {
+    "event_spike": Shock(demand_scale=1.4, days=(7, 14)),
+    "supplier_delay": Shock(delay=7, replan_after=7),
+    "dc_cut": Shock(dc_factor=0.6, dc_days=(0, 14)),
+    "late_shipment": Shock(delay=10, delay_days=(0, 7)),
+}
+RESPONSES = {
+    "event_spike": {"planned": dict(planned=True), "prebuild": dict(prebuild_days=3, prebuild_until=14)},
+    "supplier_delay": {"expedite": dict(expedite_share=0.5, premium=0.25), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
+    "dc_cut": {"backup": dict(backup_share=0.5, premium=0.15), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
+    "late_shipment": {"expedite": dict(expedite_share=1.0, premium=0.25), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
+}
+REPORT = ("fill_rate", "in_stock_pct", "lost_sales_value", "inventory_value", "weeks_of_supply")
+
+
+def inputs(spark, sf) -> DataFrame:
+    """One row a series with its arrays."""
+    hi = F.broadcast(retail.bounds(spark, sf))
+    p = p1(spark, sf).crossJoin(hi)
+    in_order = lambda v: F.transform(F.sort_array(F.collect_list(F.struct("date", v))), lambda x: x[v])
+    history = p.where((F.col("date") > F.date_sub("hi", 56)) & (F.col("date") <= F.date_sub("hi", 28))).groupBy("series_id").agg(in_order("sales").alias("history"), F.try_divide(F.sum("revenue"), F.sum("sales")).alias("price"))
+    s = srows(spark, sf)
+    now = s.where("fold = 'holdout'").groupBy("series_id", "cat_id", "state_id").agg(in_order("forecast").alias("forecast"), in_order("actual").alias("actual"))
+    past = s.where("fold <> 'holdout'").groupBy("series_id").agg(in_order("actual").alias("past_actual"), in_order("forecast").alias("past_forecast"))
+    stock = safety(spark, sf).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "safety_stock"))), lambda x: x["safety_stock"]).alias("safety_by_service"))
+    j = now.join(past, "series_id").join(history, "series_id").join(stock, "series_id")
+    margin = lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)
+    price = F.coalesce("price", F.lit(1.0))
+    out = j.select(
+        F.col("cat_id").alias("product"), "series_id", F.col("cat_id").alias("category"), F.col("state_id").alias("store"), (F.row_number().over(W.orderBy("series_id")) - 1).alias("position"), "history", "forecast", "actual", "past_actual", "past_forecast",
+        F.element_at("safety_by_service", 4).alias("safety"), "safety_by_service", lookup(CFG.review_days, F.col("cat_id"), CFG.default_review).alias("review"), price.alias("price"), (price * (1 - margin)).alias("cost"), lookup(CFG.holding, F.col("cat_id"), CFG.default_holding).alias("holding"),
+    )
+    return materialised(out, "twin")
+
+
+def run(spark, sf, options: list[Option], cfg: TwinConfig = TwinConfig()) -> DataFrame:
+    return materialised(twin.simulate(inputs(spark, sf), options, cfg), "simulated")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query()
+def simulate_replay(spark, sf):
+    """KPIs of both policies on what was really sold."""
+    sim = run(spark, sf, [Option(p, policy=p, replay=True, seed=400) for p in twin.POLICIES])
+    return _rounded(twin.kpis(sim))
+
+
+@query()
+def simulate_futures(spark, sf):
+    """Bands of the network's KPIs over sampled futures."""
+    k = twin.kpis(run(spark, sf, [Option(p, policy=p, reps=REPS, seed=300) for p in twin.POLICIES]))
+    return _rounded(twin.band(twin.long_form(k, ["option"], twin.KPIS + twin.DC_KPIS), ["option", "metric"]))
+
+
+def _scoped(sim: DataFrame, metrics=REPORT) -> DataFrame:
+    network = twin.kpis(sim).withColumn("store", F.lit("all"))
+    both = network.select("option", "rep", "store", *metrics).unionByName(twin.kpis(sim, "store").select("option", "rep", "store", *metrics))
+    return twin.long_form(both, ["option", "store"], metrics)
+
+
+@query()
+def twin_validation(spark, sf):
+    """Predicted bands against the replay, for the network and each store."""
+    futures = [Option(p, policy=p, reps=REPS, seed=100) for p in twin.POLICIES]
+    replays = [Option(f"{p}|replay", policy=p, replay=True, seed=400) for p in twin.POLICIES]
+    values = _scoped(run(spark, sf, futures + replays))
+    predicted = twin.band(values.where(~F.col("option").endswith("|replay")), ["option", "store", "metric"])
+    real = values.where(F.col("option").endswith("|replay")).select(F.split_part("option", F.lit("|"), F.lit(1)).alias("option"), "store", "metric", F.col("value").alias("realised"))
+    j = predicted.join(real, ["option", "store", "metric"]).withColumnRenamed("mean", "predicted")
+    return _rounded(j.withColumn("in_band", F.col("realised").between(F.col("lower"), F.col("upper"))).withColumn("divergence", (F.col("predicted") - F.col("realised")) / F.greatest(F.abs("realised"), F.lit(1e-9))))
+
+
+@query()
+def twin_timeline(spark, sf):
+    sim = run(spark, sf, [Option("futures", reps=REPS, seed=300)]).where("kind = 'day'")
+    return _rounded(sim.groupBy("day", "store", "category").agg(F.sum("stock").alias("on_hand"), F.sum("demand").alias("demand"), F.sum("lost").alias("lost")))
+
+
+def _curve(spark, sf) -> DataFrame:
+    options = [Option(f"{p}|{m}", policy=p, replay=True, seed=400, safety_multiplier=m) for p in twin.POLICIES for m in SAFETY_MULTIPLIERS]
+    k = twin.kpis(run(spark, sf, options))
+    return k.select(F.split_part("option", F.lit("|"), F.lit(1)).alias("policy"), F.split_part("option", F.lit("|"), F.lit(2)).cast("double").alias("safety_multiplier"), *REPORT)
+
+
+@query()
+def twin_policy_curve(spark, sf):
+    return _rounded(_curve(spark, sf))
+
+
+@query()
+def equal_inventory(spark, sf):
+    """Current practice's fill rate at the inventory that the forecast policy holds at its standard safety stock."""
+    c = materialised(_curve(spark, sf), "curve")
+    standard = c.where("policy = 'forecast_reorder' and safety_multiplier = 1.0").select(F.col("inventory_value").alias("at"), F.col("fill_rate").alias("forecast_fill"))
+    return _rounded(twin.interpolate(c.where("policy = 'last_week_reorder'"), standard, "inventory_value", "fill_rate").select(F.col("at").alias("inventory_value"), F.col("forecast_fill"), F.col("value").alias("current_practice_fill")))
+
+
+@query()
+def twin_frontier(spark, sf):
+    """Cost of each service level and category under three assumptions on lost sales, paired with the current setting."""
+    options = [Option("current", reps=REPS, seed=500)] + [Option(str(q), reps=REPS, seed=500, service_index=i) for i, q in enumerate(SERVICE_GRID)]
+    k = twin.kpis(run(spark, sf, options), "category").select("option", "rep", "category", "lost_margin", "holding_cost", "inventory_value", "fill_rate")
+    scale = F.explode(F.array(*(F.struct(F.lit(n).alias("assumption"), F.lit(v).alias("scale")) for n, v in (("as_simulated", 1.0), ("calibrated", 0.6), ("partly_kept", 0.24)))))
+    c = k.select("*", scale.alias("x")).select("option", "rep", "category", "inventory_value", "fill_rate", "x.assumption", (F.col("lost_margin") * F.col("x.scale") + F.col("holding_cost")).alias("cost"))
+    now = c.where("option = 'current'").select("rep", "category", "assumption", F.col("cost").alias("current_cost"), F.col("inventory_value").alias("current_stock"))
+    j = c.join(now, ["rep", "category", "assumption"]).withColumn("saving", F.col("current_cost") - F.col("cost")).withColumn("stock_change", F.col("inventory_value") - F.col("current_stock"))
+    by = ["assumption", "category", "option"]
+    g = j.groupBy(*by).agg(F.avg("cost").alias("cost"), F.avg("fill_rate").alias("fill_rate"), F.avg("stock_change").alias("inventory_change")).join(twin.band(j, by, "saving", "saving"), by)
+    least = lambda ok: F.min(F.when((F.col("option") != "current") & ok, F.struct("cost", "option"))).over(W.partitionBy("assumption", "category"))["option"] == F.col("option")
+    g = g.withColumn("recommended", F.coalesce(least(F.lit(True)), F.lit(False))).withColumn("within_budget", F.coalesce(least(F.col("inventory_change") <= 0), F.lit(False)))
+    return _rounded(g.withColumn("clear_saving", F.col("saving_lower") > 0).withColumn("at_grid_edge", F.col("recommended") & F.col("option").isin(str(SERVICE_GRID[0]), str(SERVICE_GRID[-1]))))
+
+
+_NETWORK = REPORT + twin.DC_KPIS
+
+
+@query()
+def twin_stress(spark, sf):
+    """Each scenario against business as usual on the same futures, by policy; the cut also under the other rationing rules."""
+    options = []
+    for p in twin.POLICIES:
+        options += [Option(f"base|{p}|proportional", policy=p, reps=REPS, seed=500)] + [Option(f"{n}|{p}|proportional", policy=p, reps=REPS, seed=500, shock=s) for n, s in SCENARIOS.items()]
+    for mode in ("days_of_cover", "value"):
+        options += [Option(f"{n}|forecast_reorder|{mode}", reps=REPS, seed=500, rationing=mode, shock=s) for n, s in (("base", Shock()), ("dc_cut", SCENARIOS["dc_cut"]))]
+    v = twin.long_form(twin.kpis(run(spark, sf, options)), ["option"], _NETWORK)
+    part = lambda i: F.split_part("option", F.lit("|"), F.lit(i))
+    v = v.select(part(1).alias("scenario"), part(2).alias("policy"), part(3).alias("rationing"), "rep", "metric", "value")
+    by = ["policy", "rationing", "metric"]
+    d = twin.paired(v.where("scenario <> 'base'"), v.where("scenario = 'base'"), by)
+    keys = ["scenario", *by]
+    return _rounded(twin.band(d, keys, "base", "baseline").join(twin.band(d, keys, "value", "scenario_value"), keys).join(twin.band(d, keys, "delta", "delta"), keys))
+
+
+@query()
+def twin_responses(spark, sf):
+    """Each scenario without and with each response: lost margin recovered less what the response costs."""
+    options = [Option("base|", reps=REPS, seed=500)]
+    for n, s in SCENARIOS.items():
+        options.append(Option(f"{n}|none", reps=REPS, seed=500, shock=s))
+        options += [Option(f"{n}|{key}", reps=REPS, seed=500, shock=Shock(**{**s.__dict__, **x})) for key, x in RESPONSES[n].items()]
+    k = twin.kpis(run(spark, sf, options)).select(F.split_part("option", F.lit("|"), F.lit(1)).alias("scenario"), F.split_part("option", F.lit("|"), F.lit(2)).alias("response"), "rep", "lost_sales_value", "lost_margin", "dc_fill_rate", "response_cost", (F.col("holding_cost") + F.col("dc_holding_cost") + F.col("response_cost")).alias("total_cost"))
+    base = k.where("scenario = 'base'").select("rep", F.col("lost_sales_value").alias("usual_lost"))
+    none = k.where("response = 'none'").select("scenario", "rep", F.col("lost_margin").alias("none_margin"), F.col("total_cost").alias("none_cost"))
+    j = k.where("scenario <> 'base'").join(base, "rep").join(none, ["scenario", "rep"])
+    j = j.withColumn("added_lost_sales", F.col("lost_sales_value") - F.col("usual_lost")).withColumn("extra_cost", F.col("total_cost") - F.col("none_cost")).withColumn("net_benefit", F.col("none_margin") - F.col("lost_margin") - F.col("extra_cost"))
+    by = ["scenario", "response"]
+    out = j.groupBy(*by).agg(F.avg("dc_fill_rate").alias("dc_fill_rate"), F.avg("response_cost").alias("premium"))
+    for m in ("added_lost_sales", "extra_cost", "net_benefit"):
+        out = out.join(twin.band(j, by, m, m), by)
+    return _rounded(out)
+
+
+@query()
+def twin_exceptions(spark, sf):
+    """The series most likely to run out within a week, by what that costs: a report of 500 at most."""
+    rows = run(spark, sf, [Option("futures", reps=REPS, seed=700)]).where("kind = 'row'")
+    g = rows.groupBy("series_id", "category", "store").agg(F.avg("early_lost").alias("expected_lost_units"), F.avg((F.col("early_lost") > 0).cast("double")).alias("stockout_probability"), F.avg(F.col("early_lost") * F.col("price")).alias("expected_lost_value"))
+    return _rounded(g.orderBy(F.desc("expected_lost_value"), "series_id").limit(500))
+
+
+@query()
+def inventory_health(spark, sf):
+    """Weeks of supply, turns, return on inventory and lost share, from the replay."""
+    sim = run(spark, sf, [Option("replay", replay=True, seed=400)])
+    dc = sim.where("kind = 'dc'").groupBy("category").agg(F.sum("dc_stock").alias("dc_inventory_value"))
+    cols = ["sales_value", "margin_value", "lost_sales_value", "inventory_value", "fill_rate", "in_stock_pct", "days"]
+    by_cat = twin.kpis(sim, "category").select(F.col("category").alias("group"), *cols).join(dc.withColumnRenamed("category", "group"), "group")
+    whole = twin.kpis(sim).select(F.lit("all").alias("group"), *cols, "dc_inventory_value")
+    k = by_cat.unionByName(whole)
+    cogs = (F.col("sales_value") - F.col("margin_value")) / F.col("days") * 7
+    stock = F.col("inventory_value") + F.col("dc_inventory_value")
+    safe = lambda c: F.greatest(c, F.lit(1e-9))
+    return _rounded(k.select("group", "fill_rate", "in_stock_pct", "sales_value", "lost_sales_value", (F.col("lost_sales_value") / safe(F.col("sales_value") + F.col("lost_sales_value"))).alias("lost_share"), F.col("inventory_value").alias("store_inventory_value"), "dc_inventory_value", (stock / safe(cogs)).alias("weeks_of_supply"), (cogs * 52 / safe(stock)).alias("turns"), (F.col("margin_value") / F.col("days") * 365 / safe(stock)).alias("gmroi")))
