@@ -36,6 +36,8 @@ class WholeTokenCounter:
         words = [s[1:].replace(MARK, " ") for s in strings if s.startswith(MARK) and len(s) > 1]
         #: Proved offline: " word" -> 1 where the library gives one token for the word alone (it adds the leading mark itself).
         self.proved = {" " + w: 1 for w, ids in zip(words, self.library.encode(words, num_threads=1), strict=True) if len(ids) == 1}
+        #: A lone space ends a text; alone it would be no text, so it is counted as what it adds.
+        self.proved[" "] = len(self.library.encode("a ")) - len(self.library.encode("a"))
         self.new: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
