@@ -33,7 +33,7 @@ from .common import as_batch, id_and_text
 LENGTH = 100
 K = 40
 BATCH = 4 << 20
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _LAST = np.iinfo(np.int64).max  # a null id
 _U = np.uint64
 NEW, EARLIER, FORKED = 0, 1, 2
@@ -240,7 +240,7 @@ def _deal(batch: int, entries: tuple[np.ndarray, ...], buckets: int) -> pa.Table
     """Entries, sorted by key, cut into buckets of equal key ranges."""
     of = ((entries[0] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-    cut = lambda x: [x[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(of)], strict=True)]
+    cut = lambda x: [x[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(of)][: len(edge)], strict=True)]
     return pa.Table.from_batches([as_batch(_SENT, of[edge], np.full(len(edge), batch), *map(cut, entries))])
 
 
