@@ -25,6 +25,8 @@ from .graph import components
 
 SEED = 42
 NODE = 2000  # fingerprints in a node of the depth at which tasks begin, on average
+HEAVY = 100_000  # fingerprints that a node may hold before it is dealt again further down
+DEEPER = 10  # bits
 _BLOCK = 1 << 16
 
 
@@ -126,16 +128,29 @@ def least_labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.n
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def links(distinct: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
-    """(a, b): trees that connect exactly the fingerprints (column fp, distinct) that chains of pairs within budget connect."""
-    n, depth = distinct.count(), 0
-    while depth < 20 and n > node << depth:
-        depth += 1
-    near = [sum(1 << k for k in bits) for n_bits in range(budget + 1) for bits in combinations(range(depth), n_bits)]
-    masks = F.array(*(F.lit(m).cast("long") for m in sorted(near)))
+def links(distinct: DataFrame, budget: int = 2, node: int = NODE, heavy: int = HEAVY, depth: int | None = None) -> DataFrame:
+    """(a, b): trees that connect exactly the fingerprints (column fp, distinct) that chains of pairs within budget connect.
+
+    Where near copies crowd a node beyond `heavy` fingerprints, its pairs are not made at this depth: its fingerprints and those
+    of the nodes near it are dealt again DEEPER bits further down, until no node is crowded.
+    """
+    if depth is None:
+        n, depth = distinct.count(), 0
+        while depth < 20 and n > node << depth:
+            depth += 1
+    masks = [sum(1 << k for k in bits) for size in range(budget + 1) for bits in combinations(range(depth), size)]
+    near = F.array(*(F.lit(m).cast("long") for m in masks))
     prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    dealt = distinct.select("fp", prefix.alias("p")).select("fp", "p", F.explode(masks).alias("m")).select("fp", "p", F.col("p").bitwiseXOR(F.col("m")).alias("q"))
+    placed = distinct.select("fp", prefix.alias("p"))
+    dealt = placed.select("fp", "p", F.explode(near).alias("m")).select("fp", "p", F.col("p").bitwiseXOR(F.col("m")).alias("q"))
     dealt = dealt.select("fp", F.least("p", "q").alias("left"), F.greatest("p", "q").alias("right"))
+    below = None
+    if depth + DEEPER <= 60:
+        crowded = written(placed.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("p"), "crowded")
+        if crowded.limit(1).count():
+            around = crowded.select(F.explode(near).alias("m"), "p").select(F.col("p").bitwiseXOR(F.col("m")).alias("p")).distinct()
+            below = links(written(placed.join(around, "p", "left_semi").select("fp"), "around"), budget, node, heavy, depth + DEEPER)
+            dealt = dealt.join(crowded.withColumnRenamed("p", "left"), "left", "left_anti").join(crowded.withColumnRenamed("p", "right"), "right", "left_anti")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         left, right = (k.as_py() for k in key)
@@ -148,7 +163,8 @@ def links(distinct: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(fps)))
         return pa.Table.from_batches([as_batch(_LINKS, fps[moved].view(np.int64), fps[label[moved]].view(np.int64))])
 
-    return dealt.groupBy("left", "right").applyInArrow(run, "a long, b long")
+    found = dealt.groupBy("left", "right").applyInArrow(run, "a long, b long")
+    return found if below is None else found.unionByName(below)
 
 
 def near_duplicates(df: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
