@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import as_batch, id_and_text, slices
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.07
 MIN_CHARS = 24
 BLOCK_CHARS = 4 << 20
 _GAP = re.compile(r"[\W_]+")
