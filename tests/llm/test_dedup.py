@@ -139,12 +139,12 @@ def brute_components(values, budget=2):
     return [find(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("node", [4000, 40])
-def test_links_join_what_chains_join(spark, node):
+@pytest.mark.parametrize("node, heavy", [(4000, 100_000), (40, 100_000), (200, 100)])
+def test_links_join_what_chains_join(spark, node, heavy):
     x = _ball(4, 300)
     signed = [int(v) for v in x.view(np.int64)]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    root = {r.node: r.root for r in components(simhash.links(df, 2, node)).collect()}
+    root = {r.node: r.root for r in components(simhash.links(df, 2, node, heavy)).collect()}
     want = brute_components([int(v) for v in x])
     groups, got = {}, {}
     for v, w in zip(signed, want):
