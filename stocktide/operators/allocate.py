@@ -44,7 +44,7 @@ def pro_rata(nodes: DataFrame, by: list[str], supply: Column) -> DataFrame:
 def longest_short_runs(fill: DataFrame, floor: float, max_weeks: int) -> DataFrame:
     """fill: node, period, fill_rate. Nodes under the floor for more than max_weeks in a row, with the longest such run."""
     w = W.partitionBy("node").orderBy("period")
-    f = fill.withColumn("short", F.col("fill_rate") < floor - 1e-9)
+    f = fill.withColumn("short", F.coalesce(F.col("fill_rate") < floor - 1e-9, F.lit(False)))  # an unknown rate ends a run
     f = f.withColumn("island", F.count_if(~F.col("short")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     runs = f.where("short").groupBy("node", "island").agg(F.count("*").alias("n")).groupBy("node").agg(F.max("n").alias("longest_short_run"))
     return runs.where(F.col("longest_short_run") > max_weeks)

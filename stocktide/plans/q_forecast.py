@@ -153,7 +153,7 @@ def event_accuracy(spark, sf):
 
 define("wk", "SELECT fold, method, series_id, (step - 1) // 7 AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM fca GROUP BY ALL")
 define("sig", "SELECT method, series_id, coalesce(CASE WHEN stddev_samp(actual - forecast) > 0 THEN avg(actual - forecast) * sqrt(count(*)) / stddev_samp(actual - forecast) ELSE 0 END, 0) AS tracking_signal, avg(actual - forecast) AS per_week, avg(actual) AS ma, avg(forecast) AS mf FROM wk WHERE fold <> 'holdout' GROUP BY ALL")
-define("uprice", "SELECT series_id, sum(revenue) / nullif(sum(sales), 0) AS unit_price FROM p1 CROSS JOIN bounds WHERE date > hi - 28 GROUP BY 1")
+define("uprice", "SELECT series_id, coalesce(sum(revenue) / nullif(sum(sales), 0), 1) AS unit_price FROM p1 CROSS JOIN bounds WHERE date > hi - 28 GROUP BY 1")
 
 
 def weeks(spark, sf):
@@ -172,22 +172,22 @@ def tracking_signal(spark, sf):
 @query("SELECT series_id, round(tracking_signal, 4) AS tracking_signal, round(-per_week, 4) AS bias_units_per_week, CASE WHEN tracking_signal > 0 THEN 'under-forecast' ELSE 'over-forecast' END AS direction, round(abs(per_week) * unit_price, 2) AS weekly_impact FROM sig JOIN uprice USING (series_id) WHERE method = 'seasonal_naive' AND abs(tracking_signal) > 0.5 ORDER BY abs(per_week) * unit_price DESC, series_id LIMIT 200")
 def bias_exceptions(spark, sf):
     """A report of 200 rows at most; the threshold is low because the test series are stationary."""
-    price = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg((F.sum("revenue") / F.sum("sales")).alias("unit_price"))
+    price = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("unit_price"))
     out = metrics.bias_exceptions(signals(spark, sf).where("method = 'seasonal_naive'"), price, threshold=0.5)
     return out.withColumns({"tracking_signal": r("tracking_signal"), "bias_units_per_week": r("bias_units_per_week"), "weekly_impact": r("weekly_impact", 2)})
 
 
-define("corr", "SELECT series_id, abs(tracking_signal) > 1 AS flagged, CASE WHEN abs(tracking_signal) > 1 THEN least(greatest(1 + 0.5 * (CASE WHEN mf > 0 THEN ma / mf ELSE 1 END - 1), 0.6), 1.6) ELSE 1 END AS multiplier FROM sig WHERE method = 'naive'")
+define("corr", "SELECT series_id, abs(tracking_signal) > 0.9375 AS flagged, CASE WHEN abs(tracking_signal) > 0.9375 THEN least(greatest(1 + 0.5 * (CASE WHEN mf > 0 THEN ma / mf ELSE 1 END - 1), 0.6), 1.6) ELSE 1 END AS multiplier FROM sig WHERE method = 'naive'")
 
 
 @query("SELECT series_id, flagged, round(multiplier, 6) AS multiplier FROM corr")
 def bias_correction(spark, sf):
-    return metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=1.0).withColumn("multiplier", r("multiplier", 6))
+    return metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=0.9375).withColumn("multiplier", r("multiplier", 6))
 
 
 @query("SELECT scope, round(sum(abs(actual - forecast)) / sum(actual), 6) AS base_wmape, round(sum(abs(actual - forecast * multiplier)) / sum(actual), 6) AS adjusted_wmape, count(*) AS n, round(sum(abs(actual - forecast)) / sum(actual) - sum(abs(actual - forecast * multiplier)) / sum(actual), 6) AS fva FROM fca JOIN corr USING (series_id) CROSS JOIN (VALUES ('all'), ('flagged')) t(scope) WHERE method = 'naive' AND fold = 'holdout' AND (scope = 'all' OR flagged) GROUP BY 1")
 def forecast_value_added(spark, sf):
-    c = metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=1.0)
+    c = metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=0.9375)
     rows = fca(spark, sf).where("method = 'naive' and fold = 'holdout'").join(c, "series_id").withColumn("adjusted", F.col("forecast") * F.col("multiplier"))
     scoped = rows.withColumn("scope", F.explode(F.when(F.col("flagged"), F.array(F.lit("all"), F.lit("flagged"))).otherwise(F.array(F.lit("all")))))
     return metrics.value_added(scoped, ["scope"]).select("scope", r("base_wmape", 6).alias("base_wmape"), r("adjusted_wmape", 6).alias("adjusted_wmape"), "n", r("fva", 6).alias("fva"))

@@ -88,7 +88,7 @@ def seasonal_regression(spark, sf):
 
 
 define("omse", "SELECT node, avg((a - f) ** 2) AS mse FROM (SELECT node, date, sum(actual) AS a, sum(forecast) AS f FROM (SELECT unnest([cat_id || '|' || state_id, state_id, 'total']) AS node, date, actual, forecast FROM fca WHERE method = 'seasonal_naive' AND fold = 'backtest_3') GROUP BY ALL) GROUP BY 1")
-define("obase", "SELECT b.node, parent, level, step, y, coalesce(mse, w) AS w FROM nbase b LEFT JOIN omse o ON o.node = b.node")
+define("obase", "SELECT b.node, parent, level, step, y, greatest(coalesce(mse, w), 1e-9) AS w FROM nbase b LEFT JOIN omse o ON o.node = b.node")
 define("ou3", "SELECT node, parent, step, y AS m, w AS v FROM obase WHERE level = 3")
 for _k in (2, 1, 0):
     define(f"os{_k}", f"SELECT parent AS node, step, sum(m) AS sm, sum(v) AS sv FROM ou{_k + 1} GROUP BY ALL")

@@ -189,7 +189,7 @@ define("alp", "SELECT node, forecast, held, scenarios, flo + coalesce(take, 0) A
 
 def alloc_nodes(spark, sf):
     p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))
-    price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg((F.sum("revenue") / F.sum("sales")).alias("unit_price"))
+    price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("unit_price"))
     held = p.where(F.col("date") == F.date_sub("hi", 28)).select("series_id", F.col("sales").alias("held"))
     n = scen(spark, sf).join(price, "series_id").join(held, "series_id")
     return n.select(F.lit("next").alias("run"), F.col("series_id").alias("node"), "forecast", (F.col("unit_price") * lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)).alias("weight"), "held", "scenarios")
@@ -236,16 +236,16 @@ def carried(spark, sf, policy: str):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-@query("SELECT week, round(sum(allocated), 4) AS allocated, round(sum(least(actual, held + allocated)) / sum(actual), 6) AS fill_rate, sum(actual) AS demand FROM pwall GROUP BY 1")
+@query("SELECT week, round(sum(allocated), 4) AS allocated, round(sum(least(actual, held + allocated)) / nullif(sum(actual), 0), 6) AS fill_rate, sum(actual) AS demand FROM pwall GROUP BY 1")
 def allocation_backtest_pro_rata(spark, sf):
     c = carried(spark, sf, "pro_rata")
-    return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))) / F.sum("actual"), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
+    return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.try_divide(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))), F.sum("actual")), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
 
 
 @query()
 def allocation_backtest_lp(spark, sf):
     c = carried(spark, sf, "lp")
-    return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))) / F.sum("actual"), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
+    return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.try_divide(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))), F.sum("actual")), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
 
 
 @query("SELECT node, week, round(least(actual, held + allocated) / nullif(actual, 0), 6) AS fill_rate FROM pwall")
@@ -256,7 +256,7 @@ def allocation_node_fill(spark, sf):
 @query("SELECT node, max(n)::BIGINT AS longest_short_run FROM (SELECT node, island, count(*) AS n FROM (SELECT *, week - row_number() OVER (PARTITION BY node ORDER BY week) AS island FROM (SELECT node, week FROM pwall WHERE least(actual, held + allocated) / nullif(actual, 0) < 0.9 - 1e-9)) GROUP BY ALL) GROUP BY 1 HAVING max(n) > 1")
 def fairness_runs(spark, sf):
     fill = carried(spark, sf, "pro_rata").select("node", F.col("week").alias("period"), F.try_divide(F.least(F.col("actual"), F.col("held") + F.col("allocated")), F.col("actual")).alias("fill_rate"))
-    return al.longest_short_runs(fill.where("fill_rate is not null"), 0.9, 1)
+    return al.longest_short_runs(fill, 0.9, 1)
 
 
 define("ords", "SELECT cat_id AS product, w.series_id AS row, w.forecast AS quantity, 0.7 * sum(w.forecast) OVER (PARTITION BY cat_id) AS available, held / greatest(w.forecast / 7, 0.001) AS cover, unit_price AS value FROM wkpoint w JOIN (SELECT node AS series_id, held FROM anodes) USING (series_id) JOIN uprice USING (series_id)")
@@ -264,7 +264,7 @@ define("ords", "SELECT cat_id AS product, w.series_id AS row, w.forecast AS quan
 
 def orders(spark, sf):
     p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))
-    price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg((F.sum("revenue") / F.sum("sales")).alias("value"))
+    price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("value"))
     held = p.where(F.col("date") == F.date_sub("hi", 28)).select("series_id", F.col("sales").alias("held"))
     o = week_points(spark, sf).join(price, "series_id").join(held, "series_id")
     return o.select(F.col("cat_id").alias("product"), F.col("series_id").alias("row"), F.col("forecast").alias("quantity"), (0.7 * F.sum("forecast").over(W.partitionBy("cat_id"))).alias("available"), (F.col("held") / F.greatest(F.col("forecast") / 7, F.lit(0.001))).alias("cover"), "value")
