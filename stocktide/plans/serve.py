@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections import OrderedDict
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import exists, read_gold
+from ..config import SERVICE_GRID
+from ..operators import twin
+from ..operators.twin import Option, Shock
+from ..sources.store import exists, materialised, read_gold
 
 METRIC_TABLES = ("model_metrics", "reconciliation_metrics", "interval_coverage", "allocation_backtest", "drift")
 TABLES = ("twin_validation", "twin_timeline", "twin_frontier", "twin_policy_curve", "twin_stress", "twin_responses", "inventory_health", "twin_exceptions", "planning_cycle", "decision_accuracy", "weekday_bias", "event_accuracy", "override_fva", "bias_exceptions", "probable_stockouts", "interval_coverage_segment", "allocation_node_fill", "twin_frontier_speed")
@@ -57,3 +64,48 @@ class Service:
         if name not in TABLES:
             raise ValueError(f"table must be one of {TABLES}")
         return self._page(name, {}, limit, offset)
+
+
+_answers: OrderedDict[str, DataFrame] = OrderedDict()
+ANSWERS, MAX_REPS = 64, 50
+_SCENARIO = {f.name for f in fields(Shock)}
+
+
+def simulate(spark: SparkSession, sf_dir: str, request: dict) -> DataFrame:
+    """KPI bands of a baseline and, if asked for, a scenario on common random numbers.
+
+    request: policy, reps (1 to 50), service_level (one of the grid) or none, rationing, seed, scenario (fields of Shock). A bad value
+    is a ValueError. The last 64 answers are kept, as tables in the shared folder.
+    """
+    unknown = set(request) - {"policy", "reps", "service_level", "rationing", "seed", "scenario"}
+    if unknown or set(request.get("scenario") or {}) - _SCENARIO:
+        raise ValueError(f"unknown fields: {sorted(unknown | set(request.get('scenario') or {}) - _SCENARIO)}")
+    reps, level = request.get("reps", 20), request.get("service_level")
+    if not 1 <= reps <= MAX_REPS or level is not None and level not in SERVICE_GRID:
+        raise ValueError(f"reps must be 1 to {MAX_REPS} and service_level one of {SERVICE_GRID}")
+    key = json.dumps([sf_dir, spark.sparkContext.applicationId, request], sort_keys=True)
+    if key in _answers:
+        _answers.move_to_end(key)
+        return _answers[key]
+    from .q_twin import run
+
+    base = Option("baseline", policy=request.get("policy", "forecast_reorder"), reps=reps, seed=request.get("seed", 1), rationing=request.get("rationing", "proportional"), service_index=-1 if level is None else SERVICE_GRID.index(level))
+    options = [base]
+    if request.get("scenario"):
+        options.append(twin.with_options(base, name="scenario", shock=Shock(**{k: tuple(v) if isinstance(v, list) else v for k, v in request["scenario"].items()})))
+    k = twin.long_form(twin.kpis(run(spark, sf_dir, options)), ["option"], twin.KPIS + twin.DC_KPIS)
+    _answers[key] = materialised(twin.band(k, ["option", "metric"]), "answer")
+    if len(_answers) > ANSWERS:
+        _answers.popitem(last=False)
+    return _answers[key]
+
+
+def write_bundle(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The twin's inputs, one row a series with its arrays, replacing any older bundle."""
+    from .q_twin import inputs
+
+    inputs(spark, sf_dir).write.mode("overwrite").parquet(path)
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -84,3 +84,11 @@ def test_stream_equals_batch(spark, sf):
     got = limits.drain(limits.sliding_counts(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")), "sliding")
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert got.agg(F.sum("n")).first()[0] == 2 * n
+
+
+def test_what_if_requests_are_checked(spark, sf):
+    for bad in ({"reps": 51}, {"service_level": 0.5}, {"colour": 1}, {"scenario": {"rain": 1}}, {"policy": "guess"}):
+        with pytest.raises(ValueError):
+            serve.simulate(spark, sf, bad)
+    ask = {"reps": 2, "scenario": {"dc_factor": 0.5, "dc_days": [0, 7]}}
+    assert serve.simulate(spark, sf, ask) is serve.simulate(spark, sf, dict(ask)) and serve.simulate(spark, sf, ask).count() == 34
