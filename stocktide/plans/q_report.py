@@ -24,7 +24,7 @@ def policy_pairing(spark, sf):
     return p.withColumn("won", F.col("naive") > F.col("seasonal_naive"))
 
 
-@query("SELECT state_id, cat_id, round(w, 6) AS wmape, round(w - min(w) OVER (PARTITION BY state_id), 6) AS gap_to_best FROM (SELECT state_id, cat_id, sum(abs(actual - forecast)) / sum(actual) AS w FROM fca WHERE fold = 'holdout' AND method = 'seasonal_naive' GROUP BY ALL)")
+@query("SELECT state_id, cat_id, round(w, 6) AS wmape, round(w - min(w) OVER (PARTITION BY state_id), 6) AS gap_to_best FROM (SELECT state_id, cat_id, coalesce(sum(abs(actual - forecast)) / nullif(sum(actual), 0), 0) AS w FROM fca WHERE fold = 'holdout' AND method = 'seasonal_naive' GROUP BY ALL)")
 def heat_map(spark, sf):
     """Error by state and category with each row's gap to the state's best."""
     g = fca(spark, sf).where("fold = 'holdout' and method = 'seasonal_naive'").groupBy("state_id", "cat_id").agg(wmape("actual", "forecast").alias("w"))
