@@ -60,6 +60,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """messages: tree, node, parent, score. Returns tree, leaf, branch (1: the best), path (array of nodes from the root)."""
+    messages = messages.select("tree", "node", "parent", "score")
     known = messages.select("tree", F.col("node").alias("parent"))
     here = messages.join(known.distinct().withColumn("_there", F.lit(True)), ["tree", "parent"], "left")
     seg = here.select("tree", "node", F.when(F.col("_there"), F.col("parent")).alias("top"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
@@ -98,7 +99,7 @@ def format_trees(messages: DataFrame, top_k: int = 1, trained: tuple[str, ...] =
 
 
 def linear_messages(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows ordered by turn (ties by role, then text) as trees without forks: each replies to the one before."""
+    """Rows ordered by turn (ties by role, then text) as trees without forks: each replies to the one before; rows without an id belong to no conversation."""
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
     base = rows.select(F.col(id_col).cast("long").alias("tree"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).where("tree is not null")
     return base.withColumn("node", F.row_number().over(order).cast("long")).select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")

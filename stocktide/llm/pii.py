@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 ATTEMPTS = 12
 
@@ -177,13 +177,14 @@ def replace_in(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     counted = lambda d, n: d.withColumn(count_col, n) if count_col else d
     hit = df.where(_has_entity(F.col(text_col)))
     clean = counted(df.where(~_has_entity(F.col(text_col))), F.lit(0))
-    pairs = written(hit.select(F.col(id_col).cast("long").alias("_id"), F.explode(F.array_distinct(found)).alias("entity")), "entities")
+    of, own_map = free_name(df, "_id"), free_name(df, "_own")
+    pairs = written(hit.select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_distinct(found)).alias("entity")), "entities")
     table = surrogates(pairs.select("entity").distinct(), key)
-    own = pairs.distinct().join(table, "entity").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_own"))
-    joined = hit.join(own, hit[id_col].cast("long").eqNullSafe(own["_id"]), "left")
+    own = pairs.distinct().join(table, "entity").groupBy(F.col("id").alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(own_map))
+    joined = hit.join(own, F.col(id_col).cast("long").eqNullSafe(F.col(of)), "left")
     between = F.split(F.col(text_col), PATTERN, -1)
-    new = F.array_join(F.zip_with(between, found, lambda p, f: F.concat(p, F.coalesce(F.element_at("_own", f), f, F.lit("")))), "")
-    out = counted(joined, F.size(found)).withColumn(text_col, new).drop("_id", "_own")
+    new = F.array_join(F.zip_with(between, found, lambda p, f: F.concat(p, F.coalesce(F.element_at(own_map, f), f, F.lit("")))), "")
+    out = counted(joined, F.size(found)).withColumn(text_col, new).drop(of, own_map)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType))
     return out.select(*clean.columns).unionByName(clean)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, slices, written
+from .common import as_batch, free_name, id_and_text, slices, written
 from .graph import components
 
 SEED = 42
@@ -181,7 +181,8 @@ def near_duplicates(df: DataFrame, budget: int = 2, id_col: str = "doc_id", text
 def keep_one(df: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay: of each component the one with the least id, once; rows without an id all stay."""
     found = near_duplicates(df, budget, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    name = free_name(df, "_stay")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     with_id = df.where(F.col(id_col).isNotNull())
-    kept = with_id.join(stay, with_id[id_col].cast("long") == stay["_stay"], "left_semi").dropDuplicates([id_col])
+    kept = with_id.join(stay, F.col(id_col).cast("long") == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))

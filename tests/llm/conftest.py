@@ -5,10 +5,10 @@ DOC = "doc_id long, text string"
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """Makes a documents-like table, with a column whose name an operator might want, from (doc_id, text) rows."""
+    """Makes a documents-like table, with columns whose names an operator might want, from (doc_id, text) rows."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, f"x{k}", 7) for k, (i, t) in enumerate(rows)], DOC + ", fp string, ids long")
+        return spark.createDataFrame([(i, t, f"x{k}", 7, "a", "b", 1, "c", 2.0) for k, (i, t) in enumerate(rows)], DOC + ", fp string, ids long, _id string, _own string, quality int, _stay string, batch double")
 
     return make
 
