@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.exprs import bias, lookup, r, wmape
-from ..operators import drift, forecast, metrics, reconcile, stockouts
+from ..operators import drift, forecast, metrics, reconcile
 from ..sources import retail
 from ..sources.store import materialised
-from ..sources.retail import P1, P2
+from ..sources.retail import P1
 from .q_panel import p2
 from .registry import define, query
 
