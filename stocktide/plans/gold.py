@@ -27,6 +27,15 @@ def forecasts(spark: SparkSession, sf_dir: str):
     return QUERIES["mint_oos"](spark, sf_dir).select(F.col("node").alias("series_id"), "level", F.lit("mint_oos").alias("method"), "step", "forecast", F.lit(True).alias("served"))
 
 
+def summary(spark: SparkSession, sf_dir: str) -> dict:
+    """What was selected and how good it is, as nested values."""
+    rows = lambda name: [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]  # noqa: E731  a few rows each
+    return {
+        "selected_model": rows("model_select")[0], "served_method": rows("serve_select")[0]["method"], "wmape_by_level": rows("summary_pivot"), "reconciliation": rows("reconcile_all"), "coverage": rows("interval_coverage"),
+        "paired": rows("paired_ci")[0], "drift": rows("drift_table"), "retrain": rows("retrain_flag")[0],
+    }
+
+
 def build(spark: SparkSession, sf_dir: str, folder: str, names: list[str] | None = None) -> dict:
     """Writes the tables (all, or the named ones), a run log and returns the summary: seconds by table."""
     took = {}
@@ -34,6 +43,9 @@ def build(spark: SparkSession, sf_dir: str, folder: str, names: list[str] | None
         t = time.time()
         write_gold({name: forecasts(spark, sf_dir) if name == "forecasts" else QUERIES[GOLD[name]](spark, sf_dir)}, folder)
         took[name] = round(time.time() - t, 2)
+    if not names:
+        text = json.dumps(summary(spark, sf_dir), default=str)
+        spark.createDataFrame([(text,)], "json string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_summary.json")
     log_run(took, spark, f"{folder}/run_log", f"run-{int(time.time())}")
     return {"source": sf_dir, "seconds": took}
 

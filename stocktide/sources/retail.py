@@ -6,6 +6,8 @@ region. Small dimensions are broadcast by Spark's own size check; the fact keeps
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,23 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_silver: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A silver table, built where it is missing: once for each session, source and state of the source's files, in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, *name, status.getModificationTime(), status.getLen())
+    if key not in _silver:
+        _silver[key] = materialised(make(), "silver")
+    return _silver[key]
+
+
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lo and hi, the first and last day; one row from the footer statistics' column alone."""
-    d = F.to_date("l_shipdate")
-    return table(spark, sf_dir, "lineitem").agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
+    """lo and hi, the first and last day: one row."""
+    lines = table(spark, sf_dir, "lineitem")
+    return _once(spark, sf_dir, ("bounds",), lambda: lines.agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi")))
 
 
 def _event(date: Column) -> Column:
@@ -51,21 +66,9 @@ def calendar(spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
     )
 
 
-_silver: dict[tuple, DataFrame] = {}
-
-
 def daily(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    """keys, date, sales, revenue of days with sales: the silver table that all panels read.
-
-    Built where it is missing, once for each session, source and state of the source's files, in the shared folder.
-    """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, sf_dir, *keys, status.getModificationTime(), status.getLen())
-    if key not in _silver:
-        sums = fact(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("revenue").alias("revenue"))
-        _silver[key] = materialised(sums, "silver")
-    return _silver[key]
+    """keys, date, sales, revenue of days with sales: the silver table that all panels read."""
+    return _once(spark, sf_dir, tuple(keys), lambda: fact(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("revenue").alias("revenue")))
 
 
 def panel(spark: SparkSession, sf_dir: str, keys: list[str], last_days: int | None = None) -> DataFrame:
