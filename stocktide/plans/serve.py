@@ -1,4 +1,4 @@
-"""The serving surface: functions that answer what the reference's endpoints answer, over gold tables."""
+"""The serving surface: functions that answer what the endpoints of a planning API answer, over gold tables."""
 
 from __future__ import annotations
 
