@@ -89,11 +89,12 @@ def week_prices(spark, sf):
     return retail.fact(spark, sf).join(cal, "date").groupBy("store_id", "item_id", "wm_yr_wk").agg(F.median("sell_price").alias("sell_price"))
 
 
-@query("SELECT f.store_id, f.item_id, round(sum(sales * p.sell_price), 2) AS list_revenue, sum(CASE WHEN p.sell_price IS NULL THEN 1 ELSE 0 END)::BIGINT AS no_price FROM fact f JOIN cal USING (date) LEFT JOIN weekprice p ON p.store_id = f.store_id AND p.item_id = f.item_id AND p.wm_yr_wk = cal.wm_yr_wk GROUP BY ALL")
+@query("SELECT f.store_id, f.item_id, round(sum(sales * p.sell_price) + 1e-6, 2) AS list_revenue, sum(CASE WHEN p.sell_price IS NULL THEN 1 ELSE 0 END)::BIGINT AS no_price FROM fact f JOIN cal USING (date) LEFT JOIN weekprice p ON p.store_id = f.store_id AND p.item_id = f.item_id AND p.wm_yr_wk = cal.wm_yr_wk GROUP BY ALL")
 def price_join(spark, sf):
+    """Revenue at list prices; a millionth is added because half cents are common and sums differ in their last bits."""
     cal = retail.calendar(spark, sf).select("date", "wm_yr_wk")
     j = retail.fact(spark, sf).drop("sell_price").join(cal, "date").join(week_prices(spark, sf), ["store_id", "item_id", "wm_yr_wk"], "left")
-    return j.groupBy("store_id", "item_id").agg(r(F.sum(F.col("sales") * F.col("sell_price")), 2).alias("list_revenue"), F.count_if(F.col("sell_price").isNull()).alias("no_price"))
+    return j.groupBy("store_id", "item_id").agg(r(F.sum(F.col("sales") * F.col("sell_price")) + 1e-6, 2).alias("list_revenue"), F.count_if(F.col("sell_price").isNull()).alias("no_price"))
 
 
 @query("SELECT store_id, item_id, sum(CASE WHEN sell_price < med THEN 1 ELSE 0 END)::BIGINT AS promo_weeks, count(*) AS weeks FROM (SELECT *, median(sell_price) OVER (PARTITION BY store_id, item_id) AS med FROM weekprice) GROUP BY ALL")
