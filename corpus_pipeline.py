@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, PII surrogates, packing.
+"""The corpus pipeline: quality rules, near-dedup, benchmark decontamination, PII surrogates, packing.
 
 Each stage reads what its predecessor kept, written as Parquet in the shared folder; all but the last return the columns of
 documents.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stocktide.llm import decontaminate, packing, pii, quality, simhash
+from stocktide.llm import decontaminate, near, packing, pii, quality
 from stocktide.llm.common import documents, written
 from stocktide.llm.queries import PII_KEY
 from stocktide.llm.tokens import tokenizer_path
@@ -20,8 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the least id."""
-    return simhash.keep_one(docs)
+    """Of documents that chains of 5-word Jaccard similarity of 0.8 and more connect one stays, the one with the least id.
+
+    The stage keeps its name; op4's contract (3-word fingerprints within 2 bits) binds op4 alone.
+    """
+    return near.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
