@@ -8,6 +8,9 @@ separators kept, octets for octets, a valid check digit where there was one, nam
 go on for units whose replacement another unit has or which is itself a unit of the corpus (distinctness); of units that
 want one replacement the least canonical form gets it. After ATTEMPTS a unit gets a tag with its whole hash.
 
+Secrets are keys of known forms, values assigned to a token, key, secret or password (quoted: 8 characters and more; bare: 12, with a
+digit) and free-standing hex (32 and more) or base64 (40 and more). The assignment stays, hex stays hex.
+
 Documents without a hit pass by; only those with hits are dealt by id, and each brings its own entities. Units and entities are
 made distinct before they are dealt, so a value that a third of the documents hold is one row for each task.
 
@@ -30,10 +33,16 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 _TITLE = rf"(?:{'|'.join(MALE + FEMALE)})\.? "
 _NAME = r"\p{Lu}[\p{L}'’]+"
+#: What stands before an assigned secret; it is kept. Marks of an assignment, for _has_entity().
+_ASSIGN = r"(?i:token|key|secret|passw(?:or)?d|pwd)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_HEX = r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})"
 #: Kind -> pattern of a whole entity, tried in this order.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "assigned": rf"{_ASSIGN}(?:(?<=[\"'])[!#-&(-~]{{8,}}|(?<![\"'])(?=[!#-&(-~]*[0-9])[!#-&(-+\--:<-~]{{12,}})",
+    "hex": rf"(?<![A-Za-z0-9+/_-])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9]){_HEX}(?![A-Za-z0-9+/_-])",
+    "base64": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "card": r"(?<![\w.-])\d{4}(?<c>[ -]?)\d{4}\k<c>\d{4}\k<c>\d{4}(?![\d-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -102,6 +111,7 @@ def _replacement(unit: Column) -> Column:
     prefix = F.regexp_extract(unit, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
     country = F.regexp_extract(unit, r"^(?:\+?\d{1,3}(?=[ .-]?\()|\+\d{1,3}(?=[ .-]))", 0)
     after = lambda p: F.substring(unit, F.length(p) + 1, F.length(unit))
+    hexes = F.substring(F.repeat("h", F.ceil(F.length(unit) / 192).cast("int")), F.lit(1), F.length(unit))
     top = F.regexp_extract(unit, r"\.[^.]*$", 0)
     person = F.when(kind.endswith("Cyrillic"), _name("Cyrillic")).when(kind.endswith("Greek"), _name("Greek")).otherwise(_name("Latin"))
     person = F.when((unit == F.upper(unit)) & (F.length(unit) > 2), F.upper(person)).otherwise(person)
@@ -109,6 +119,7 @@ def _replacement(unit: Column) -> Column:
         F.when(kind == "email", F.concat(_alike(F.substring(unit, F.lit(1), F.length(unit) - F.length(top))), top))
         .when(kind == "ip", F.concat_ws(".", *((_byte(k) % 254 + 1).cast("string") for k in range(4))))
         .when(kind == "card", _card(unit))
+        .when((kind == "secret") & unit.rlike(f"^{_HEX}$"), F.when(unit == F.lower(unit), F.lower(hexes)).otherwise(F.upper(hexes)))
         .when(kind == "secret", F.concat(prefix, _alike(after(prefix))))
         .when(kind == "phone", F.concat(country, _alike(after(country), 2)))
         .when(kind.isin("ssn", "iban"), _alike(unit))
@@ -125,12 +136,12 @@ def _canon(kind: Column, unit: Column) -> Column:
 
 def units_of(entities: DataFrame) -> DataFrame:
     """entity -> place, kind, unit, canon: the parts of an entity that are replaced."""
-    kind = F.coalesce(*(F.when(F.col("entity").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items()), F.lit("phone"))
+    kind = F.coalesce(*(F.when(F.col("entity").rlike(f"^(?:{p})$"), F.lit("secret" if k in ("assigned", "hex", "base64") else k)) for k, p in KINDS.items()), F.lit("phone"))
     script = F.when(F.col("entity").rlike(r"\p{IsCyrillic}+$"), "Cyrillic").when(F.col("entity").rlike(r"\p{IsGreek}+$"), "Greek").otherwise("Latin")
     gender = F.when(F.col("entity").rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
     e = entities.withColumn("whole", kind).withColumn("gender", gender).withColumn("script", script)
     names = F.regexp_extract_all(F.regexp_replace("entity", f"^{_TITLE}", ""), F.lit(_NAME), F.lit(0))
-    parts = F.when(F.col("whole") == "person", names).otherwise(F.array("entity"))
+    parts = F.when(F.col("whole") == "person", names).otherwise(F.array(F.regexp_replace("entity", f"^{_ASSIGN}", "")))
     u = e.select("entity", "whole", "gender", "script", F.size(parts).alias("n"), F.posexplode(parts).alias("place", "unit"))
     of = F.when(F.col("whole") != "person", F.col("whole")).when(F.col("place") < F.col("n") - 1, F.concat(F.lit("given_"), "gender", F.lit("_"), "script")).otherwise(F.concat(F.lit("family_"), "script"))
     return u.select("entity", "place", "unit", of.alias("kind")).withColumn("canon", _canon(F.col("kind"), F.col("unit")))
@@ -160,13 +171,13 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     units = units_of(entities)
     resolved = _resolved(units, key)
     made = units.join(resolved, ["kind", "canon"]).withColumn("h", _bytes(key)).withColumn("made", _replacement(F.col("unit")))
-    title = F.regexp_extract("entity", f"^{_TITLE}", 0)
+    title = F.regexp_extract("entity", f"^(?:{_TITLE}|{_ASSIGN})", 0)
     return made.groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "made"))), lambda x: x["made"]), " ").alias("made")).select("entity", F.concat(title, "made").alias("surrogate"))
 
 
 def _has_entity(text: Column) -> Column:
     """Whether PATTERN is found. Every entity has one of a few marks that are found much faster, and most texts have none."""
-    mark = text.contains("@") | text.contains("AKIA") | text.contains("sk-") | text.rlike("[0-9]") | text.rlike("gh[pousr]_") | text.rlike(_TITLE)
+    mark = text.contains("@") | text.contains("AKIA") | text.contains("sk-") | text.rlike("[0-9]") | text.rlike("gh[pousr]_") | text.rlike(_TITLE) | text.rlike(_ASSIGN)
     return F.coalesce(mark & text.rlike(PATTERN), F.lit(False))
 
 
