@@ -32,7 +32,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 _TITLE = rf"(?:{'|'.join(MALE + FEMALE)})\.? "
-_NAME = r"\p{Lu}[\p{L}'’]+"
+#: A letter run that is replaced; what stands between (hyphens, dots, particles, blanks) is kept.
+_WORD = r"(?:\p{Lu}|(?<=-)\p{L})[\p{L}'’]*+"
+_NAME = r"(?:\p{Lu}\.(?:-?\p{Lu}\.)*|\p{Lu}[\p{L}'’]*+(?:-\p{L}[\p{L}'’]*+)*)"
+_PARTICLE = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|ter|ten|zu|y|e) ){0,3}(?:d['’])?"
 #: What stands before an assigned secret; it is kept. Marks of an assignment, for _has_entity().
 _ASSIGN = r"(?i:token|key|secret|passw(?:or)?d|pwd)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 _HEX = r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})"
@@ -48,7 +51,7 @@ KINDS = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w.+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}(?<p>[.-])\d{3}\k<p>\d{4})(?!\d)",
-    "person": rf"(?<![\p{{L}}]){_TITLE}{_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}]){_TITLE}{_PARTICLE}{_NAME}(?: {_PARTICLE}{_NAME})*",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _FIRST = ("ba be bo ca ce co da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te to va ve wa we za".split(), "ба бо ва ве да де жа за зо ка ко ла ле ли ма ме ми на не но па по ра ре ро са се та те то фа".split(), "βα βε γα γε δα δε ζα θα κα κο λα λε μα με να νε πα πο ρα ρε σα σε τα τε φα χα".split())
@@ -115,6 +118,7 @@ def _replacement(unit: Column) -> Column:
     top = F.regexp_extract(unit, r"\.[^.]*$", 0)
     person = F.when(kind.endswith("Cyrillic"), _name("Cyrillic")).when(kind.endswith("Greek"), _name("Greek")).otherwise(_name("Latin"))
     person = F.when((unit == F.upper(unit)) & (F.length(unit) > 2), F.upper(person)).otherwise(person)
+    person = F.when(kind.startswith("initial"), F.substring(person, 1, 1)).otherwise(person)
     made = (
         F.when(kind == "email", F.concat(_alike(F.substring(unit, F.lit(1), F.length(unit) - F.length(top))), top))
         .when(kind == "ip", F.concat_ws(".", *((_byte(k) % 254 + 1).cast("string") for k in range(4))))
@@ -140,16 +144,17 @@ def units_of(entities: DataFrame) -> DataFrame:
     script = F.when(F.col("entity").rlike(r"\p{IsCyrillic}+$"), "Cyrillic").when(F.col("entity").rlike(r"\p{IsGreek}+$"), "Greek").otherwise("Latin")
     gender = F.when(F.col("entity").rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
     e = entities.withColumn("whole", kind).withColumn("gender", gender).withColumn("script", script)
-    names = F.regexp_extract_all(F.regexp_replace("entity", f"^{_TITLE}", ""), F.lit(_NAME), F.lit(0))
+    names = F.regexp_extract_all(F.regexp_replace("entity", f"^{_TITLE}", ""), F.lit(_WORD), F.lit(0))
+    last = F.size(F.regexp_extract_all(F.regexp_extract("entity", r"\S+$", 0), F.lit(_WORD), F.lit(0)))  # a hyphenated family name has several
     parts = F.when(F.col("whole") == "person", names).otherwise(F.array(F.regexp_replace("entity", f"^{_ASSIGN}", "")))
-    u = e.select("entity", "whole", "gender", "script", F.size(parts).alias("n"), F.posexplode(parts).alias("place", "unit"))
-    of = F.when(F.col("whole") != "person", F.col("whole")).when(F.col("place") < F.col("n") - 1, F.concat(F.lit("given_"), "gender", F.lit("_"), "script")).otherwise(F.concat(F.lit("family_"), "script"))
+    u = e.select("entity", "whole", "gender", "script", (F.size(parts) - last).alias("given"), F.posexplode(parts).alias("place", "unit"))
+    of = F.when(F.col("whole") != "person", F.col("whole")).when(F.length("unit") == 1, F.concat(F.lit("initial_"), "script")).when(F.col("place") < F.col("given"), F.concat(F.lit("given_"), "gender", F.lit("_"), "script")).otherwise(F.concat(F.lit("family_"), "script"))
     return u.select("entity", "place", "unit", of.alias("kind")).withColumn("canon", _canon(F.col("kind"), F.col("unit")))
 
 
 def _resolved(units: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt: the first attempt of each unit whose replacement is nobody else's and no unit itself."""
-    real = written(units.select("kind", "canon").distinct(), "units")
+    real = written(units.where(~F.col("kind").startswith("initial")).select("kind", "canon").distinct(), "units")
     taken, pending = None, real
     for attempt in range(ATTEMPTS + 1):
         tried = pending.withColumn("attempt", F.lit(attempt)).withColumn("h", _bytes(key))
@@ -170,9 +175,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities: distinct entity strings. Returns entity and surrogate."""
     units = units_of(entities)
     resolved = _resolved(units, key)
+    # of initials there are too few for each to have its own
+    resolved = resolved.unionByName(units.where(F.col("kind").startswith("initial")).select("kind", "canon", F.lit(0).alias("attempt")).distinct())
     made = units.join(resolved, ["kind", "canon"]).withColumn("h", _bytes(key)).withColumn("made", _replacement(F.col("unit")))
     title = F.regexp_extract("entity", f"^(?:{_TITLE}|{_ASSIGN})", 0)
-    return made.groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "made"))), lambda x: x["made"]), " ").alias("made")).select("entity", F.concat(title, "made").alias("surrogate"))
+    parts = made.groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "made"))), lambda x: x["made"]).alias("made"))
+    between = F.when(F.col("entity").rlike(f"^{_TITLE}"), F.split(F.regexp_replace("entity", f"^{_TITLE}", ""), _WORD, -1)).otherwise(F.array(F.lit(""), F.lit("")))
+    rest = F.array_join(F.zip_with(between, "made", lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")
+    return parts.select("entity", F.concat(title, rest).alias("surrogate"))
 
 
 def _has_entity(text: Column) -> Column:

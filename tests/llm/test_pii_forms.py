@@ -24,3 +24,12 @@ def test_other_secrets(spark, docs):
     m = re.fullmatch(r"x ([0-9a-f]{32}) and token='([0-9a-f]{32})' and (\S{44})== y", got[0])
     assert m[1] == m[2] != lone and m[3] != b64
     assert re.fullmatch(r'password: "[a-z]{7}-[a-z]{5}"', got[1]) and "correct" not in got[1] and got[2] == "a key: the word"
+
+
+def test_names_of_many_parts(docs):
+    texts = ["Mr. John Paul Smith came", "Mrs. Anna Smith-Jones came", "Mr. J. Smith came", "Herr Karl von der Berg came"]
+    a, b, c, d = (r.text for r in pii.replace_in(docs(list(enumerate(texts))), "k").orderBy("doc_id").collect())
+    w = r"[A-Z][a-z]+"
+    a, b = re.fullmatch(rf"Mr\. {w} {w} ({w}son) came", a), re.fullmatch(rf"Mrs\. {w} ({w}son)-{w}son came", b)
+    c, d = re.fullmatch(rf"Mr\. [A-Z]\. ({w}son) came", c), re.fullmatch(rf"Herr {w} von der {w}son came", d)
+    assert d and a[1] == b[1] == c[1] != "Smith"
