@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from .common import as_batch, id_and_text, slices
 
 MARK = "▁"
-CACHE = 300_000  # entries of one cache generation
+CACHE = 300_000  # entries of one cache generation, some 80 MB at most
+LONGEST = 32  # characters of a unit that is kept; longer ones (texts without spaces) are merged anew in each block
 _UNITS = re.compile(r" *[^ ]+| +")
 
 
@@ -59,15 +60,15 @@ class WholeTokenCounter:
         for u in units:
             unseen.update(u or ())
         unseen.difference_update(self.new)
-        merge = []
+        merge, here = [], {}
         for u in unseen:
             if (n := self.old.get(u)) is not None:
                 self.new[u] = n
             else:
                 merge.append(u)
-        if merge:
-            self.new.update(zip(merge, map(len, self.library.encode([u[1:] for u in merge], num_threads=1)), strict=True))
-        of = self.new.__getitem__
+        for u, ids in zip(merge, self.library.encode([u[1:] for u in merge], num_threads=1) if merge else (), strict=True):
+            (self.new if len(u) <= LONGEST else here)[u] = len(ids)
+        of = (lambda u: here[u] if u in here else self.new[u]) if here else self.new.__getitem__
         return [len(self.library.encode(t)) if u is None else sum(map(of, u)) for t, u in zip(texts, units, strict=True)]
 
 

@@ -7,8 +7,8 @@ Byte-pair merges never cross a pre-token, so ids of a text are the ids of its pr
   cut with a compiled `re` pattern and the same engine merges its pre-tokens, a word's end being the byte 0xFF, which no UTF-8
   text has. The cache has two generations, so it never exceeds 2 x CACHE and one block's words.
 
-Both hold for letters and digits below U+0250 and some punctuation; a text with any other character, or with a special
-string, goes to the library whole.
+Both hold for letters and digits below U+0250 whose small letters are below it too and some punctuation; a text with any
+other character, or with a special string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE = 300_000  # entries of one cache generation, some 60 MB
+LONGEST = 64  # characters of a word that is kept
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _END = b"\xff"
@@ -30,7 +31,8 @@ _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed: the contractions that both v
 _WORDS = re.compile(rf"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _BYTE_LEVEL = rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
 #: Characters whose classes differ between Unicode versions or regex libraries, or that normalisation could change.
-_UNSAFE = re.compile("[^\x00-\x1b\x20-įı-ɏ‐-―‘-‟…€]|<\\|")
+_BEYOND = "".join(c for c in map(chr, range(0x250)) if max(map(ord, c.lower())) >= 0x250)  # capitals whose small letters are no `_L`
+_UNSAFE = re.compile(f"[^\x00-\x1b\x20-įı-ɏ‐-―‘-‟…€]|[{_BEYOND}]|<\\|")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -57,7 +59,8 @@ class _Words(dict):
         if ids is None:
             pieces = [word] if word.isalpha() else _WORDS.findall(word)
             ids = array("I", self.merge(word.encode() + _END)).tobytes() if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 

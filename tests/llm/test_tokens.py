@@ -49,6 +49,29 @@ def test_cache_generations_change_nothing(monkeypatch):
         assert e.encode_many([t])[0].tolist() == e.library.encode(t, add_special_tokens=False).ids
 
 
+def test_every_character_that_counts_as_safe():
+    """Alone, in words, before punctuation and digits; then random texts of all of them."""
+    from stocktide.llm.tokens import _UNSAFE
+
+    safe, r = [c for c in map(chr, range(0x2100)) if not _UNSAFE.search(c)], random.Random(5)
+    texts = [t for c in safe for t in (c, f"a{c}", f"{c}a", f"a{c}a", f"{c},", f",{c}", f"{c}1", f" {c} ", c + c, f"{c}'s")] + ["Əli,", "ƁƆ ɏɎ"]
+    texts += ["".join(r.choice(safe) if r.random() < 0.7 else r.choice("ab 's,.1 ") for _ in range(r.randint(1, 25))) for _ in range(20_000)]
+    for path in (BYTE, WORD):
+        e = Encoder.at(path)
+        assert [x.tolist() for x in e.encode_many(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_units_are_not_kept():
+    """Texts without spaces are counted right and leave nothing in the cache, nor do long words."""
+    c, r = token_count.WholeTokenCounter(PIECE), random.Random(6)
+    texts = ["".join(r.choice("日本語文字中国人山川") for _ in range(500)) + " a" for _ in range(40)]
+    assert c.count_many(texts) == [len(c.library.encode(t)) for t in texts]
+    assert max(map(len, c.new)) <= token_count.LONGEST or max(map(len, c.new)) == max(map(len, c.proved))
+    e = Encoder(WORD)
+    assert e.encode_many(["x" * 5000 + " y"])[0].tolist() == e.library.encode("x" * 5000 + " y", add_special_tokens=False).ids
+    assert max(map(len, e.words)) <= 64
+
+
 def test_token_counts_of_odd_rows(odd):
     rows = token_count.count_tokens(odd, PIECE, limit=100).collect()
     lib = token_count.WholeTokenCounter.at(PIECE).library
