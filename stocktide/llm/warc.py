@@ -90,15 +90,27 @@ class RecordReader:
     def __init__(self):
         self.digest, self.size = hashlib.sha256(), 0
 
+    @staticmethod
+    def _heads(data: memoryview) -> tuple[bytes, int, int]:
+        """The beginning of a record up to its payload, of any length, and where its two headers end."""
+        size = 64 << 10
+        while True:
+            raw = bytes(data[:size])
+            cut = raw.find(b"\r\n\r\n")
+            end = raw.find(b"\r\n\r\n", cut + 4) if cut >= 0 else -1
+            if end >= 0:
+                return raw, cut, end
+            if size >= len(data):
+                raise ValueError("a record's header does not end")
+            size *= 4
+
     def feed(self, data: memoryview, first: bool, last: bool, expected: str) -> None:
         if first:
-            raw = bytes(data[: 64 << 10])
-            cut = raw.index(b"\r\n\r\n")
+            raw, cut, http_end = self._heads(data)
             lines = raw[:cut].decode().split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError("not a WARC record")
             self.head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-            http_end = raw.index(b"\r\n\r\n", cut + 4)
             self.http = dict(x.split(": ", 1) for x in raw[cut + 4 : http_end].decode().split("\r\n")[1:])
             self.block = int(self.head["Content-Length"]) - (http_end - cut)
             data = data[http_end + 4 :]
