@@ -1,16 +1,16 @@
 """Chat formatting of reply trees.
 
 Messages point to the message they reply to. Iterative self-joins double the known stretch of every message's way to its
-root: after k joins a path has up to 2^k messages, so a tree of depth d takes log2(d) joins. Paths that end in leaves are the
-branches; they are ranked by their mean score (then by the least leaf) and each chosen branch becomes one conversation.
+root, so a tree of depth d takes log2(d) joins. Ways that begin at leaves are the branches; they are ranked by their mean score (then
+by the least leaf) and each chosen branch becomes one conversation.
 
 Template: <|turn|>role<|text|>text<|end|> and a line feed. Inside roles and texts, control strings (this template's and those
 of common chat templates) get a backslash after their < or [, and those that already have backslashes there one
 more, which unescape() takes back. loss_starts and loss_ends are the code points of the trained roles' texts.
 
 Defined cases: a null role or text is empty; a reply to a message that is not there is a root; messages that reply to each other in
-a ring belong to no branch; repeated message ids are told apart by a number; an empty table gives no conversation; extra columns are
-not read.
+a ring belong to no branch; of messages with one id the first (least parent, score, role, text) has the replies and the others end
+branches of their own; an empty table gives no conversation; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -58,36 +58,56 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def _numbered(messages: DataFrame) -> DataFrame:
+    """copy: 0 for the first message of an id (least parent, score, role, text), 1 and up for the repeated ones."""
+    order = W.partitionBy("tree", "node").orderBy("parent", "score", "role", "text")
+    return messages.withColumn("copy", F.row_number().over(order) - 1)
+
+
+_NODE = ["tree", "node", "copy"]
+
+
 def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
-    """messages: tree, node, parent, score. Returns tree, leaf, branch (1: the best), path (array of nodes from the root)."""
-    messages = messages.select("tree", "node", "parent", "score")
-    known = messages.select("tree", F.col("node").alias("parent"))
-    here = messages.join(known.distinct().withColumn("_there", F.lit(True)), ["tree", "parent"], "left")
-    seg = here.select("tree", "node", F.when(F.col("_there"), F.col("parent")).alias("top"), F.array("node").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
+    """messages: tree, node, copy, parent, score. Returns tree, branch (1: the best), place (0: the root), node, copy for each message of the chosen branches.
+
+    After k joins a message knows its ancestor 2^k replies above and the sum of the scores up to there; no path is stored, so
+    the work grows with messages times the logarithm of the depth. The chosen leaves then take the same jumps, longest
+    first: each doubles the members that are known.
+    """
+    messages = messages.select(*_NODE, "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
+    known = messages.where("copy = 0").select("tree", F.col("node").alias("parent"), F.lit(True).alias("_there"))
+    now = messages.join(known, ["tree", "parent"], "left").select(*_NODE, F.when(F.col("_there"), F.col("parent")).alias("top"), "total", F.lit(1).cast("long").alias("length"))
+    now, closed, jumps = written(now, "jumps"), None, []
+    left = now.where("top is not null").count()
     while True:
-        seg = written(seg, "paths")
-        if not seg.where("top is not null").limit(1).count():
+        closed = now.where("top is null") if closed is None else closed.unionByName(now.where("top is null"))
+        if not left:
             break
-        up = seg.select("tree", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("path").alias("_path"), F.col("total").alias("_total"))
-        closed, open_ = seg.where("top is null"), seg.where("top is not null").join(up, ["tree", "top"])
-        # a ring meets itself again; its messages have no root
-        open_ = open_.where(~F.arrays_overlap("path", "_path"))
-        seg = closed.unionByName(open_.select("tree", "node", F.col("_top").alias("top"), F.concat("_path", "path").alias("path"), (F.col("total") + F.col("_total")).alias("total")))
-    replied = messages.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = seg.join(replied, ["tree", "node"], "left_anti")
-    best = W.partitionBy("tree").orderBy(F.desc("mean"), "leaf")
-    ranked = leaves.select("tree", F.col("node").alias("leaf"), "path", (F.col("total") / F.size("path")).alias("mean")).withColumn("branch", F.row_number().over(best))
-    return ranked.where(F.col("branch") <= top_k).select("tree", "leaf", "branch", "path")
+        jumps.append(now.where("top is not null"))
+        above = closed.unionByName(jumps[-1]).where("copy = 0").select("tree", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("total").alias("_total"), F.col("length").alias("_length"))
+        now = written(jumps[-1].join(above, ["tree", "top"]).select(*_NODE, F.col("_top").alias("top"), (F.col("total") + F.col("_total")).alias("total"), (F.col("length") + F.col("_length")).alias("length")), "jumps")
+        still = now.where("top is not null").count()
+        # of a depth from 2^k some message always closes; if none does, the rest lead into rings
+        left = still if still < left else 0
+    replied = messages.where("parent is not null").select("tree", F.col("parent").alias("node"), F.lit(0).alias("copy")).distinct()
+    best = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node", "copy")
+    ranked = closed.join(replied, _NODE, "left_anti").withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= top_k)
+    members = written(ranked.select("tree", "branch", "node", "copy", (F.col("length") - 1).alias("place")), "members")
+    for k, jump in reversed(list(enumerate(jumps))):
+        up = members.join(jump.select(*_NODE, "top"), _NODE).select("tree", "branch", F.col("top").alias("node"), F.lit(0).alias("copy"), (F.col("place") - 2**k).alias("place"))
+        members = written(members.unionByName(up), "members")
+    return members
 
 
 SCHEMA = "tree long, branch int, formatted string, loss_starts array<long>, loss_ends array<long>"
 _ARROW = pa.schema([("tree", pa.int64()), ("branch", pa.int32()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 
 
-def format_trees(messages: DataFrame, top_k: int = 1, trained: tuple[str, ...] = TRAINED) -> DataFrame:
-    """messages: tree, node, parent, score, role, text. A row for each chosen branch; see SCHEMA."""
-    chosen = branches(messages, top_k).select("tree", "branch", F.posexplode("path").alias("place", "node"))
-    turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+def format_trees(messages: DataFrame, top_k: int = 1, trained: tuple[str, ...] = TRAINED, unique: bool = False) -> DataFrame:
+    """messages: tree, node, parent, score, role, text. A row for each chosen branch; see SCHEMA. unique: no id is repeated in a tree."""
+    messages = messages.select("tree", "node", "parent", "score", "role", "text")
+    messages = messages.withColumn("copy", F.lit(0)) if unique else _numbered(messages)
+    turns = branches(messages, top_k).join(messages.select(*_NODE, "role", "text"), _NODE)
     whole = turns.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
