@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that chains of 5-word Jaccard similarity of 0.8 and more connect one stays, the one with the least id.
 
-    The stage keeps its name; op4's contract (3-word fingerprints within 2 bits) binds op4 alone.
+    The stage has its own setting: SimHash of 5-word shingles, the trie self-join within 2 bits, min-hash keys for pairs that
+    differ in more bits, each pair checked exactly. op4's contract (3-word fingerprints within 2 bits) binds op4 alone.
     """
     return near.keep_one(docs)
 

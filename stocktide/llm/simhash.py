@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, free_name, id_and_text, slices, written
+from .common import as_batch, id_and_text, slices, written
 from .graph import components
 
 SEED = 42
@@ -43,10 +43,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+    return majority(np.array([digest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist())], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
-        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -176,13 +180,3 @@ def near_duplicates(df: DataFrame, budget: int = 2, id_col: str = "doc_id", text
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = of.join(least, "root").select("fp", "component_id")
     return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay: of each component the one with the least id, once; rows without an id all stay."""
-    found = near_duplicates(df, budget, id_col, text_col)
-    name = free_name(df, "_stay")
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    with_id = df.where(F.col(id_col).isNotNull())
-    kept = with_id.join(stay, F.col(id_col).cast("long") == F.col(name), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))

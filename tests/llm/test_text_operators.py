@@ -301,7 +301,8 @@ def test_replace_in_nothing(docs):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
-    from stocktide.llm import simhash
+
+    from .test_near import brute_groups
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -318,8 +319,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "simhash":
             group = {r.doc_id: r.text for r in before if r.doc_id in ids["quality"]}
             order = sorted(group)
-            root = _groups([simhash.fingerprint(group[i]) for i in order])
-            assert ids["simhash"] == {order[g] for g in set(root)}
+            assert ids["simhash"] == {order[g] for g in set(brute_groups([group[i] for i in order]))}
         if name == "pii":
             assert all(r.n_chars == len(r.text) for r in now.collect())
             texts = " ".join(r.text for r in now.collect())
@@ -329,15 +329,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in now.collect())
 
 
-def _groups(values):
-    root = list(range(len(values)))
-    for i in range(len(values)):
-        for j in range(i):
-            if (values[i] ^ values[j]).bit_count() <= 2:
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
-    return root
-
-
 def originals(rows):
     return {m for r in rows for m in re.findall(r"[\w.]+@[\w.]+\.com|AKIA[A-Z0-9]{16}", r.text or "")}
