@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import SERVICE_GRID
 from ..functions.exprs import bias, r, velocity, wmape
 from ..operators import metrics, twin
-from ..operators.twin import Option
-from ..sources.store import materialised
 from .q_forecast import fca, p1, weeks
 from .q_stock import banded, cal_scores
-from .q_twin import REPS, _rounded, run, twin_responses, twin_timeline, twin_validation
+from .q_twin import _rounded, frontier_runs, inputs, twin_responses, twin_timeline, twin_validation
 from .registry import define, query
 
 
@@ -113,10 +110,9 @@ def best_responses(spark, sf):
 @query()
 def twin_frontier_speed(spark, sf):
     """The cost of each service level by demand speed."""
-    options = [Option(str(q), reps=REPS, seed=500, service_index=i) for i, q in enumerate(SERVICE_GRID)]
-    rows = run(spark, sf, options).where("kind = 'row'")
-    speed = p1(spark, sf).groupBy("series_id").agg(velocity(F.avg("sales")).alias("speed"))
-    sim = materialised(rows.join(speed, "series_id").withColumn("store", F.col("speed")), "speed")
+    mean = F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / F.size("history")
+    speed = inputs(spark, sf).select("series_id", velocity(mean).alias("speed"))
+    sim = frontier_runs(spark, sf).where("kind = 'row' and option <> 'current'").join(speed, "series_id").withColumn("store", F.col("speed"))
     k = twin.kpis(sim, "store").withColumn("cost", F.col("lost_margin") + F.col("holding_cost"))
     return _rounded(k.groupBy(F.col("store").alias("speed"), F.col("option").alias("service_level")).agg(F.avg("cost").alias("cost"), F.avg("fill_rate").alias("fill_rate"), F.avg("inventory_value").alias("inventory_value")))
 

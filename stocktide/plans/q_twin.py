@@ -1,4 +1,7 @@
-"""Simulation tables as queries: rows of the twin on the holdout, products being categories and stores states."""
+"""Simulation tables as queries: the twin at department and store, products being departments and stores nations, on the holdout.
+
+Each simulated table is made once for a session, source state and list of options, and shared by the queries that read it.
+"""
 
 from __future__ import annotations
 
@@ -8,52 +11,70 @@ from pyspark.sql import functions as F
 
 from ..config import SAFETY_MULTIPLIERS, SERVICE_GRID, TwinConfig
 from ..functions.exprs import lookup, r
-from ..operators import twin
-from ..operators.twin import Option, Shock
+from ..operators import forecast, metrics, twin
+from ..operators import uncertainty as un
+from ..operators.twin import Answer, Disruption, Option
 from ..sources import retail
-from ..sources.store import materialised
-from .q_forecast import CFG, p1
-from .q_stock import safety, srows
+from .q_forecast import CFG, fold_table
 from .registry import query
 
 REPS = 50
+#: What may happen, and what can be done about it.
 SCENARIOS = {
-    "event_spike": Shock(demand_scale=1.4, days=(7, 14)),
-    "supplier_delay": Shock(delay=7, replan_after=7),
-    "dc_cut": Shock(dc_factor=0.6, dc_days=(0, 14)),
-    "late_shipment": Shock(delay=10, delay_days=(0, 7)),
+    "event_spike": Disruption(demand_factor=1.5, demand_days=(7, 14), category="ECONOMY"),
+    "late_shipment": Disruption(late_by=7, late_days=(0, 7)),
+    "supplier_delay": Disruption(late_by=7),
+    "dc_cut": Disruption(supply_factor=0.7, supply_days=(7, 21)),
 }
+USUAL_ANSWER = {"supplier_delay": dict(replan_after=7)}
 RESPONSES = {
-    "event_spike": {"planned": dict(planned=True), "prebuild": dict(prebuild_days=3, prebuild_until=14)},
-    "supplier_delay": {"expedite": dict(expedite_share=0.5, premium=0.25), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
-    "dc_cut": {"backup": dict(backup_share=0.5, premium=0.15), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
-    "late_shipment": {"expedite": dict(expedite_share=1.0, premium=0.25), "prebuild": dict(prebuild_days=5, prebuild_until=14)},
+    "supplier_delay": {"replan_now": dict(replan_after=0), "expedite": dict(rush_share=1.0, surcharge=0.20), "prebuild": dict(build_ahead_days=7)},
+    "late_shipment": {"expedite": dict(rush_share=1.0, surcharge=0.20), "prebuild": dict(build_ahead_days=7, build_until=14)},
+    "dc_cut": {"backup": dict(spare_share=0.5, surcharge=0.10), "prebuild": dict(build_ahead_days=7, build_until=21)},
+    "event_spike": {"planned": dict(announced=True)},
 }
-REPORT = ("fill_rate", "in_stock_pct", "lost_sales_value", "inventory_value", "weeks_of_supply")
+LOST_SHARE = 0.40  # of shoppers who find an empty shelf, those whose sale is lost
+REPORT = ("fill_rate", "in_stock_pct", "lost_sales_value", "lost_margin", "inventory_value", "holding_cost", "units_lost", "units_demanded", "sales_value")
+P3 = ["dept_id", "cat_id", "store_id", "state_id"]
 
 
-def inputs(spark, sf) -> DataFrame:
-    """One row a series with its arrays."""
-    hi = F.broadcast(retail.bounds(spark, sf))
-    p = p1(spark, sf).crossJoin(hi)
+def answer(scenario: str, **changes) -> Answer:
+    return Answer(**USUAL_ANSWER.get(scenario, {}) | changes)
+
+
+def _inputs(spark, sf) -> DataFrame:
+    hi = F.broadcast(retail.bounds(spark, sf))  # one row
+    panel = retail.panel(spark, sf, P3, CFG.matrix_days)
+    p = panel.crossJoin(hi)
     in_order = lambda v: F.transform(F.sort_array(F.collect_list(F.struct("date", v))), lambda x: x[v])
-    history = p.where((F.col("date") > F.date_sub("hi", 56)) & (F.col("date") <= F.date_sub("hi", 28))).groupBy("series_id").agg(in_order("sales").alias("history"), F.try_divide(F.sum("revenue"), F.sum("sales")).alias("price"))
-    s = srows(spark, sf)
-    now = s.where("fold = 'holdout'").groupBy("series_id", "cat_id", "state_id").agg(in_order("forecast").alias("forecast"), in_order("actual").alias("actual"))
-    past = s.where("fold <> 'holdout'").groupBy("series_id").agg(in_order("actual").alias("past_actual"), in_order("forecast").alias("past_forecast"))
-    stock = safety(spark, sf).groupBy("series_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "safety_stock"))), lambda x: x["safety_stock"]).alias("safety_by_service"))
-    j = now.join(past, "series_id").join(history, "series_id").join(stock, "series_id")
+    history = p.where((F.col("date") > F.date_sub("hi", 56)) & (F.col("date") <= F.date_sub("hi", 28))).groupBy("series_id").agg(in_order("sales").alias("history"), F.try_divide(F.sum("revenue"), F.sum("sales")).alias("recent"))
+    usual = p.where(F.col("date") <= F.date_sub("hi", 28)).groupBy("dept_id").agg(F.try_divide(F.sum("revenue"), F.sum("sales")).alias("usual"))
+    known = forecast.with_actuals(forecast.floors(panel, fold_table(spark, sf)).where("method = 'seasonal_naive'"), panel).join(metrics.mad_scale(panel.join(hi).where(F.col("date") <= F.date_sub("hi", 28)).drop("lo", "hi")), "series_id")
+    now = known.where("fold = 'holdout'").groupBy("series_id", *P3).agg(in_order("forecast").alias("forecast"), in_order("actual").alias("actual"), F.first("scale").alias("scale"), F.sum(F.when(F.col("step") <= 7, F.col("forecast"))).alias("week"))
+    past = known.where("fold <> 'holdout'").groupBy("series_id").agg(in_order("actual").alias("past_actual"), in_order("forecast").alias("past_forecast"))
+    scores = known.where("fold <> 'holdout'").select("cat_id", ((F.col("actual") - F.col("forecast")) / F.col("scale")).alias("score"))
+    grid = F.explode(F.array(*map(F.lit, SERVICE_GRID))).alias("q")
+    q = un.conformal_quantiles(scores, ["cat_id"], now.select("cat_id").distinct().select("cat_id", grid))
+    by_service = q.groupBy("cat_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "value"))), lambda x: F.greatest(x["value"], F.lit(0.0))).alias("by_service"))
     margin = lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)
-    price = F.coalesce("price", F.lit(1.0))
-    out = j.select(
-        F.col("cat_id").alias("product"), "series_id", F.col("cat_id").alias("category"), F.col("state_id").alias("store"), (F.row_number().over(W.orderBy("series_id")) - 1).alias("position"), "history", "forecast", "actual", "past_actual", "past_forecast",
-        F.element_at("safety_by_service", 4).alias("safety"), "safety_by_service", lookup(CFG.review_days, F.col("cat_id"), CFG.default_review).alias("review"), price.alias("price"), (price * (1 - margin)).alias("cost"), lookup(CFG.holding, F.col("cat_id"), CFG.default_holding).alias("holding"),
+    review = lookup(CFG.review_days, F.col("cat_id"), CFG.default_review)
+    j = now.join(past, "series_id").join(history, "series_id").join(usual, "dept_id").join(by_service, "cat_id")
+    price = F.coalesce("recent", "usual", F.lit(1.0))
+    # errors of a day count for the days of a review and its delivery as those of independent days
+    safety = F.transform("by_service", lambda x: x * F.col("scale") * F.sqrt(review + CFG.lead_days))
+    return j.select(
+        F.col("dept_id").alias("product"), "series_id", F.col("cat_id").alias("category"), F.col("store_id").alias("store"), F.pmod(F.xxhash64("series_id"), F.lit(10_000)).cast("int").alias("position"), "history", "forecast", "actual", "past_actual", "past_forecast",
+        F.element_at(safety, SERVICE_GRID.index(0.95) + 1).alias("safety"), safety.alias("safety_by_service"), review.alias("review"), price.alias("price"), (price * (1 - margin)).alias("cost"), lookup(CFG.holding, F.col("cat_id"), CFG.default_holding).alias("holding"),
     )
-    return materialised(out, "twin")
+
+
+def inputs(spark, sf) -> DataFrame:
+    """One row a series of department and store, with its arrays."""
+    return retail.once(spark, sf, ("twin",), lambda: _inputs(spark, sf))
 
 
 def run(spark, sf, options: list[Option], cfg: TwinConfig = TwinConfig()) -> DataFrame:
-    return materialised(twin.simulate(inputs(spark, sf), options, cfg), "simulated")
+    return retail.once(spark, sf, ("simulated", repr(options), repr(cfg)), lambda: twin.simulate(inputs(spark, sf), options, cfg))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -83,19 +104,24 @@ def _scoped(sim: DataFrame, metrics=REPORT) -> DataFrame:
 @query()
 def twin_validation(spark, sf):
     """Predicted bands against the replay, for the network and each store."""
+    return _rounded(validation(spark, sf))
+
+
+def validation(spark, sf) -> DataFrame:
     futures = [Option(p, policy=p, reps=REPS, seed=100) for p in twin.POLICIES]
     replays = [Option(f"{p}|replay", policy=p, replay=True, seed=400) for p in twin.POLICIES]
     values = _scoped(run(spark, sf, futures + replays))
     predicted = twin.band(values.where(~F.col("option").endswith("|replay")), ["option", "store", "metric"])
     real = values.where(F.col("option").endswith("|replay")).select(F.split_part("option", F.lit("|"), F.lit(1)).alias("option"), "store", "metric", F.col("value").alias("realised"))
     j = predicted.join(real, ["option", "store", "metric"]).withColumnRenamed("mean", "predicted")
-    return _rounded(j.withColumn("in_band", F.col("realised").between(F.col("lower"), F.col("upper"))).withColumn("divergence", (F.col("predicted") - F.col("realised")) / F.greatest(F.abs("realised"), F.lit(1e-9))))
+    return j.withColumn("in_band", F.col("realised").between(F.col("lower"), F.col("upper"))).withColumn("divergence", (F.col("predicted") - F.col("realised")) / F.greatest(F.abs("realised"), F.lit(1e-9)))
 
 
 @query()
 def twin_timeline(spark, sf):
-    sim = run(spark, sf, [Option("futures", reps=REPS, seed=300)]).where("kind = 'day'")
-    return _rounded(sim.groupBy("day", "store", "category").agg(F.sum("stock").alias("on_hand"), F.sum("demand").alias("demand"), F.sum("lost").alias("lost")))
+    """Stock, demand and lost units of each day, store and department, means over the futures."""
+    sim = run(spark, sf, [Option(p, policy=p, reps=REPS, seed=300) for p in twin.POLICIES]).where("kind = 'day' and option = 'forecast_reorder'")
+    return _rounded(sim.groupBy("day", "store", "category", F.col("product").alias("department")).agg(F.sum("stock").alias("on_hand"), F.sum("demand").alias("demand"), F.sum("lost").alias("lost")))
 
 
 def _curve(spark, sf) -> DataFrame:
@@ -112,18 +138,30 @@ def twin_policy_curve(spark, sf):
 @query()
 def equal_inventory(spark, sf):
     """Current practice's fill rate at the inventory that the forecast policy holds at its standard safety stock."""
-    c = materialised(_curve(spark, sf), "curve")
+    c = _curve(spark, sf)
     standard = c.where("policy = 'forecast_reorder' and safety_multiplier = 1.0").select(F.col("inventory_value").alias("at"), F.col("fill_rate").alias("forecast_fill"))
     return _rounded(twin.interpolate(c.where("policy = 'last_week_reorder'"), standard, "inventory_value", "fill_rate").select(F.col("at").alias("inventory_value"), F.col("forecast_fill"), F.col("value").alias("current_practice_fill")))
 
 
+def lost_bias(spark, sf) -> DataFrame:
+    """lost_bias: predicted over realised lost sales of the network under the forecast policy, 1 where there are none. One row."""
+    v = validation(spark, sf).where("metric = 'lost_sales_value' and store = 'all' and option = 'forecast_reorder'")
+    ratio = F.try_divide(F.sum("predicted"), F.sum("realised"))
+    return v.agg(F.coalesce(F.when(ratio > 0, ratio), F.lit(1.0)).alias("lost_bias"))
+
+
+def frontier_runs(spark, sf) -> DataFrame:
+    options = [Option("current", reps=REPS, seed=500)] + [Option(str(q), reps=REPS, seed=500, service_index=i) for i, q in enumerate(SERVICE_GRID)]
+    return run(spark, sf, options)
+
+
 @query()
 def twin_frontier(spark, sf):
     """Cost of each service level and category under three assumptions on lost sales, paired with the current setting."""
-    options = [Option("current", reps=REPS, seed=500)] + [Option(str(q), reps=REPS, seed=500, service_index=i) for i, q in enumerate(SERVICE_GRID)]
-    k = twin.kpis(run(spark, sf, options), "category").select("option", "rep", "category", "lost_margin", "holding_cost", "inventory_value", "fill_rate")
-    scale = F.explode(F.array(*(F.struct(F.lit(n).alias("assumption"), F.lit(v).alias("scale")) for n, v in (("as_simulated", 1.0), ("calibrated", 0.6), ("partly_kept", 0.24)))))
-    c = k.select("*", scale.alias("x")).select("option", "rep", "category", "inventory_value", "fill_rate", "x.assumption", (F.col("lost_margin") * F.col("x.scale") + F.col("holding_cost")).alias("cost"))
+    k = twin.kpis(frontier_runs(spark, sf), "category").select("option", "rep", "category", "lost_margin", "holding_cost", "inventory_value", "fill_rate")
+    bias = F.col("lost_bias")
+    scale = F.explode(F.array(*(F.struct(F.lit(n).alias("assumption"), v.alias("scale")) for n, v in (("as_simulated", F.lit(1.0)), ("calibrated", 1 / bias), ("partly_kept", LOST_SHARE / bias)))))
+    c = k.crossJoin(F.broadcast(lost_bias(spark, sf))).select("*", scale.alias("x")).select("option", "rep", "category", "inventory_value", "fill_rate", "x.assumption", (F.col("lost_margin") * F.col("x.scale") + F.col("holding_cost")).alias("cost"))
     now = c.where("option = 'current'").select("rep", "category", "assumption", F.col("cost").alias("current_cost"), F.col("inventory_value").alias("current_stock"))
     j = c.join(now, ["rep", "category", "assumption"]).withColumn("saving", F.col("current_cost") - F.col("cost")).withColumn("stock_change", F.col("inventory_value") - F.col("current_stock"))
     by = ["assumption", "category", "option"]
@@ -139,11 +177,9 @@ _NETWORK = REPORT + twin.DC_KPIS
 @query()
 def twin_stress(spark, sf):
     """Each scenario against business as usual on the same futures, by policy; the cut also under the other rationing rules."""
-    options = []
-    for p in twin.POLICIES:
-        options += [Option(f"base|{p}|proportional", policy=p, reps=REPS, seed=500)] + [Option(f"{n}|{p}|proportional", policy=p, reps=REPS, seed=500, shock=s) for n, s in SCENARIOS.items()]
-    for mode in ("days_of_cover", "value"):
-        options += [Option(f"{n}|forecast_reorder|{mode}", reps=REPS, seed=500, rationing=mode, shock=s) for n, s in (("base", Shock()), ("dc_cut", SCENARIOS["dc_cut"]))]
+    happening = {"base": Disruption()} | SCENARIOS
+    cases = [(n, p, "proportional") for p in twin.POLICIES for n in happening] + [(n, "forecast_reorder", mode) for mode in ("days_of_cover", "value") for n in ("base", "dc_cut")]
+    options = [Option("|".join(c), policy=c[1], reps=REPS, seed=500, rationing=c[2], disruption=happening[c[0]], answer=answer(c[0])) for c in cases]
     v = twin.long_form(twin.kpis(run(spark, sf, options)), ["option"], _NETWORK)
     part = lambda i: F.split_part("option", F.lit("|"), F.lit(i))
     v = v.select(part(1).alias("scenario"), part(2).alias("policy"), part(3).alias("rationing"), "rep", "metric", "value")
@@ -155,16 +191,14 @@ def twin_stress(spark, sf):
 
 @query()
 def twin_responses(spark, sf):
-    """Each scenario without and with each response: lost margin recovered less what the response costs."""
-    options = [Option("base|", reps=REPS, seed=500)]
-    for n, s in SCENARIOS.items():
-        options.append(Option(f"{n}|none", reps=REPS, seed=500, shock=s))
-        options += [Option(f"{n}|{key}", reps=REPS, seed=500, shock=Shock(**{**s.__dict__, **x})) for key, x in RESPONSES[n].items()]
+    """Each scenario without and with each response: lost margin recovered, as far as simulated losses are real ones, less what the response costs."""
+    cases = [("base", "", {}, Disruption())] + [(n, key, x, d) for n, d in SCENARIOS.items() for key, x in ({"none": {}} | RESPONSES[n]).items()]
+    options = [Option(f"{n}|{key}", reps=REPS, seed=500, disruption=d, answer=answer(n, **x)) for n, key, x, d in cases]
     k = twin.kpis(run(spark, sf, options)).select(F.split_part("option", F.lit("|"), F.lit(1)).alias("scenario"), F.split_part("option", F.lit("|"), F.lit(2)).alias("response"), "rep", "lost_sales_value", "lost_margin", "dc_fill_rate", "response_cost", (F.col("holding_cost") + F.col("dc_holding_cost") + F.col("response_cost")).alias("total_cost"))
     base = k.where("scenario = 'base'").select("rep", F.col("lost_sales_value").alias("usual_lost"))
     none = k.where("response = 'none'").select("scenario", "rep", F.col("lost_margin").alias("none_margin"), F.col("total_cost").alias("none_cost"))
     j = k.where("scenario <> 'base'").join(base, "rep").join(none, ["scenario", "rep"])
-    j = j.withColumn("added_lost_sales", F.col("lost_sales_value") - F.col("usual_lost")).withColumn("extra_cost", F.col("total_cost") - F.col("none_cost")).withColumn("net_benefit", F.col("none_margin") - F.col("lost_margin") - F.col("extra_cost"))
+    j = j.withColumn("added_lost_sales", F.col("lost_sales_value") - F.col("usual_lost")).withColumn("extra_cost", F.col("total_cost") - F.col("none_cost")).crossJoin(F.broadcast(lost_bias(spark, sf))).withColumn("net_benefit", (F.col("none_margin") - F.col("lost_margin")) / F.col("lost_bias") - F.col("extra_cost"))
     by = ["scenario", "response"]
     out = j.groupBy(*by).agg(F.avg("dc_fill_rate").alias("dc_fill_rate"), F.avg("response_cost").alias("premium"))
     for m in ("added_lost_sales", "extra_cost", "net_benefit"):

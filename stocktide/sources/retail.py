@@ -30,14 +30,26 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SOURCES = ("lineitem", "part", "supplier", "nation", "region")
 _silver: dict[tuple, DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """A silver table, built where it is missing: once for each session, source and state of the source's files, in the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, sf_dir, *name, status.getModificationTime(), status.getLen())
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, times and sizes of all files of the source tables: equal as long as the sources are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return tuple(sorted(out))
+
+
+def once(spark: SparkSession, sf_dir: str, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the shared folder, built where it is missing: once for each session, name and state of the sources."""
+    key = (spark.sparkContext.applicationId, sf_dir, *name, state(spark, sf_dir))
     if key not in _silver:
         _silver[key] = materialised(make(), "silver")
     return _silver[key]
@@ -46,7 +58,7 @@ def _once(spark: SparkSession, sf_dir: str, name: tuple, make: Callable[[], Data
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lo and hi, the first and last day: one row."""
     lines = table(spark, sf_dir, "lineitem")
-    return _once(spark, sf_dir, ("bounds",), lambda: lines.agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi")))
+    return once(spark, sf_dir, ("bounds",), lambda: lines.agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi")))
 
 
 def _event(date: Column) -> Column:
@@ -68,7 +80,7 @@ def calendar(spark: SparkSession, sf_dir: str, ahead: int = 0) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     """keys, date, sales, revenue of days with sales: the silver table that all panels read."""
-    return _once(spark, sf_dir, tuple(keys), lambda: fact(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("revenue").alias("revenue")))
+    return once(spark, sf_dir, tuple(keys), lambda: fact(spark, sf_dir).groupBy(*keys, "date").agg(F.sum("sales").alias("sales"), F.sum("revenue").alias("revenue")))
 
 
 def panel(spark: SparkSession, sf_dir: str, keys: list[str], last_days: int | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def test_stream_equals_batch(spark, sf):
 
 
 def test_what_if_requests_are_checked(spark, sf):
-    for bad in ({"reps": 51}, {"service_level": 0.5}, {"colour": 1}, {"scenario": {"rain": 1}}, {"policy": "guess"}):
+    for bad in ({"reps": 51}, {"service_level": 0.5}, {"colour": 1}, {"scenario": {"rain": 1}}, {"policy": "guess"}, {"seed": -1}, {"scenario": {"demand_scale": -5}}, {"scenario": {"delay": 10**6}}, {"scenario": {"delay": 1.5}}, {"scenario": {"days": [9, 3]}}, {"scenario": {"category": 7}}):
         with pytest.raises(ValueError):
             serve.simulate(spark, sf, bad)
     ask = {"reps": 2, "scenario": {"dc_factor": 0.5, "dc_days": [0, 7]}}
