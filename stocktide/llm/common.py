@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all runs in one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_shared_dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stocktide-")
         spark._own_shared_dir = path
     return path
