@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (tests only) an own folder where that is unset."""
+    """spark.checkpoint.dir, or an own folder where that is unset and all runs in one process."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_stocktide_folder", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark._stocktide_folder = "file://" + tempfile.mkdtemp(prefix="stocktide-")
     return path.rstrip("/")
 
