@@ -36,7 +36,7 @@ from .simhash import SEED, links, majority
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 3
 TRIE_BITS, BITS = 2, 22
-HUBS = 32
+HUBS = 8
 RARE = 32
 _PIECE = 1 << 12
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
@@ -120,8 +120,12 @@ def _sets(texts: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose sets' Jaccard similarity is at least LEAST."""
     x, y = (sets.select(F.col("node").alias(side), F.col("hashes").alias(f"of_{side}")) for side in "ab")
-    both = pairs.join(y, "b").join(x, "a").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-    return both.where(F.col("both") >= LEAST * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+    return pairs.join(y, "b").join(x, "a").where(_similar("of_a", "of_b")).select("a", "b")
+
+
+def _similar(a: str, b: str) -> Column:
+    """Whether two sets' Jaccard similarity is at least LEAST: both / (size + size - both)."""
+    return (1 + LEAST) * F.size(F.array_intersect(a, b)) >= LEAST * (F.size(a) + F.size(b)) - 1e-9
 
 
 def _may_be(a: str, b: str) -> Column:
@@ -190,18 +194,22 @@ def groups(signed: DataFrame, rows: DataFrame) -> DataFrame:
     # pairs without one have no more than their other shingles in common
     often = common.where(F.col("n") > RARE).groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("often"))
     now = now.join(often, F.col("x.node") == F.col("_node")).where(F.col("often") >= LEAST * F.col("x.n"))
-    now = written(now.select("key", F.struct("x.node", "x.fp", "x.n", F.col("often").alias("m")).alias("x"), "block"), "open")
+    now = now.select("key", F.struct("x.node", "x.fp", "x.n", F.col("often").alias("m")).alias("x"), "block", "_node")
+    now = written(now.join(sets.withColumnRenamed("node", "_node"), "_node").drop("_node"), "open")
     many, low, high = now.agg(F.max("block")).first()[0], 0, 1
     while met is not None or many is not None and low <= many:
-        grouped = written(_grouped(now, roots, "x.node"), "grouped")
-        hubs = grouped.where(F.col("block").between(low, high - 1)).select("key", F.col("x").alias("hub"), F.col("group").alias("hub_group"))
-        others = grouped.where(F.col("block").isNull() | (F.col("block") >= low))
-        pairs = others.join(hubs, "key").where("group <> hub_group").where(_may_be("x", "hub")).select(*_pair("x", "hub")).distinct()
-        more = written(_checked(pairs if met is None else pairs.unionByName(met).distinct(), sets), "links")
+        if met is not None:
+            more, met = written(_checked(met, sets), "links"), None
+        else:
+            grouped = _grouped(now, roots, "x.node")
+            hubs = grouped.where(F.col("block").between(low, high - 1)).select("key", F.col("x").alias("hub"), F.col("group").alias("hub_group"), F.col("hashes").alias("hub_hashes"))
+            others = grouped.where(F.col("block").isNull() | (F.col("block") >= low))
+            # checked in the join, so that only what is similar comes out of it
+            met = others.join(hubs, "key").where("group <> hub_group").where(_may_be("x", "hub")).where(_similar("hashes", "hub_hashes"))
+            more, met, low, high = written(met.select(*_pair("x", "hub")).distinct(), "links"), None, high, 4 * high + 1
         if more.limit(1).count():
             found = found.unionByName(more)
             roots = components(found)
-        met, low, high = None, high, 4 * high + 1
     return roots
 
 
