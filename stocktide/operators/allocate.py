@@ -1,5 +1,5 @@
 """Allocation of a short supply. The scenario problem is separable and concave, so taking segments of equal marginal value in
-falling order is optimal; rows are nodes, of which there are few after aggregation."""
+falling order is optimal; the order is taken by ranges of value (ordered.running), so no task holds all segments."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
+from . import ordered
 from .uncertainty import expected_fill, mean_of
 
 
@@ -25,9 +26,9 @@ def allocate(nodes: DataFrame, by: list[str], supply: Column, min_fill: float =
     seg = n.select(*by, "node", "weight", "left", "start", k.alias("k"), F.posexplode(F.array_sort("scenarios")).alias("j", "top"))
     under = F.coalesce(F.lag("top").over(W.partitionBy(*by, "node").orderBy("j")), F.lit(0.0))
     seg = seg.select(*by, "node", "left", "j", F.greatest(F.col("top") - F.greatest("start", under), F.lit(0.0)).alias("length"), (F.col("weight") * (F.col("k") - F.col("j")) / F.col("k")).alias("marginal"))
-    order = W.partitionBy(*by).orderBy(F.desc("marginal"), "node", "j").rowsBetween(W.unboundedPreceding, -1)
-    take = F.greatest(F.least(F.col("left") - F.coalesce(F.sum("length").over(order), F.lit(0.0)), F.col("length")), F.lit(0.0))
-    taken = seg.where("length > 0").withColumn("take", take).groupBy(*by, "node").agg(F.sum("take").alias("take"))
+    ranked = ordered.running(seg.where("length > 0").withColumn("_least", -F.col("marginal")), by, "_least", "length", ["node", "j"])
+    take = F.greatest(F.least(F.col("left") - F.col("before"), F.col("length")), F.lit(0.0))
+    taken = ranked.withColumn("take", take).groupBy(*by, "node").agg(F.sum("take").alias("take"))
     out = n.join(taken, [*by, "node"], "left").withColumn("allocated", F.col("floor") + F.coalesce("take", F.lit(0.0)))
     stock = F.col("allocated") + F.col("held")
     return out.select(*by, "node", "forecast", "weight", "held", "scenarios", "allocated", F.col("left").alias("slack"), expected_fill(stock).alias("expected_fill_rate"), mean_of(F.transform("scenarios", lambda d: (d > stock + 1e-9).cast("double"))).alias("stockout_risk"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
+from ..sources.store import materialised
+from . import ordered
 
 
 def psi(values: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
@@ -13,8 +15,10 @@ def psi(values: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
     Values at an edge go up, the outer bins are open, shares are at least 1e-6; 0 without values or with one bin.
     """
-    values = values.where("x is not null")
-    edges = values.where("not recent").groupBy(*by).agg(F.array_distinct(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias("edges"))
+    values = materialised(values.where("x is not null"), "values")
+    old = values.where("not recent")
+    wanted = old.select(*by).distinct().select(*by, F.explode(F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("q"))
+    edges = ordered.quantiles(old, by, "x", wanted, ordered.plain_position).groupBy(*by).agg(F.sort_array(F.collect_set("value")).alias("edges"))
     binned = values.join(edges, by).select(*by, "recent", "edges", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin"))
     counts = binned.groupBy(*by, "bin").agg(F.count_if("recent").alias("a"), F.count_if(~F.col("recent")).alias("e"), F.first(F.size("edges")).alias("n_edges"))
     totals = counts.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("e").alias("ne"), F.first("n_edges").alias("n_edges"), F.count("*").alias("seen"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import SERVICE_TARGETS
 from ..functions.exprs import div, lookup
+from . import ordered
 
 
 def zero_runs(panel: DataFrame) -> DataFrame:
@@ -35,12 +36,12 @@ def censoring_summary(flags: DataFrame, by: list[str]) -> DataFrame:
 def abc_class(revenue: DataFrame, key: str = "series_id", a: float = 0.80, b: float = 0.95) -> DataFrame:
     """revenue: key, revenue. The class by the share of revenue before the row, largest first (ties by key).
 
-    The running sum is one ordered pass over one row a series, after the revenue has been aggregated.
+    The running sum is taken by ranges of revenue (ordered.running), so no task holds all rows.
     """
-    order = W.orderBy(F.desc("revenue"), key)
-    before = F.coalesce(F.sum("revenue").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    share = F.coalesce(div(before, F.sum("revenue").over(W.partitionBy())), F.lit(1.0))
-    return revenue.select("*", F.when(share < a, "A").when(share < b, "B").otherwise("C").alias("abc"))
+    ranked = ordered.running(revenue.withColumn("_least", -F.col("revenue")), [], "_least", "revenue", [key])
+    total = revenue.agg(F.sum("revenue").alias("_total"))  # one row
+    share = F.coalesce(div(F.col("before"), F.col("_total")), F.lit(1.0))
+    return ranked.crossJoin(F.broadcast(total)).select(*revenue.columns, F.when(share < a, "A").when(share < b, "B").otherwise("C").alias("abc"))
 
 
 def xyz_class(weekly: DataFrame, key: str = "series_id", x: float = 0.5, y: float = 1.0) -> DataFrame:

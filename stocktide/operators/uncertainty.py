@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
+from . import ordered
 
 
 def level_position(q: Column, n: Column) -> Column:
@@ -17,13 +18,7 @@ def level_position(q: Column, n: Column) -> Column:
 
 def conformal_quantiles(scores: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     """wanted: by, q. Returns by, q, value, n: each group's quantile at its own levels, by rank and two-point interpolation."""
-    w = W.partitionBy(*by)
-    ranked = scores.where("score is not null").select(*by, "score", (F.row_number().over(w.orderBy("score")) - 1).alias("rank"), F.count("*").over(w).alias("n"))
-    j = ranked.join(wanted.distinct(), by) if by else ranked.crossJoin(wanted.distinct())
-    pos = level_position(F.col("q"), F.col("n"))
-    low = F.floor(pos)
-    part = F.when(F.col("rank") == low, F.col("score") * (1 - (pos - low))).when(F.col("rank") == low + 1, F.col("score") * (pos - low)).otherwise(0.0)
-    return j.groupBy(*by, "q").agg(F.sum(part).alias("value"), F.first("n").alias("n"))
+    return ordered.quantiles(scores, by, "score", wanted, level_position)
 
 
 def mondrian_quantiles(scores: DataFrame, segment: str, levels: list[float], min_count: int = 500) -> DataFrame:
@@ -63,7 +58,10 @@ def grid(k: int) -> list[float]:
 
 def score_grid(scores: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k mid-quantiles of each group's scores as an array."""
-    return scores.groupBy(*by).agg(F.percentile("score", F.array(*map(F.lit, grid(k)))).alias("quantiles"))
+    qs = F.explode(F.array(*map(F.lit, grid(k)))).alias("q")
+    wanted = scores.select(*by).distinct().select(*by, qs) if by else scores.sparkSession.range(1).select(qs)
+    found = ordered.quantiles(scores, by, "score", wanted, ordered.plain_position)
+    return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "value"))), lambda x: x["value"]).alias("quantiles"))
 
 
 def scenarios(points: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import q_forecast, q_models, q_panel, q_report, q_stock, q_streaming, q_twin  # noqa: F401
+from . import q_forecast, q_models, q_panel, q_report, q_stock, q_streaming, q_tree, q_twin  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -7,14 +7,13 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.store import log_run, write_gold
 from .catalogue import QUERIES
 
 #: Gold table -> the registered query that makes it.
 GOLD = {
-    "backtest_forecasts": "forecast_alignment", "prediction_intervals": "mondrian_interval", "safety_stock": "item_safety_stock", "allocation": "allocate_lp",
+    "forecasts": "served_forecasts", "backtest_forecasts": "forecast_alignment", "prediction_intervals": "mondrian_interval", "safety_stock": "item_safety_stock", "allocation": "allocate_lp",
     "allocation_backtest": "allocation_backtest_lp", "allocation_backtest_pro_rata": "allocation_backtest_pro_rata", "allocation_node_fill": "allocation_node_fill", "model_metrics": "level_metrics", "reconciliation_metrics": "reconcile_all",
     "interval_coverage": "interval_coverage", "interval_coverage_segment": "interval_coverage_segment", "probable_stockouts": "censoring_summary", "drift": "drift_table", "decision_accuracy": "decision_accuracy",
     "weekday_bias": "weekday_bias", "event_accuracy": "event_accuracy", "override_fva": "forecast_value_added", "bias_exceptions": "bias_exceptions", "planning_cycle": "planning_cycle", "twin_validation": "twin_validation",
@@ -22,11 +21,6 @@ GOLD = {
 }
 
 
-def forecasts(spark: SparkSession, sf_dir: str):
-    """Every reconciled node and day; the served method is the reconciled one."""
-    return QUERIES["mint_oos"](spark, sf_dir).select(F.col("node").alias("series_id"), "level", F.lit("mint_oos").alias("method"), "step", "forecast", F.lit(True).alias("served"))
-
-
 def summary(spark: SparkSession, sf_dir: str) -> dict:
     """What was selected and how good it is, as nested values."""
     rows = lambda name: [r.asDict() for r in QUERIES[name](spark, sf_dir).collect()]  # noqa: E731  a few rows each
@@ -39,9 +33,9 @@ def summary(spark: SparkSession, sf_dir: str) -> dict:
 def build(spark: SparkSession, sf_dir: str, folder: str, names: list[str] | None = None) -> dict:
     """Writes the tables (all, or the named ones), a run log and returns the summary: seconds by table."""
     took = {}
-    for name in names or ["forecasts", *GOLD]:
+    for name in names or GOLD:
         t = time.time()
-        write_gold({name: forecasts(spark, sf_dir) if name == "forecasts" else QUERIES[GOLD[name]](spark, sf_dir)}, folder)
+        write_gold({name: QUERIES[GOLD[name]](spark, sf_dir)}, folder)
         took[name] = round(time.time() - t, 2)
     if not names:
         text = json.dumps(summary(spark, sf_dir), default=str)

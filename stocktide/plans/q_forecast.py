@@ -9,7 +9,6 @@ from ..config import Config
 from ..functions.exprs import bias, lookup, r, wmape
 from ..operators import drift, forecast, metrics, reconcile
 from ..sources import retail
-from ..sources.store import materialised
 from ..sources.retail import P1
 from .q_panel import p2
 from .registry import define, query
@@ -314,71 +313,3 @@ def bottom_up(spark, sf):
     g = reconcile.clip_and_add_up(fc2(spark, sf), lv, ["date"])
     level = F.when(F.col("cat_id").isNotNull(), "category").when(F.col("state_id").isNotNull(), "state").otherwise("total")
     return g.select(level.alias("level"), F.when(level == "total", "total").otherwise(F.concat_ws("|", "cat_id", "state_id")).alias("node"), "date", "forecast")
-
-
-define("hist", "SELECT series_id, dept_id, cat_id, state_id, date, sales FROM p2 CROSS JOIN bounds WHERE date > hi - 91 AND date <= hi - 28")
-define("nhist", "SELECT series_id AS node, cat_id || '|' || state_id AS parent, 3 AS level, date, sum(sales) AS sales FROM hist GROUP BY ALL UNION ALL SELECT cat_id || '|' || state_id, state_id, 2, date, sum(sales) FROM hist GROUP BY ALL UNION ALL SELECT state_id, 'total', 1, date, sum(sales) FROM hist GROUP BY ALL UNION ALL SELECT 'total', '', 0, date, sum(sales) FROM hist GROUP BY ALL")
-define("nstat", "SELECT node, parent, level, avg(CASE WHEN date > hi - 56 THEN sales END) AS mean28, greatest(coalesce(var_samp(d), 0), 1e-9) AS w FROM (SELECT *, sales - lag(sales, 7) OVER (PARTITION BY node ORDER BY date) AS d FROM nhist) CROSS JOIN bounds GROUP BY ALL")
-define("nbase", "SELECT node, parent, level, step, w, CASE WHEN level = 3 THEN forecast ELSE mean28 END AS y FROM nstat CROSS JOIN (SELECT DISTINCT step FROM fc2) s LEFT JOIN (SELECT series_id, step AS st, forecast FROM fc2 WHERE fold = 'holdout' AND method = 'seasonal_naive') f ON f.series_id = node AND f.st = s.step")
-define("u3", "SELECT node, parent, step, y AS m, w AS v FROM nbase WHERE level = 3")
-for _k in (2, 1, 0):
-    define(f"s{_k}", f"SELECT parent AS node, step, sum(m) AS sm, sum(v) AS sv FROM u{_k + 1} GROUP BY ALL")
-    define(f"u{_k}", f"SELECT b.node, b.parent, b.step, (y / w + sm / sv) / (1 / w + 1 / sv) AS m, 1 / (1 / w + 1 / sv) AS v FROM nbase b JOIN s{_k} s ON s.node = b.node AND s.step = b.step WHERE level = {_k}")
-define("x0", "SELECT node, step, m AS x FROM u0")
-for _k in (1, 2, 3):
-    define(f"x{_k}", f"SELECT u.node, u.step, m + v / sv * (p.x - sm) AS x FROM u{_k} u JOIN x{_k - 1} p ON p.node = u.parent AND p.step = u.step JOIN s{_k - 1} s ON s.node = u.parent AND s.step = u.step")
-
-
-def tree_base(spark, sf):
-    """Leaves: seasonal naive; the nodes above: the mean of four weeks. Variance: of week-on-week changes over nine weeks."""
-    hi = F.broadcast(retail.bounds(spark, sf))
-    h = p2(spark, sf).crossJoin(hi).where((F.col("date") > F.date_sub("hi", 91)) & (F.col("date") <= F.date_sub("hi", 28)))
-    cat = F.concat_ws("|", "cat_id", "state_id")
-    node = F.explode(F.array(*(F.struct(n.alias("node"), p.alias("parent"), F.lit(k).alias("level")) for k, n, p in ((3, F.col("series_id"), cat), (2, cat, F.col("state_id")), (1, F.col("state_id"), F.lit("total")), (0, F.lit("total"), F.lit(""))))))
-    daily = h.select(node.alias("x"), "date", "sales", "hi").groupBy("x.node", "x.parent", "x.level", "date", "hi").agg(F.sum("sales").alias("sales"))
-    change = F.col("sales") - F.lag("sales", 7).over(W.partitionBy("node").orderBy("date"))
-    stat = daily.withColumn("d", change).groupBy("node", "parent", "level").agg(F.avg(F.when(F.col("date") > F.date_sub("hi", 56), F.col("sales"))).alias("mean28"), F.greatest(F.coalesce(F.var_samp("d"), F.lit(0.0)), F.lit(1e-9)).alias("w"))
-    steps = stat.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(28))))
-    leaf = fc2(spark, sf).select(F.col("series_id").alias("node"), "step", "forecast")
-    base = steps.join(leaf, ["node", "step"], "left").select("step", "node", "parent", "level", F.when(F.col("level") == 3, F.col("forecast")).otherwise(F.col("mean28")).alias("y"), "w")
-    return materialised(base, "tree")  # every level of the passes reads it
-
-
-@query(" UNION ALL ".join(f"SELECT {k} AS level, node, step, round(x, 4) AS forecast FROM x{k}" for k in range(4)))
-def mint_tree(spark, sf):
-    return reconcile.mint_tree(tree_base(spark, sf), 3, ["step"]).select("level", "node", "step", r("forecast").alias("forecast"))
-
-
-define("wtot", "SELECT step, CAST((step - 1) // 7 AS BIGINT) AS week, forecast FROM tot")
-
-
-@query("SELECT CAST(week AS BIGINT) AS week, step, round(greatest(forecast + (7 * 400.0 - sum(forecast) OVER (PARTITION BY week)) * 900.0 / (2500.0 + 7 * 900.0), 0), 4) AS forecast FROM wtot")
-def temporal_reconcile(spark, sf):
-    daily = fc2(spark, sf).groupBy("step").agg(F.sum("forecast").alias("forecast")).select(F.lit("total").alias("node"), F.floor((F.col("step") - 1) / 7).alias("week"), "step", "forecast", F.lit(900.0).alias("vd"))
-    weekly = daily.select("node", "week").distinct().select("node", "week", F.lit(2800.0).alias("total"), F.lit(2500.0).alias("vw"))
-    return reconcile.temporal(daily, weekly, ["node"]).select("week", "step", r("forecast").alias("forecast"))
-
-
-define("act3", "SELECT series_id, CAST(date - (hi - 28) AS INTEGER) AS step, cat_id, state_id, sales AS actual FROM p2 CROSS JOIN bounds WHERE date > hi - 28")
-define("recon", "SELECT 'base' AS method, node AS series_id, step, y AS forecast FROM nbase WHERE level = 3 UNION ALL SELECT 'top_down', series_id, step, proportion * forecast FROM props CROSS JOIN tot UNION ALL SELECT 'mint_diagonal', node, step, greatest(x, 0) FROM x3")
-
-
-@query("SELECT method, level, round(sum(abs(a - f)) / sum(a), 6) AS wmape FROM (SELECT method, level, step, node, sum(actual) AS a, sum(forecast) AS f FROM (SELECT r.method, l.level, r.step, CASE l.level WHEN 'series' THEN r.series_id WHEN 'category' THEN a.cat_id || '|' || a.state_id WHEN 'state' THEN a.state_id ELSE 'total' END AS node, actual, forecast FROM recon r JOIN act3 a ON a.series_id = r.series_id AND a.step = r.step CROSS JOIN (VALUES ('series'), ('category'), ('state'), ('total')) l(level)) GROUP BY ALL) GROUP BY ALL")
-def reconcile_all(spark, sf):
-    """The reconciliation menu on one fold: each method's leaves, clipped, added up and scored at each level."""
-    base = tree_base(spark, sf)
-    total = fc2(spark, sf).groupBy("step").agg(F.sum("forecast").alias("forecast"))
-    menu = base.where("level = 3").select(F.lit("base").alias("method"), F.col("node").alias("series_id"), "step", F.col("y").alias("forecast"))
-    menu = menu.unionByName(reconcile.top_down(props(spark, sf), F.broadcast(total)).select(F.lit("top_down").alias("method"), "series_id", "step", "forecast"))
-    menu = menu.unionByName(reconcile.mint_tree(base, 3, ["step"]).where("level = 3").select(F.lit("mint_diagonal").alias("method"), F.col("node").alias("series_id"), "step", F.greatest("forecast", F.lit(0.0)).alias("forecast")))
-    actual = p2(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28)).select("series_id", F.datediff("date", F.date_sub("hi", 28)).alias("step"), "cat_id", "state_id", F.col("sales").alias("actual"))
-    node = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), n.alias("node")) for k, n in (("series", F.col("series_id")), ("category", F.concat_ws("|", "cat_id", "state_id")), ("state", F.col("state_id")), ("total", F.lit("total"))))))
-    g = menu.join(actual, ["series_id", "step"]).select("method", node.alias("x"), "step", "actual", "forecast").groupBy("method", "x.level", "x.node", "step").agg(F.sum("actual").alias("actual"), F.sum("forecast").alias("forecast"))
-    return g.groupBy("method", "level").agg(r(wmape("actual", "forecast"), 6).alias("wmape"))
-
-
-@query("SELECT arg_min(method, w) AS method FROM (SELECT method, avg(w) AS w FROM (SELECT method, level, sum(abs(a - f)) / sum(a) AS w FROM (SELECT r.method, l.level, r.step, CASE l.level WHEN 'category' THEN a.cat_id || '|' || a.state_id WHEN 'state' THEN a.state_id ELSE 'total' END AS node, sum(actual) AS a, sum(forecast) AS f FROM recon r JOIN act3 a ON a.series_id = r.series_id AND a.step = r.step CROSS JOIN (VALUES ('category'), ('state'), ('total')) l(level) GROUP BY ALL) GROUP BY ALL) GROUP BY 1)")
-def serve_select(spark, sf):
-    """The coherent method with the least mean error over the levels above the series."""
-    e = reconcile_all(spark, sf).where("level <> 'series'").groupBy("method").agg(F.avg("wmape").alias("w"))
-    return e.agg(F.min_by("method", F.struct("w", "method")).alias("method"))

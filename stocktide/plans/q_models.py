@@ -6,10 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, wmape
-from ..operators import features, models, reconcile
+from ..operators import features, models
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
-from .q_forecast import fc1, fca, levels, p1, tree_base
+from .q_forecast import fc1, fca, levels, p1
 from .q_stock import banded
 from .registry import define, query
 
@@ -87,27 +87,6 @@ def seasonal_regression(spark, sf):
     return out.select("date", *(r(c).alias(c) for c in ("forecast", "lower", "upper")))
 
 
-define("omse", "SELECT node, avg((a - f) ** 2) AS mse FROM (SELECT node, date, sum(actual) AS a, sum(forecast) AS f FROM (SELECT unnest([cat_id || '|' || state_id, state_id, 'total']) AS node, date, actual, forecast FROM fca WHERE method = 'seasonal_naive' AND fold = 'backtest_3') GROUP BY ALL) GROUP BY 1")
-define("obase", "SELECT b.node, parent, level, step, y, greatest(coalesce(mse, w), 1e-9) AS w FROM nbase b LEFT JOIN omse o ON o.node = b.node")
-define("ou3", "SELECT node, parent, step, y AS m, w AS v FROM obase WHERE level = 3")
-for _k in (2, 1, 0):
-    define(f"os{_k}", f"SELECT parent AS node, step, sum(m) AS sm, sum(v) AS sv FROM ou{_k + 1} GROUP BY ALL")
-    define(f"ou{_k}", f"SELECT b.node, b.parent, b.step, (y / w + sm / sv) / (1 / w + 1 / sv) AS m, 1 / (1 / w + 1 / sv) AS v FROM obase b JOIN os{_k} s ON s.node = b.node AND s.step = b.step WHERE level = {_k}")
-define("ox0", "SELECT node, step, m AS x FROM ou0")
-for _k in (1, 2, 3):
-    define(f"ox{_k}", f"SELECT u.node, u.step, m + v / sv * (p.x - sm) AS x FROM ou{_k} u JOIN ox{_k - 1} p ON p.node = u.parent AND p.step = u.step JOIN os{_k - 1} s ON s.node = u.parent AND s.step = u.step")
-
-
-@query(" UNION ALL ".join(f"SELECT {k} AS level, node, step, round(x, 4) AS forecast FROM ox{k}" for k in range(4)))
-def mint_oos(spark, sf):
-    """The tree with variances from the earlier fold's errors in place of in-sample ones: mean squared errors, where there are any."""
-    base = tree_base(spark, sf)
-    errors = fca(spark, sf).where("method = 'seasonal_naive' and fold = 'backtest_3'").select(F.explode(F.array(F.concat_ws("|", "cat_id", "state_id"), "state_id", F.lit("total"))).alias("node"), "date", "actual", "forecast")
-    mse = errors.groupBy("node", "date").agg(F.sum("actual").alias("a"), F.sum("forecast").alias("f")).groupBy("node").agg(F.avg((F.col("a") - F.col("f")) ** 2).alias("mse"))
-    weighted = base.join(mse, "node", "left").withColumn("w", F.coalesce("mse", "w")).drop("mse")
-    return reconcile.mint_tree(weighted, 3, ["step"]).select("level", "node", "step", r("forecast").alias("forecast"))
-
-
 @query("SELECT fold, method, round(max(CASE WHEN level = 'series' THEN w END), 4) AS series, round(max(CASE WHEN level = 'category' THEN w END), 4) AS category, round(max(CASE WHEN level = 'state' THEN w END), 4) AS state, round(max(CASE WHEN level = 'total' THEN w END), 4) AS total FROM (SELECT fold, method, level, sum(abs(actual - forecast)) / sum(actual) AS w FROM lev GROUP BY ALL) GROUP BY ALL")
 def summary_pivot(spark, sf):
     """Error by level, levels as columns."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import retail
@@ -16,5 +14,5 @@ def stream_sliding_counts(spark, sf):
     """Sliding windows over the events as a stream."""
     schema = retail.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    out = limits.drain(limits.sliding_counts(stream), f"counts_{uuid.uuid4().hex}")
+    out = limits.drain(limits.sliding_counts(stream), ["user_id", "start"])
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..sources.store import exists, shared_folder
 
 
 def sliding_counts(events: DataFrame, window: str = "60 minutes", slide: str = "30 minutes", late: str = "2 hours") -> DataFrame:
@@ -18,8 +23,19 @@ def daily_sales(lines: DataFrame, late: str = "7 days") -> DataFrame:
     return s.groupBy(F.window("ts", "1 day"), "item_id").agg(F.sum("sales").alias("sales")).select(F.to_date("window.start").alias("date"), "item_id", "sales")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode over all that is there now and returns its rows, the last of each key.
+
+    Each micro-batch appends its changed rows to a table of the shared folder; nothing passes the driver.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def add(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")  # a repeated batch replaces itself
+
+    stream.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*stream.schema, StructField("_batch", IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], schema)
+    last = F.max_by(F.struct(*stream.columns), "_batch").alias("x")
+    return rows.groupBy(*keys).agg(last).select("x.*")
