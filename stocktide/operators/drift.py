@@ -37,12 +37,11 @@ def drift_table(demand: DataFrame, residual: DataFrame, by: list[str], threshold
     return d.join(e, by).join(means, by).withColumn("psi", worst).withColumn("drift", worst >= threshold)
 
 
-def retrain_flag(scores: DataFrame, node: str, recent: float, reference: float, threshold: float = 0.2, degradation: float = 0.10) -> DataFrame:
-    """One row: retrain, wmape_decay, reasons."""
-    decay = (recent - reference) / reference if reference else 0.0
+def retrain_flag(scores: DataFrame, node: str, errors: DataFrame, threshold: float = 0.2, degradation: float = 0.10) -> DataFrame:
+    """scores: node, psi; errors: one row, recent and reference. One row: retrain, wmape_decay, reasons."""
     names = F.array_sort(F.collect_list(F.when(F.col("psi") >= threshold, F.col(node))))
-    g = scores.agg(names.alias("names"))
+    g = scores.agg(names.alias("names")).crossJoin(errors.select((div(F.col("recent"), F.col("reference")) - 1).alias("wmape_decay")))
     drifted = F.when(F.size("names") > 0, F.concat(F.lit(f"PSI >= {threshold} for "), F.size("names").cast("string"), F.lit(" node(s): "), F.array_join("names", ", ")))
-    worse = F.lit(f"WMAPE degraded {decay:.1%} vs reference") if decay > degradation else F.lit(None).cast("string")
+    worse = F.when(F.col("wmape_decay") > degradation, f"WMAPE is worse than before by over {degradation} of it")
     reasons = F.concat_ws("; ", drifted, worse)
-    return g.select((reasons != "").alias("retrain"), F.lit(decay).alias("wmape_decay"), F.when(reasons == "", "stable").otherwise(reasons).alias("reasons"))
+    return g.select((reasons != "").alias("retrain"), "wmape_decay", F.when(reasons == "", "stable").otherwise(reasons).alias("reasons"))

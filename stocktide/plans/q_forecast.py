@@ -128,13 +128,14 @@ _REVIEW = "(1 + CASE cat_id WHEN 'ECONOMY' THEN 2 ELSE 7 END)"
 define("dacc", f"SELECT fold, method, {_REVIEW} AS window_days, cat_id, series_id, (step - 1) // {_REVIEW} AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM fca WHERE (step - 1) // {_REVIEW} < 28 // {_REVIEW} GROUP BY ALL")
 
 
-@query("SELECT fold, method, CAST(window_days AS INTEGER) AS window_days, cat_id, velocity, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0), 6) AS wmape, round(sum(forecast - actual) / nullif(sum(abs(actual)), 0), 6) AS bias, sum(actual) AS units FROM dacc JOIN (SELECT series_id, CASE WHEN avg(sales) >= 2 THEN 'fast' WHEN avg(sales) >= 0.5 THEN 'medium' WHEN avg(sales) >= 0.1 THEN 'slow' ELSE 'sporadic' END AS velocity FROM p1 GROUP BY 1) USING (series_id) GROUP BY ALL")
+@query("SELECT fold, method, CAST(window_days AS INTEGER) AS window_days, cat_id, velocity, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0), 6) AS wmape, round(sum(forecast - actual) / nullif(sum(abs(actual)), 0), 6) AS bias, sum(actual) AS units FROM dacc JOIN (SELECT series_id, CASE WHEN avg(sales) >= 2 THEN 'fast' WHEN avg(sales) >= 0.5 THEN 'medium' WHEN avg(sales) >= 0.1 THEN 'slow' ELSE 'sporadic' END AS velocity FROM p1 CROSS JOIN bounds WHERE date <= hi - 112 GROUP BY 1) USING (series_id) GROUP BY ALL")
 def decision_accuracy(spark, sf):
     from ..functions.exprs import velocity
 
     rows = fca(spark, sf).withColumn("window_days", F.lit(CFG.lead_days) + lookup(CFG.review_days, F.col("cat_id"), CFG.default_review))
     sums = metrics.window_sums(rows, F.col("window_days"), 28, ["actual", "forecast"], ["fold", "method", "window_days", "cat_id", "series_id"])
-    speed = p1(spark, sf).groupBy("series_id").agg(velocity(F.avg("sales")).alias("velocity"))
+    known = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") <= F.date_sub("hi", 112))  # before the first fold
+    speed = known.groupBy("series_id").agg(velocity(F.avg("sales")).alias("velocity"))
     out = metrics.wmape_bias(sums.join(speed, "series_id"), ["fold", "method", "window_days", "cat_id", "velocity"])
     return out.withColumns({"wmape": r("wmape", 6), "bias": r("bias", 6)})
 
@@ -222,13 +223,6 @@ def planning_cycle(spark, sf):
     return g.join(stability(spark, sf), "fold", "left")
 
 
-@query("SELECT round(avg(a - b), 6) AS mean, round(avg(a - b) - 2.131449545559323 * stddev_samp(a - b) / sqrt(count(*)), 6) AS lower, round(avg(a - b) + 2.131449545559323 * stddev_samp(a - b) / sqrt(count(*)), 6) AS upper, round(avg((a > b)::INT), 6) AS wins, count(*) AS n FROM (SELECT fold, win, max(CASE WHEN method = 'naive' THEN e END) AS a, max(CASE WHEN method <> 'naive' THEN e END) AS b FROM (SELECT fold, win, method, sum(abs(actual - forecast)) / sum(actual) AS e FROM wk GROUP BY ALL) GROUP BY ALL)")
-def paired_ci(spark, sf):
-    e = weeks(spark, sf).groupBy("fold", "window", "method").agg(wmape("actual", "forecast").alias("e"))
-    pairs = e.groupBy("fold", "window").pivot("method", ["naive", "seasonal_naive"]).agg(F.first("e")).select(F.col("naive").alias("a"), F.col("seasonal_naive").alias("b"))
-    return metrics.paired_ci(pairs).select(*(r(c, 6).alias(c) for c in ("mean", "lower", "upper", "wins")), "n")
-
-
 define("drx", "SELECT state_id, date > hi - 28 AS recent, ln(1 + sales) AS x FROM p1 CROSS JOIN bounds")
 define("dre", "SELECT state_id, fold = 'holdout' AS recent, actual - forecast AS x FROM fca WHERE method = 'seasonal_naive'")
 _PSI = "SELECT state_id, CASE WHEN max(na) > 0 AND max(ne) > 0 THEN sum((a - e) * ln(a / e)) ELSE 0 END AS psi FROM (SELECT state_id, na, ne, greatest(ca / na, 1e-6) AS a, greatest(ce / ne, 1e-6) AS e FROM (SELECT state_id, bin, sum(recent::INT) AS ca, sum((NOT recent)::INT) AS ce, sum(sum(recent::INT)) OVER (PARTITION BY state_id) AS na, sum(sum((NOT recent)::INT)) OVER (PARTITION BY state_id) AS ne FROM (SELECT v.state_id, recent, len(list_filter(list_distinct(q), lambda e: e <= x)) AS bin FROM {v} v JOIN (SELECT state_id, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM {v} WHERE NOT recent GROUP BY 1) qq USING (state_id)) GROUP BY state_id, bin)) GROUP BY 1"
@@ -253,9 +247,17 @@ def drift_table(spark, sf):
     return t.select("state_id", *(r(c).alias(c) for c in ("demand_psi", "residual_psi", "psi", "reference_mean", "recent_mean")), "drift")
 
 
-@query("SELECT count(*) > 0 AS retrain, 0.05 AS wmape_decay, CASE WHEN count(*) > 0 THEN 'PSI >= 0.002 for ' || count(*) || ' node(s): ' || string_agg(state_id, ', ' ORDER BY state_id) ELSE 'stable' END AS reasons FROM psid WHERE psi >= 0.002")
+_TOTAL_ERROR = "sum(CASE WHEN fold {f} 'holdout' THEN abs(actual - forecast) END) / sum(CASE WHEN fold {f} 'holdout' THEN actual END)"
+define("decay", f"SELECT now / before - 1 AS decay FROM (SELECT {_TOTAL_ERROR.format(f='=')} AS now, {_TOTAL_ERROR.format(f='<>')} AS before FROM fca WHERE method = 'seasonal_naive')")
+
+
+@query("SELECT reasons <> '' AS retrain, round(decay, 4) AS wmape_decay, CASE WHEN reasons = '' THEN 'stable' ELSE reasons END AS reasons FROM (SELECT decay, concat_ws('; ', CASE WHEN n > 0 THEN 'PSI >= 0.2 for ' || n || ' node(s): ' || names END, CASE WHEN decay > 0.1 THEN 'WMAPE is worse than before by over 0.1 of it' END) AS reasons FROM decay CROSS JOIN (SELECT count(*) AS n, string_agg(state_id, ', ' ORDER BY state_id) AS names FROM psid WHERE psi >= 0.2))")
 def retrain_flag(spark, sf):
-    return drift.retrain_flag(drift.psi(drift_values(spark, sf)[0], ["state_id"]), "state_id", 1.05, 1.0, threshold=0.002).withColumn("wmape_decay", r("wmape_decay"))
+    """Drift of the states' demand, and the holdout's error against the backtests'."""
+    f = fca(spark, sf).where("method = 'seasonal_naive'")
+    part = lambda now: F.try_divide(F.sum(F.when((F.col("fold") == "holdout") == now, F.abs(F.col("actual") - F.col("forecast")))), F.sum(F.when((F.col("fold") == "holdout") == now, F.col("actual"))))
+    decay = f.agg(part(True).alias("recent"), part(False).alias("reference"))
+    return drift.retrain_flag(drift.psi(drift_values(spark, sf)[0], ["state_id"]), "state_id", decay).withColumn("wmape_decay", r("wmape_decay"))
 
 
 @query("SELECT arg_min(method, w) AS method, round(min(w), 6) AS wmape FROM (SELECT method, avg(w) AS w FROM (SELECT fold, method, sum(abs(actual - forecast)) / sum(actual) AS w FROM fca WHERE fold LIKE 'backtest%' GROUP BY ALL) GROUP BY 1)")

@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, velocity, wmape
 from ..operators import metrics, twin
-from .q_forecast import fca, p1, weeks
-from .q_stock import banded, cal_scores
+from .q_forecast import fca, p1
+from .q_stock import banded, cal_scores, carried
 from .q_twin import _rounded, frontier_runs, inputs, twin_responses, twin_timeline, twin_validation
 from .registry import define, query
 
 
-@query("SELECT fold, win AS week, max(CASE WHEN method = 'naive' THEN e END) AS naive, max(CASE WHEN method <> 'naive' THEN e END) AS seasonal_naive, max(CASE WHEN method = 'naive' THEN e END) > max(CASE WHEN method <> 'naive' THEN e END) AS won FROM (SELECT fold, win, method, round(sum(abs(actual - forecast)) / sum(actual), 6) AS e FROM wk GROUP BY ALL) GROUP BY ALL")
+_SOLD = "SELECT week, sum(least(actual, held + allocated) * price) AS sold FROM {t} GROUP BY 1"
+define("polpair", f"SELECT week, l.sold AS lp, p.sold AS pro_rata FROM ({_SOLD.format(t='lwall')}) l JOIN ({_SOLD.format(t='pwall')}) p USING (week)")
+
+
+def pairs(spark, sf):
+    """What both allocation policies sell in each week, in money."""
+    sold = lambda policy: carried(spark, sf, policy).groupBy("week").agg(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated")) * F.col("price")).alias(policy))
+    return sold("lp").join(sold("pro_rata"), "week")
+
+
+@query("SELECT week, round(lp, 2) AS lp, round(pro_rata, 2) AS pro_rata, lp > pro_rata AS won FROM polpair")
 def policy_pairing(spark, sf):
-    """Two methods side by side for each fold and week."""
-    e = weeks(spark, sf).groupBy("fold", F.col("window").alias("week"), "method").agg(r(wmape("actual", "forecast"), 6).alias("e"))
-    p = e.groupBy("fold", "week").pivot("method", ["naive", "seasonal_naive"]).agg(F.first("e"))
-    return p.withColumn("won", F.col("naive") > F.col("seasonal_naive"))
+    """The scenario allocation and the pro-rata one side by side for each week."""
+    return pairs(spark, sf).select("week", r("lp", 2).alias("lp"), r("pro_rata", 2).alias("pro_rata"), (F.col("lp") > F.col("pro_rata")).alias("won"))
+
+
+@query("SELECT round(avg(lp - pro_rata), 4) AS mean, round(avg(lp - pro_rata) - 2.200985160082949 * stddev_samp(lp - pro_rata) / sqrt(count(*)), 4) AS lower, round(avg(lp - pro_rata) + 2.200985160082949 * stddev_samp(lp - pro_rata) / sqrt(count(*)), 4) AS upper, round(avg((lp > pro_rata)::INT), 6) AS wins, count(*) AS n FROM polpair")
+def paired_ci(spark, sf):
+    """Weekly gain of the scenario allocation over the pro-rata one, with a t interval over the weeks."""
+    ci = metrics.paired_ci(pairs(spark, sf).select(F.col("lp").alias("a"), F.col("pro_rata").alias("b")))
+    return ci.select(*(r(c).alias(c) for c in ("mean", "lower", "upper")), r("wins", 6).alias("wins"), "n")
 
 
 @query("SELECT state_id, cat_id, round(w, 6) AS wmape, round(w - min(w) OVER (PARTITION BY state_id), 6) AS gap_to_best FROM (SELECT state_id, cat_id, coalesce(sum(abs(actual - forecast)) / nullif(sum(actual), 0), 0) AS w FROM fca WHERE fold = 'holdout' AND method = 'seasonal_naive' GROUP BY ALL)")

@@ -157,7 +157,7 @@ _REV = "(1 + CASE cat_id WHEN 'ECONOMY' THEN 2 ELSE 7 END)"
 define("mean56", "SELECT series_id, avg(sales) AS m FROM p1 CROSS JOIN bounds WHERE date > hi - 84 AND date <= hi - 28 GROUP BY 1")
 define("wsum", f"SELECT fold, series_id, cat_id, {_REV} AS protection_days, (step - 1) // {_REV} AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM srows WHERE (step - 1) // {_REV} < 28 // {_REV} GROUP BY ALL")
 define("wscore", "SELECT protection_days, (actual - forecast) / greatest(m * protection_days, 1) AS score FROM wsum JOIN mean56 USING (series_id) WHERE fold <> 'holdout'")
-define("abc1", "SELECT series_id, CASE WHEN b / t < 0.8 THEN 'A' WHEN b / t < 0.95 THEN 'B' ELSE 'C' END AS abc FROM (SELECT series_id, coalesce(sum(revenue) OVER (ORDER BY revenue DESC, series_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(revenue) OVER () AS t FROM (SELECT series_id, round(sum(revenue), 2) AS revenue FROM p1 GROUP BY 1))")
+define("abc1", "SELECT series_id, CASE WHEN b / t < 0.8 THEN 'A' WHEN b / t < 0.95 THEN 'B' ELSE 'C' END AS abc FROM (SELECT series_id, coalesce(sum(revenue) OVER (ORDER BY revenue DESC, series_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(revenue) OVER () AS t FROM (SELECT series_id, round(sum(revenue), 2) AS revenue FROM p1 CROSS JOIN bounds WHERE date <= hi - 28 GROUP BY 1))")
 define("isq", _sqlq("wscore", "protection_days, ", "[0.98, 0.96, 0.93]"))
 
 
@@ -169,7 +169,8 @@ def item_safety_stock(spark, sf):
     sums = metrics.window_sums(rows, F.col("protection_days"), 28, ["actual", "forecast"], ["fold", "series_id", "protection_days"])
     p = p1(spark, sf)
     mean = p.crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") > F.date_sub("hi", 84)) & (F.col("date") <= F.date_sub("hi", 28))).groupBy("series_id").agg(F.avg("sales").alias("m"))
-    abc = stockouts.abc_class(p.groupBy("series_id").agg(r(F.sum("revenue"), 2).alias("revenue"))).select("series_id", "abc")
+    known = p.crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") <= F.date_sub("hi", 28))
+    abc = stockouts.abc_class(known.groupBy("series_id").agg(r(F.sum("revenue"), 2).alias("revenue"))).select("series_id", "abc")
     s = sums.join(mean, "series_id").withColumn("scale", F.greatest(F.col("m") * F.col("protection_days"), F.lit(1.0)))
     scores = s.where("fold <> 'holdout'").withColumn("score", (F.col("actual") - F.col("forecast")) / F.col("scale"))
     target = lookup({"A": 0.98, "B": 0.96}, F.col("abc"), 0.93)
@@ -180,7 +181,7 @@ def item_safety_stock(spark, sf):
 
 
 _MARGIN = "CASE cat_id WHEN 'ECONOMY' THEN 0.25 WHEN 'STANDARD' THEN 0.30 WHEN 'PROMO' THEN 0.40 ELSE 0.30 END"
-define("anodes", f"SELECT s.series_id AS node, s.forecast, scenarios, unit_price * {_MARGIN} AS weight, h.sales AS held FROM scen s JOIN uprice USING (series_id) JOIN (SELECT series_id, sales FROM p1 CROSS JOIN bounds WHERE date = hi - 28) h USING (series_id)")
+define("anodes", f"SELECT s.series_id AS node, s.forecast, scenarios, unit_price * {_MARGIN} AS weight, greatest(h.held + h.allocated - h.actual, 0) AS held FROM scen s JOIN uprice USING (series_id) JOIN pw11 h ON h.node = s.series_id")
 define("aprep", "SELECT *, greatest(0.5 * forecast - held, 0) AS flo, held + greatest(0.5 * forecast - held, 0) AS start FROM anodes")
 define("aseg", "SELECT node, j, weight * (25 - j + 1) / 25 AS marginal, greatest(s[j] - greatest(start, coalesce(s[j - 1], 0)), 0) AS length FROM (SELECT *, list_sort(scenarios) AS s FROM aprep) CROSS JOIN range(1, 26) t(j)")
 define("atake", "SELECT node, sum(greatest(least(budget - before, length), 0)) AS take FROM (SELECT *, coalesce(sum(length) OVER (ORDER BY marginal DESC, node, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT 0.9 * sum(forecast) - sum(flo) FROM aprep) AS budget FROM aseg WHERE length > 0) GROUP BY 1")
@@ -188,9 +189,11 @@ define("alp", "SELECT node, forecast, held, scenarios, flo + coalesce(take, 0) A
 
 
 def alloc_nodes(spark, sf):
+    """The holdout's first week; on hand is what the twelve allocated weeks before it leave."""
     p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))
     price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("unit_price"))
-    held = p.where(F.col("date") == F.date_sub("hi", 28)).select("series_id", F.col("sales").alias("held"))
+    left = F.greatest(F.col("held") + F.col("allocated") - F.col("actual"), F.lit(0.0))
+    held = carried(spark, sf, "pro_rata").where(F.col("week") == WEEKS - 1).select(F.col("node").alias("series_id"), left.alias("held"))
     n = scen(spark, sf).join(price, "series_id").join(held, "series_id")
     return n.select(F.lit("next").alias("run"), F.col("series_id").alias("node"), "forecast", (F.col("unit_price") * lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)).alias("weight"), "held", "scenarios")
 
@@ -210,39 +213,58 @@ def allocate_pro_rata(spark, sf):
     return al.pro_rata(alloc_nodes(spark, sf), ["run"], _supply()).select("node", "forecast", "held", r("allocated").alias("allocated"))
 
 
-define("wk0", "SELECT series_id AS node, CAST((step - 1) // 7 AS INTEGER) AS week, sum(forecast) AS forecast, sum(actual) AS actual FROM srows WHERE fold = 'holdout' GROUP BY ALL")
-_pw = "SELECT node, week, forecast, actual, held, greatest(forecast - held, 0) / sum(greatest(forecast - held, 0)) OVER () * least(0.9 * sum(forecast) OVER (), sum(greatest(forecast - held, 0)) OVER ()) AS allocated FROM ({src})"
-define("pw0", _pw.format(src="SELECT node, week, forecast, actual, 0.0 AS held FROM wk0 WHERE week = 0"))
-for _k in (1, 2, 3):
-    define(f"pw{_k}", _pw.format(src=f"SELECT w.node, w.week, w.forecast, w.actual, greatest(p.held + p.allocated - p.actual, 0) AS held FROM wk0 w JOIN pw{_k - 1} p ON p.node = w.node WHERE w.week = {_k}"))
-define("pwall", " UNION ALL ".join(f"SELECT * FROM pw{k}" for k in range(4)))
-
-
-def carried(spark, sf, policy: str):
-    """Four weeks of allocation, unsold stock carried from week to week: node, week, actual, held, allocated."""
-    weeks = srows(spark, sf).where("fold = 'holdout'").groupBy(F.col("series_id").alias("node"), F.floor((F.col("step") - 1) / 7).cast("int").alias("week")).agg(F.sum("forecast").alias("forecast"), F.sum("actual").alias("actual"))
+WEEKS = 4 * CFG.folds
+define("upb", "SELECT series_id, coalesce(sum(revenue) / nullif(sum(sales), 0), 1) AS price FROM p1 CROSS JOIN bounds WHERE date > hi - 140 AND date <= hi - 112 GROUP BY 1")
+define("wk0", f"SELECT node, w.week, w.forecast, w.actual, price, price * margin AS weight, list_transform(quantiles, lambda q: greatest(w.forecast + scale * q, 0)) AS scenarios FROM (SELECT series_id AS node, CAST(4 * (ascii(right(fold, 1)) - 49) + (step - 1) // 7 AS INTEGER) AS week, sum(forecast) AS forecast, sum(actual) AS actual, any_value(scale) AS scale, any_value({_MARGIN}) AS margin FROM srows WHERE fold <> 'holdout' GROUP BY ALL) w JOIN upb ON upb.series_id = node CROSS JOIN gridq")
+_carry = lambda p, k: f"SELECT w.*, {f'greatest(p.held + p.allocated - p.actual, 0)' if k else '0.0'} AS held FROM wk0 w {f'JOIN {p}{k - 1} p ON p.node = w.node' if k else ''} WHERE w.week = {k}"
+for _k in range(WEEKS):
+    define(f"pw{_k}", f"SELECT node, week, forecast, actual, price, held, greatest(forecast - held, 0) / sum(greatest(forecast - held, 0)) OVER () * least(0.9 * sum(forecast) OVER (), sum(greatest(forecast - held, 0)) OVER ()) AS allocated FROM ({_carry('pw', _k)})")
+    define(f"lprep{_k}", f"SELECT *, greatest(0.5 * forecast - held, 0) AS flo, held + greatest(0.5 * forecast - held, 0) AS start FROM ({_carry('lw', _k)})")
+    define(f"lseg{_k}", f"SELECT node, j, weight * (25 - j + 1) / 25 AS marginal, greatest(s[j] - greatest(start, coalesce(s[j - 1], 0)), 0) AS length FROM (SELECT *, list_sort(scenarios) AS s FROM lprep{_k}) CROSS JOIN range(1, 26) t(j)")
+    define(f"ltake{_k}", f"SELECT node, sum(greatest(least(budget - before, length), 0)) AS take FROM (SELECT *, coalesce(sum(length) OVER (ORDER BY marginal DESC, node, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT 0.9 * sum(forecast) - sum(flo) FROM lprep{_k}) AS budget FROM lseg{_k} WHERE length > 0) GROUP BY 1")
+    define(f"lw{_k}", f"SELECT node, week, forecast, actual, price, held, flo + coalesce(take, 0) AS allocated FROM lprep{_k} LEFT JOIN ltake{_k} USING (node)")
+define("pwall", " UNION ALL ".join(f"SELECT * FROM pw{k}" for k in range(WEEKS)))
+define("lwall", " UNION ALL ".join(f"SELECT * FROM lw{k}" for k in range(WEEKS)))
+
+
+def _weeks(spark, sf):
+    """The backtests' weeks in order: node, week, forecast, actual, price, weight, scenarios; prices from before the first of them."""
+    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))  # one row
+    price = p.where((F.col("date") > F.date_sub("hi", 140)) & (F.col("date") <= F.date_sub("hi", 112))).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("price"))
+    week = (4 * (F.substring("fold", -1, 1).cast("int") - 1) + F.floor((F.col("step") - 1) / 7)).cast("int")
+    rows = cal_scores(spark, sf).groupBy("series_id", "cat_id", week.alias("week")).agg(F.sum("forecast").alias("forecast"), F.sum("actual").alias("actual"), F.first("scale").alias("scale")).join(price, "series_id")
+    with_scenarios = un.scenarios(rows, un.score_grid(cal_scores(spark, sf), [], CFG.scenarios), [])
+    return with_scenarios.select(F.col("series_id").alias("node"), "week", "forecast", "actual", "price", (F.col("price") * lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)).alias("weight"), "scenarios")
+
+
+def _carried(spark, sf, policy: str):
+    weeks = retail.once(spark, sf, ("weeks",), lambda: _weeks(spark, sf))
     held, out = None, []
-    extra = alloc_nodes(spark, sf).select("node", "weight", "scenarios") if policy == "lp" else None
-    for k in range(4):
+    for k in range(WEEKS):
         now = weeks.where(F.col("week") == k)
         now = now.withColumn("held", F.lit(0.0)) if held is None else now.join(held, "node")
         if policy == "lp":
-            done = al.allocate(now.join(extra, "node"), ["week"], _supply(), CFG.min_fill).select("node", "week", "forecast", "held", "allocated").join(now.select("node", "actual"), "node")
+            done = al.allocate(now, ["week"], _supply(), CFG.min_fill).select("node", "week", "forecast", "held", "allocated").join(now.select("node", "actual", "price"), "node")
         else:
             done = al.pro_rata(now, ["week"], _supply())
-        done = materialised(done.select("node", "week", "forecast", "actual", "held", "allocated"), "week")
+        done = materialised(done.select("node", "week", "forecast", "actual", "price", "held", "allocated"), "week")
         held = done.select("node", F.greatest(F.col("held") + F.col("allocated") - F.col("actual"), F.lit(0.0)).alias("held"))
         out.append(done)
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def carried(spark, sf, policy: str):
+    """The backtests' weeks of allocation, unsold stock carried from week to week: node, week, forecast, actual, price, held, allocated."""
+    return retail.once(spark, sf, ("carried", policy), lambda: _carried(spark, sf, policy))
+
+
 @query("SELECT week, round(sum(allocated), 4) AS allocated, round(sum(least(actual, held + allocated)) / nullif(sum(actual), 0), 6) AS fill_rate, sum(actual) AS demand FROM pwall GROUP BY 1")
 def allocation_backtest_pro_rata(spark, sf):
     c = carried(spark, sf, "pro_rata")
     return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.try_divide(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))), F.sum("actual")), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
 
 
-@query()
+@query("SELECT week, round(sum(allocated), 4) AS allocated, round(sum(least(actual, held + allocated)) / nullif(sum(actual), 0), 6) AS fill_rate, sum(actual) AS demand FROM lwall GROUP BY 1")
 def allocation_backtest_lp(spark, sf):
     c = carried(spark, sf, "lp")
     return c.groupBy("week").agg(r(F.sum("allocated")).alias("allocated"), r(F.try_divide(F.sum(F.least(F.col("actual"), F.col("held") + F.col("allocated"))), F.sum("actual")), 6).alias("fill_rate"), F.sum("actual").alias("demand"))
