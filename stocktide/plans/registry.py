@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import EVENTS, Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # SQL of queries, without its CTEs
 
 _EVENT = "CASE strftime(date, '%m-%d') " + " ".join(f"WHEN '{d}' THEN '{n}'" for d, n in EVENTS.items()) + " END"
 CTES = {
@@ -60,7 +60,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = oracle(sql)
+            BODIES[f.__name__] = sql
         return f
 
     return add
