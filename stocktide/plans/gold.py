@@ -1,9 +1,8 @@
-"""From the warehouse tables to the gold tables: python -m stocktide SF_DIR FOLDER [TABLE...]."""
+"""From the warehouse tables to the gold tables: python -m stocktide gold SF_DIR FOLDER [TABLE...]."""
 
 from __future__ import annotations
 
 import json
-import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -42,9 +41,3 @@ def build(spark: SparkSession, sf_dir: str, folder: str, names: list[str] | None
         spark.createDataFrame([(text,)], "json string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_summary.json")
     log_run(took, spark, f"{folder}/run_log", f"run-{int(time.time())}")
     return {"source": sf_dir, "seconds": took}
-
-
-def main() -> None:
-    from ..session import session
-
-    print(json.dumps(build(session(), sys.argv[1], sys.argv[2], sys.argv[3:] or None)))

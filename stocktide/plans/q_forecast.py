@@ -198,29 +198,37 @@ define("runt", "SELECT fold, hi - back AS origin, k FROM bounds CROSS JOIN (VALU
 define("runs", "SELECT o.fold, o.k, s.series_id, h::INTEGER AS step, CAST(o.origin + h::INTEGER AS DATE) AS date, w.sales AS forecast, a.sales AS actual FROM runt o CROSS JOIN (SELECT DISTINCT series_id FROM p1) s CROSS JOIN range(1, 29) t(h) JOIN p1 w ON w.series_id = s.series_id AND w.date = o.origin - 6 + CAST((h - 1) % 7 AS INTEGER) JOIN p1 a ON a.series_id = s.series_id AND a.date = o.origin + h::INTEGER")
 
 
-def weekly_runs(spark, sf):
-    runs = forecast.origins(retail.bounds(spark, sf), _WEEKS)
+def weekly_runs(spark, sf, weeks=_WEEKS):
+    runs = forecast.origins(retail.bounds(spark, sf), weeks)
     f = forecast.floors(p1(spark, sf), runs).where("method = 'seasonal_naive'").drop("method")
-    return forecast.with_actuals(f, p1(spark, sf)).withColumn("k", F.substring("fold", 6, 2).cast("int"))
+    return forecast.with_actuals(f, p1(spark, sf)).withColumn("k", F.substring_index("fold", "_", -1).cast("int"))
 
 
-@query("SELECT a.fold, round(sum(abs(b.forecast - a.forecast)) / sum(abs(b.forecast)), 6) AS stability FROM runs a JOIN runs b ON b.series_id = a.series_id AND b.date = a.date AND b.k = a.k - 1 GROUP BY 1")
-def stability(spark, sf):
-    runs = weekly_runs(spark, sf)
+def _stability(runs):
     old = runs.select("series_id", "date", (F.col("k") + 1).alias("k"), "forecast")
     return metrics.stability(old, runs, ["series_id", "date", "k"], ["fold"]).select("fold", r("stability", 6).alias("stability"))
 
 
+@query("SELECT a.fold, round(sum(abs(b.forecast - a.forecast)) / sum(abs(b.forecast)), 6) AS stability FROM runs a JOIN runs b ON b.series_id = a.series_id AND b.date = a.date AND b.k = a.k - 1 GROUP BY 1")
+def stability(spark, sf):
+    return _stability(weekly_runs(spark, sf))
+
+
 define("stab", "SELECT a.fold, sum(abs(b.forecast - a.forecast)) / sum(abs(b.forecast)) AS st FROM runs a JOIN runs b ON b.series_id = a.series_id AND b.date = a.date AND b.k = a.k - 1 GROUP BY 1")
 
 
 @query("SELECT fold, round(sum(CASE WHEN step <= 7 THEN abs(actual - forecast) END) / sum(CASE WHEN step <= 7 THEN actual END), 6) AS next_week_wmape, round(sum(abs(actual - forecast)) / sum(actual), 6) AS four_week_wmape, round(sum(forecast - actual) / sum(actual), 6) AS four_week_bias, round(any_value(st), 6) AS stability FROM runs LEFT JOIN stab USING (fold) GROUP BY 1")
 def planning_cycle(spark, sf):
     """A row for each weekly re-run of the forecast."""
-    runs = weekly_runs(spark, sf)
+    return replay(spark, sf)
+
+
+def replay(spark, sf, weeks: int = len(_WEEKS)):
+    """The floor made anew at each of the last `weeks` weekly origins that have four weeks after them: its errors and how far it moved."""
+    runs = weekly_runs(spark, sf, {f"week_{k}": CFG.horizon + 7 * (weeks - 1 - k) for k in range(weeks)})
     near = lambda c: F.sum(F.when(F.col("step") <= 7, c))
     g = runs.groupBy("fold").agg(r(near(F.abs(F.col("actual") - F.col("forecast"))) / near(F.col("actual")), 6).alias("next_week_wmape"), r(wmape("actual", "forecast"), 6).alias("four_week_wmape"), r(bias("actual", "forecast"), 6).alias("four_week_bias"))
-    return g.join(stability(spark, sf), "fold", "left")
+    return g.join(_stability(runs), "fold", "left")
 
 
 define("drx", "SELECT state_id, date > hi - 28 AS recent, ln(1 + sales) AS x FROM p1 CROSS JOIN bounds")

@@ -87,6 +87,11 @@ def build_if_missing(spark: SparkSession, raw: str, silver: str, states: list[st
     return lacking
 
 
+def states(spark: SparkSession, raw: str) -> list[str]:
+    """The states of the raw sales file: a short list."""
+    return sorted(r[0] for r in load(spark, raw)[0].select("state_id").distinct().collect())
+
+
 def snap_flag(df: DataFrame) -> DataFrame:
     """The SNAP flag of each row's own state."""
     out = F.lit(0)
