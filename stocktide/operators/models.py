@@ -74,7 +74,8 @@ def _residuals(y: np.ndarray, phi: float, theta: float, season: float, s: int) -
 
 
 def sarima(values: np.ndarray, horizon: int, season: int = 7) -> tuple[np.ndarray, float]:
-    """(forecast at least zero, residual variance) of (1,1,1)(0,1,1)_season, or of (1,1,1) for season 0."""
+    """(forecast at least zero, residual variance) of (1,1,1)(0,1,1)_season, or of (1,1,1) for season 0. A series that leaves fewer than
+    twenty (or two seasons of) differences is repeated from its last season, with variance 0."""
     x = np.asarray(values, float)
     d = np.diff(x)
     burn = 2

@@ -6,23 +6,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, wmape
-from ..operators import features, models
+from ..operators import features, models, stockouts
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
-from .q_forecast import fc1, fca, levels, p1
+from .q_forecast import CFG, fc1, fca, levels, p1
 from .q_stock import banded
 from .registry import define, query
 
 
 def _frame(spark, sf):
-    """Features of the fast panel with the holdout marked."""
+    """Features of the last Config.history_days of the fast panel: `test` marks the holdout, `learn` the rows to fit on."""
     p = p1(spark, sf)
     cal = features.event_distance(retail.calendar(spark, sf)).select("date", "snap", "days_to_next", "days_since", "event_name")
     f = features.add_features(p).join(F.broadcast(cal), "date").crossJoin(F.broadcast(retail.bounds(spark, sf)))  # a row a day
     code = F.dense_rank().over(W.orderBy("series_id")) - 1
     codes = p.select("series_id").distinct().select("series_id", code.cast("double").alias("series_code"))
     f = f.join(codes, "series_id").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("price_ratio", F.coalesce("price_ratio", F.lit(1.0))).withColumn("price_change_7", F.coalesce("price_change_7", F.lit(0.0)))
-    return materialised(f.where((F.col("date") > F.date_sub("hi", 548)) & F.col("rolling_mean_56").isNotNull()).withColumn("test", F.col("date") > F.date_sub("hi", 28)), "features")
+    f = f.where((F.col("date") > F.date_sub("hi", CFG.history_days)) & F.col("rolling_mean_56").isNotNull()).withColumn("test", F.col("date") > F.date_sub("hi", 28))
+    # not to be learned from: closed days and probable stock-outs
+    flagged = stockouts.probable_stockouts(p).where("flagged").select("series_id", "date", F.lit(True).alias("_out"))
+    f = f.join(flagged, ["series_id", "date"], "left").withColumn("learn", ~F.col("test") & F.col("_out").isNull() & ~F.col("event_name").eqNullSafe("Christmas")).drop("_out")
+    return materialised(f, "features")
 
 
 def _scored(rows):
@@ -33,33 +37,33 @@ def _scored(rows):
 def gbt_global(spark, sf):
     """One pooled model, scored on the holdout."""
     f = _frame(spark, sf)
-    cols = [c for c in models.feature_columns(f) if not c.startswith("price")]
-    return _scored(models.predict_gbt(models.fit_gbt(f.where("not test"), cols), f.where("test"), cols))
+    cols = models.feature_columns(f)
+    return _scored(models.predict_gbt(models.fit_gbt(f.where("learn"), cols), f.where("test"), cols))
 
 
 @query()
 def gbt_local(spark, sf):
     """One model for each state."""
     f = _frame(spark, sf)
-    cols = [c for c in models.feature_columns(f) if not c.startswith("price")]
+    cols = models.feature_columns(f)
     states = [x[0] for x in retail.table(spark, sf, "region").select("r_name").orderBy("r_name").collect()]
-    return _scored(models.local_gbt(f.where("not test"), f.where("test"), cols, "state_id", states, trees=8))
+    return _scored(models.local_gbt(f.where("learn"), f.where("test"), cols, "state_id", states, trees=8))
 
 
 @query()
 def tweedie_glm(spark, sf):
     f = _frame(spark, sf)
-    cols = [c for c in models.feature_columns(f) if not c.startswith("price")]
-    model = models.fit_tweedie(f.where("not test"), cols)
+    cols = models.feature_columns(f)
+    model = models.fit_tweedie(f.where("learn"), cols)
     rows = model.transform(models._assembled(f.where("test"), cols)).withColumn("forecast", F.greatest("prediction", F.lit(0.0)))
     return _scored(rows)
 
 
 def _node_days(spark, sf, weekly=False):
     """Daily (or whole-week) sums of the states and the total up to the holdout's origin."""
-    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") <= F.date_sub("hi", 28)) & (F.col("date") > F.date_sub("hi", 28 + 364)))
+    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") <= F.date_sub("hi", 28)) & (F.col("date") > F.date_sub("hi", 28 + CFG.sarima_days)))
     node = F.explode(F.array("state_id", F.lit("total")))
-    day = F.date_add(F.date_sub("hi", 28 + 363), (F.floor(F.datediff("date", F.date_sub("hi", 28 + 363)) / 7) * 7).cast("int")) if weekly else F.col("date")
+    day = F.date_add(F.date_sub("hi", 27 + CFG.sarima_days), (F.floor(F.datediff("date", F.date_sub("hi", 27 + CFG.sarima_days)) / 7) * 7).cast("int")) if weekly else F.col("date")
     return p.select(node.alias("node"), day.alias("date"), "sales").groupBy("node", "date").agg(F.sum("sales").alias("sales"))
 
 

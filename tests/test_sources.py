@@ -92,3 +92,42 @@ def test_what_if_requests_are_checked(spark, sf):
             serve.simulate(spark, sf, bad)
     ask = {"reps": 2, "scenario": {"dc_factor": 0.5, "dc_days": [0, 7]}}
     assert serve.simulate(spark, sf, ask) is serve.simulate(spark, sf, dict(ask)) and serve.simulate(spark, sf, ask).count() == 34
+
+
+def test_gold_build_is_what_the_service_reads(spark, sf, tmp_path):
+    """One build of the served forecasts, read through the service; a bundle written and read; unknown commands."""
+    from stocktide.__main__ import main
+    from stocktide.plans import gold, q_twin
+
+    folder = str(tmp_path)
+    assert set(gold.build(spark, sf, folder, ["forecasts"])["seconds"]) == {"forecasts"}
+    s = serve.Service(spark, folder)
+    page, total = s.get_forecast(level="state", limit=50)
+    assert total == 28 * spark.read.parquet(f"{sf}/region.parquet").count() and page.select("method").distinct().count() == 1
+    assert s.get_forecast(series="total", level="total")[1] == 28 and s.get_forecast(method="base", level="total")[1] == 28
+    rows = page.where("forecast < 0 or date is null or not served").count()
+    assert rows == 0
+    state = {(r.series_id, r.date): r.forecast for r in s.get_forecast(level="state", limit=5000)[0].collect()}
+    whole = {r.date: r.forecast for r in s.get_forecast(level="total", limit=5000)[0].collect()}
+    for day, value in whole.items():  # coherent: the states add up to the total
+        assert abs(sum(v for (_, d), v in state.items() if d == day) - value) < 0.01
+    serve.write_bundle(spark, sf, f"{folder}/bundle")
+    assert serve.read_bundle(spark, f"{folder}/bundle").count() == q_twin.inputs(spark, sf).count() > 0
+    with pytest.raises(SystemExit):
+        main(["fly"])
+
+
+def test_silver_follows_every_source(spark, sf, tmp_path):
+    """A changed dimension makes a new silver table."""
+    import shutil
+
+    from stocktide.sources import retail
+
+    copy = tmp_path / "sf"
+    shutil.copytree(sf, copy)
+    copy.chmod(0o755)
+    first = retail.once(spark, str(copy), ("x",), lambda: spark.range(1))
+    assert retail.once(spark, str(copy), ("x",), lambda: spark.range(2)) is first
+    (copy / "nation.parquet").chmod(0o644)
+    (copy / "nation.parquet").touch()
+    assert retail.once(spark, str(copy), ("x",), lambda: spark.range(2)).count() == 2
