@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import MIN_LAG
 from ..functions.exprs import bias, r, wmape
 from ..operators import features, models, stockouts
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
 from .q_forecast import CFG, fc1, fca, levels, p1
 from .q_stock import banded
-from .registry import define, query
+from .registry import query
 
 
 def _frame(spark, sf):
     """Features of the last Config.history_days of the fast panel: `test` marks the holdout, `learn` the rows to fit on."""
     p = p1(spark, sf)
     cal = features.event_distance(retail.calendar(spark, sf)).select("date", "snap", "days_to_next", "days_since", "event_name")
-    f = features.add_features(p).join(F.broadcast(cal), "date").crossJoin(F.broadcast(retail.bounds(spark, sf)))  # a row a day
+    # a day's own price is known only where something was sold, so models get the last one from before the horizon
+    before = W.partitionBy("series_id").orderBy("date").rowsBetween(W.unboundedPreceding, -MIN_LAG)
+    f = features.add_features(p.withColumn("price", F.last("price", ignorenulls=True).over(before))).join(F.broadcast(cal), "date").crossJoin(F.broadcast(retail.bounds(spark, sf)))  # a row a day
     code = F.dense_rank().over(W.orderBy("series_id")) - 1
     codes = p.select("series_id").distinct().select("series_id", code.cast("double").alias("series_code"))
     f = f.join(codes, "series_id").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("price_ratio", F.coalesce("price_ratio", F.lit(1.0))).withColumn("price_change_7", F.coalesce("price_change_7", F.lit(0.0)))
