@@ -38,7 +38,8 @@ MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Го
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 NEUTRAL = ("Mx", "Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор")
 _BLANK = "[ \\t\u00a0]"
-_TITLE = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})(?:\.{_BLANK}{{0,3}}|{_BLANK}{{1,3}})"
+_INITIAL = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))  # tested first, as most places have none of these letters
+_TITLE = rf"(?=[{_INITIAL}])(?:{'|'.join(MALE + FEMALE + NEUTRAL)})(?:\.{_BLANK}{{0,3}}|{_BLANK}{{1,3}})"
 #: Capitalised words that begin a sentence or a date and end a name. Fixed values.
 _STOPS = "The A An And But Or So If When While After Before Then Than As At By For From In On Of To With He She It They We You I His Her Its Their Our My This That These Those There Here Is Was Are Were Has Had Yesterday Today Tomorrow Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December However Please Who What Where Why How".split()
 #: A letter run that is replaced; what stands between (hyphens, dots, particles, blanks) is kept.
@@ -62,7 +63,7 @@ KINDS = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w.+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}(?<p>[.-])\d{3}\k<p>\d{4})(?!\d)",
-    "person": rf"(?<![\p{{L}}]){_TITLE}{_PARTICLE}{_NEXT}(?:{_BLANK}{{1,2}}{_PARTICLE}{_NEXT})*",
+    "person": rf"(?=[{_INITIAL}])(?<![\p{{L}}]){_TITLE}{_PARTICLE}{_NEXT}(?:{_BLANK}{{1,2}}{_PARTICLE}{_NEXT})*",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _FIRST = ("ba be bo ca ce co da de do fa fe ga go ha he ja jo ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te to va ve wa we za".split(), "ба бо ва ве да де жа за зо ка ко ла ле ли ма ме ми на не но па по ра ре ро са се та те то фа".split(), "βα βε γα γε δα δε ζα θα κα κο λα λε μα με να νε πα πο ρα ρε σα σε τα τε φα χα".split())
