@@ -4,7 +4,7 @@ python -m stocktide gold SF_DIR FOLDER [TABLE...]      gold tables, a run log an
 python -m stocktide silver RAW_DIR SILVER_DIR [STATE...]  raw wide files to the silver table, the states that it lacks
 python -m stocktide replay SF_DIR FOLDER [WEEKS]       the planning cycle of the last weeks
 python -m stocktide extract GOLD_DIR FOLDER            what dashboards read
-python -m stocktide web SF_DIR GOLD_DIR FOLDER         JSON files and preset simulations
+python -m stocktide web GOLD_DIR FOLDER                JSON files
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def main(args: list[str]) -> None:
         done = rest[1]
     elif command == "extract" and len(rest) == 2:
         done = web.extract(session(), *rest)
-    elif command == "web" and len(rest) == 3:
+    elif command == "web" and len(rest) == 2:
         done = web.build(session(), *rest)
     else:
         sys.exit(__doc__)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import NODE_COLUMNS
-
 
 def r(col: Column | str, places: int = 4) -> Column:
     """A double rounded for output."""
@@ -18,12 +16,6 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def node_id(level: str) -> Column:
-    """level:col=val|col=val, or total:total."""
-    cols = NODE_COLUMNS[level]
-    return F.concat(F.lit(f"{level}:"), F.concat_ws("|", *(F.concat(F.lit(f"{c}="), c) for c in cols))) if cols else F.lit("total:total")
-
-
 def lookup(values: dict, key: Column, default) -> Column:
     """values[key], or the default."""
     out = F.lit(default)

@@ -1,5 +1,6 @@
-"""Allocation of a short supply. The scenario problem is separable and concave, so taking segments of equal marginal value in
-falling order is optimal; the order is taken by ranges of value (ordered.running), so no task holds all segments."""
+"""Allocation of a short supply, and rationing. The scenario problem is separable and concave: segments of equal marginal value are taken
+above the supply's shadow price, none below it, and those at the price share what is left in proportion. The price is found from
+histograms of the values, so no order of all segments is ever made."""
 
 from __future__ import annotations
 
@@ -8,38 +9,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
+from ..sources.store import materialised
 from . import ordered
 from .uncertainty import expected_fill, mean_of
 
+MIN_FILL = 0.5  # of its forecast, what every node gets
+BINS = 512
 
-def allocate(nodes: DataFrame, by: list[str], supply: Column, min_fill: float = 0.5) -> DataFrame:
-    """nodes: by, node, forecast, weight, held, scenarios. supply: an expression over totals `t_forecast` of each `by`.
+
+def _group_totals(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
+    """A row for each `by` (a run, a week): broadcast, as runs and weeks are few whatever the number of nodes."""
+    return F.broadcast(df.groupBy(*by).agg(*(v.alias(k) for k, v in sums.items())))
+
+
+def shadow_price(segments: DataFrame, by: list[str], budget: DataFrame) -> DataFrame:
+    """segments: by, marginal, length; budget: by, budget. Returns by, price, share: what of the segments at the price fits.
+
+    Two rounds narrow the price to one of BINS ranges of the values, then to one of BINS within it; the distinct values left there (a
+    four-millionth of the spread) are summed one by one. Groups without budget have no row.
+    """
+    left, rest = budget.withColumn("above", F.lit(0.0)), segments.select(*by, "marginal", "length")
+    for _ in range(2):
+        span = _group_totals(rest, by, lo=F.min("marginal"), hi=F.max("marginal"))
+        at = F.coalesce(div(F.col("marginal") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+        binned = rest.join(span, by).withColumn("bin", F.least(F.floor(at * BINS), F.lit(BINS - 1))).drop("lo", "hi")
+        higher = W.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)  # BINS rows a group
+        sums = binned.groupBy(*by, "bin").agg(F.sum("length").alias("sum")).join(F.broadcast(left), by)
+        sums = sums.withColumn("before", F.col("above") + F.coalesce(F.sum("sum").over(higher), F.lit(0.0))).where("before < budget")
+        hit = sums.groupBy(*by).agg(F.min("bin").alias("bin"), F.max("before").alias("above"), F.first("budget").alias("budget"))
+        rest = binned.join(F.broadcast(hit.select(*by, "bin")), [*by, "bin"]).drop("bin")
+        left = hit.drop("bin")
+    values = rest.groupBy(*by, "marginal").agg(F.sum("length").alias("sum")).join(F.broadcast(left), by)
+    higher = W.partitionBy(*by).orderBy(F.desc("marginal")).rowsBetween(W.unboundedPreceding, -1)
+    values = values.withColumn("before", F.col("above") + F.coalesce(F.sum("sum").over(higher), F.lit(0.0))).where("before < budget")
+    last = values.groupBy(*by).agg(F.min_by(F.struct("marginal", "before", "sum", "budget"), "marginal").alias("v"))
+    return last.select(*by, F.col("v.marginal").alias("price"), F.least((F.col("v.budget") - F.col("v.before")) / F.col("v.sum"), F.lit(1.0)).alias("share"))
+
+
+def allocate(nodes: DataFrame, by: list[str], supply: Column, min_fill: float = MIN_FILL) -> DataFrame:
+    """nodes: by, node, forecast, weight, held, scenarios. supply: an expression over the total `t_forecast` of each `by`.
 
     Returns nodes with allocated, expected_fill_rate, stockout_risk. Raises nothing: floors beyond the supply show as a
     negative `slack`.
     """
-    w = W.partitionBy(*by)
-    n = nodes.withColumn("held", F.greatest("held", F.lit(0.0))).withColumn("t_forecast", F.sum("forecast").over(w))
-    n = n.withColumn("floor", F.greatest(F.lit(min_fill) * F.col("forecast") - F.col("held"), F.lit(0.0)))
-    n = n.withColumn("left", supply - F.sum("floor").over(w)).withColumn("start", F.col("held") + F.col("floor"))
+    n = nodes.withColumn("held", F.greatest("held", F.lit(0.0)))
+    n = n.withColumn("floor", F.greatest(F.lit(min_fill) * F.col("forecast") - F.col("held"), F.lit(0.0))).withColumn("start", F.col("held") + F.col("floor"))
+    n = materialised(n, "nodes")  # read by every step of the search
+    totals = n.groupBy(*by).agg(F.sum("forecast").alias("t_forecast"), F.sum("floor").alias("t_floor")).select(*by, (supply - F.col("t_floor")).alias("slack"))
     k = F.size("scenarios")
-    seg = n.select(*by, "node", "weight", "left", "start", k.alias("k"), F.posexplode(F.array_sort("scenarios")).alias("j", "top"))
-    under = F.coalesce(F.lag("top").over(W.partitionBy(*by, "node").orderBy("j")), F.lit(0.0))
-    seg = seg.select(*by, "node", "left", "j", F.greatest(F.col("top") - F.greatest("start", under), F.lit(0.0)).alias("length"), (F.col("weight") * (F.col("k") - F.col("j")) / F.col("k")).alias("marginal"))
-    ranked = ordered.running(seg.where("length > 0").withColumn("_least", -F.col("marginal")), by, "_least", "length", ["node", "j"])
-    take = F.greatest(F.least(F.col("left") - F.col("before"), F.col("length")), F.lit(0.0))
-    taken = ranked.withColumn("take", take).groupBy(*by, "node").agg(F.sum("take").alias("take"))
-    out = n.join(taken, [*by, "node"], "left").withColumn("allocated", F.col("floor") + F.coalesce("take", F.lit(0.0)))
+    tops = F.array_sort("scenarios")
+    under = F.concat(F.array(F.lit(0.0)), tops)
+    seg = n.select(*by, "node", "weight", "start", k.alias("k"), F.posexplode(F.arrays_zip(tops.alias("top"), F.slice(under, F.lit(1), k).alias("under"))).alias("j", "s"))
+    seg = seg.select(*by, "node", F.greatest(F.col("s.top") - F.greatest("start", "s.under"), F.lit(0.0)).alias("length"), (F.col("weight") * (F.col("k") - F.col("j")) / F.col("k")).alias("marginal")).where("length > 0")
+    priced = seg.join(F.broadcast(shadow_price(seg, by, totals.withColumnRenamed("slack", "budget"))), by)  # a row a group
+    take = F.when(F.col("marginal") > F.col("price"), F.col("length")).when(F.col("marginal") == F.col("price"), F.col("length") * F.col("share")).otherwise(0.0)
+    taken = priced.groupBy(*by, "node").agg(F.sum(take).alias("take"))
+    out = n.join(taken, [*by, "node"], "left").join(F.broadcast(totals), by).withColumn("allocated", F.col("floor") + F.coalesce("take", F.lit(0.0)))
     stock = F.col("allocated") + F.col("held")
-    return out.select(*by, "node", "forecast", "weight", "held", "scenarios", "allocated", F.col("left").alias("slack"), expected_fill(stock).alias("expected_fill_rate"), mean_of(F.transform("scenarios", lambda d: (d > stock + 1e-9).cast("double"))).alias("stockout_risk"))
+    return out.select(*by, "node", "forecast", "weight", "held", "scenarios", "allocated", "slack", expected_fill(stock).alias("expected_fill_rate"), mean_of(F.transform("scenarios", lambda d: (d > stock + 1e-9).cast("double"))).alias("stockout_risk"))
 
 
 def pro_rata(nodes: DataFrame, by: list[str], supply: Column) -> DataFrame:
     """nodes: by, node, forecast, held. Split by net need, never more than the need."""
-    w = W.partitionBy(*by)
-    n = nodes.withColumn("t_forecast", F.sum("forecast").over(w)).withColumn("need", F.greatest(F.col("forecast") - F.col("held"), F.lit(0.0)))
-    total = F.sum("need").over(w)
-    return n.withColumn("allocated", F.coalesce(div(F.col("need"), total) * F.least(supply, total), F.lit(0.0))).drop("need", "t_forecast")
+    n = nodes.withColumn("need", F.greatest(F.col("forecast") - F.col("held"), F.lit(0.0)))
+    n = n.join(_group_totals(n, by, t_forecast=F.sum("forecast"), t_need=F.sum("need")), by)
+    return n.withColumn("allocated", F.coalesce(div(F.col("need"), F.col("t_need")) * F.least(supply, F.col("t_need")), F.lit(0.0))).drop("need", "t_forecast", "t_need")
 
 
 def longest_short_runs(fill: DataFrame, floor: float, max_weeks: int) -> DataFrame:
@@ -52,16 +86,20 @@ def longest_short_runs(fill: DataFrame, floor: float, max_weeks: int) -> DataFra
 
 
 def ration(orders: DataFrame, mode: str) -> DataFrame:
-    """orders: product, row, quantity, available (of the product), cover, value. Adds `shipped`."""
-    w = W.partitionBy("product")
+    """orders: product, row, quantity, available (of the product), cover, value. Adds `shipped`.
+
+    proportional: all alike. days_of_cover, value: whole orders in the order of least cover or most value, then of the row. Products are
+    added up before the join; a product's order is taken by ranges, so one with very many rows is no one task's.
+    """
     if mode == "proportional":
-        share = F.least(F.coalesce(div(F.col("available"), F.sum("quantity").over(w)), F.lit(1.0)), F.lit(1.0))
-        return orders.withColumn("shipped", F.col("quantity") * share)
+        total = orders.groupBy("product").agg(F.sum("quantity").alias("_asked"))
+        share = F.least(F.coalesce(div(F.col("available"), F.col("_asked")), F.lit(1.0)), F.lit(1.0))
+        return orders.join(total, "product").withColumn("shipped", F.col("quantity") * share).drop("_asked")
     if mode not in ("days_of_cover", "value"):
         raise ValueError(f"unknown rationing {mode!r}")
     first = F.col("cover") if mode == "days_of_cover" else -F.col("value")
-    before = F.coalesce(F.sum("quantity").over(w.orderBy(first, "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return orders.withColumn("shipped", F.greatest(F.least(F.col("quantity"), F.col("available") - before), F.lit(0.0)))
+    ranked = ordered.running(orders.withColumn("_first", first), ["product"], "_first", "quantity", ["row"])
+    return ranked.withColumn("shipped", F.greatest(F.least(F.col("quantity"), F.col("available") - F.col("before")), F.lit(0.0))).drop("_first", "before")
 
 
 def cover_targets(forecast: DataFrame) -> DataFrame:

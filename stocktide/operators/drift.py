@@ -13,9 +13,9 @@ from . import ordered
 def psi(values: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """values: by, recent (boolean), x. PSI of the recent values over quantile bins of the others, by group.
 
-    Values at an edge go up, the outer bins are open, shares are at least 1e-6; 0 without values or with one bin.
+    Values at an edge go up, the outer bins are open, shares are at least 1e-6; 0 without values or with one bin. NULL, NaN and infinite values are left out.
     """
-    values = materialised(values.where("x is not null"), "values")
+    values = materialised(values.where((F.col("x") > float("-inf")) & (F.col("x") < float("inf"))), "values")  # NaN is above infinity
     old = values.where("not recent")
     wanted = old.select(*by).distinct().select(*by, F.explode(F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("q"))
     edges = ordered.quantiles(old, by, "x", wanted, ordered.plain_position).groupBy(*by).agg(F.sort_array(F.collect_set("value")).alias("edges"))

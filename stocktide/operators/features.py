@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import EVENT_WINDOW, LAGS, MIN_LAG, WINDOWS
 from ..functions.exprs import div
 
+MIN_LAG = 28  # a horizon: what is older is known when a forecast is made
+LAGS, WINDOWS = (28, 35, 42, 56), (7, 28, 56)
+EVENT_WINDOW = 14
+
 
 def add_features(frame: DataFrame, lags=LAGS, windows=WINDOWS, min_lag: int = MIN_LAG) -> DataFrame:
     """Lags, rolling statistics of values at least min_lag old, calendar parts, and price features where there are prices."""

@@ -2,7 +2,7 @@
 
 The range of a group's values is cut at approximate quantiles (a sketch that is merged, of fixed size). Rows are then dealt by group
 and range; the sum of each range is one row, and what stands before a range is a running sum over those few rows. All results are
-exact: only where the cuts lie is approximate.
+exact: only where the cuts lie is approximate. Running sums and codes are dealt by Spark's own range partitioning.
 """
 
 from __future__ import annotations
@@ -33,11 +33,30 @@ def ranges(df: DataFrame, by: Sequence[str], order: str, amount: str) -> tuple[D
 
 
 def running(df: DataFrame, by: Sequence[str], order: str, amount: str, ties: Sequence[str] = ()) -> DataFrame:
-    """df with `before`: the sum of `amount` over the rows of the group that come earlier by `order`, then by `ties`."""
-    cut, sums = ranges(materialised(df, "ordered"), by, order, amount)
-    earlier = W.partitionBy(*by, "_range").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
-    joined = cut.join(sums.select(*by, "_range", "start"), [*by, "_range"])
-    return joined.withColumn("before", F.col("start") + F.coalesce(F.sum(amount).over(earlier), F.lit(0))).drop("_range", "start")
+    """df with `before`: the sum of `amount` over the rows of the group that come earlier by `order`, then by `ties`.
+
+    Rows are dealt by ranges of all of these, so neither a large group nor many equal values of `order` are one task's; what earlier
+    tasks hold of a group is a running sum over one row for each task and group.
+    """
+    keys = [*by, order, *ties]
+    dealt = materialised(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    sums = dealt.groupBy("_part", *by).agg(F.sum(amount).alias("_sum"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each task that holds rows of the group
+    starts = sums.select("_part", *by, F.coalesce(F.sum("_sum").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    earlier = W.partitionBy("_part", *by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    joined = dealt.join(starts, ["_part", *by])
+    return joined.withColumn("before", F.col("_start") + F.coalesce(F.sum(amount).over(earlier), F.lit(0))).drop("_part", "_start")
+
+
+def codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
+    """column, code: 0, 1, 2, ... in the order of the distinct values of a column; NULL has none."""
+    distinct = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running(distinct, [], column, "_one").select(column, F.col("before").alias(code))
+
+
+def coded(df: DataFrame, known: DataFrame, column: str, code: str = "code") -> DataFrame:
+    """df with the code of each value, -1 for a value without one. known: from codes()."""
+    return df.join(known, column, "left").withColumn(code, F.coalesce(code, F.lit(-1)))
 
 
 def quantiles(values: DataFrame, by: Sequence[str], value: str, wanted: DataFrame, position: Callable[[Column, Column], Column]) -> DataFrame:

@@ -11,8 +11,8 @@ from ..functions.exprs import div
 
 def proportions(history: DataFrame, key: str = "series_id") -> DataFrame:
     """history: key, date, sales. Mean daily share over days with sales, made to sum to one."""
-    day = F.sum("sales").over(W.partitionBy("date"))
-    share = history.select(key, "sales", day.alias("day")).where("day > 0").groupBy(key).agg(F.avg(F.col("sales") / F.col("day")).alias("share"))
+    days = history.groupBy("date").agg(F.sum("sales").alias("day")).where("day > 0")
+    share = history.select(key, "date", "sales").join(days, "date").groupBy(key).agg(F.avg(F.col("sales") / F.col("day")).alias("share"))
     total = F.broadcast(share.agg(F.sum("share").alias("_total")))  # one row
     return share.crossJoin(total).select(key, div(F.col("share"), F.col("_total")).alias("proportion"))
 

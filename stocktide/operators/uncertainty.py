@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
@@ -40,16 +39,20 @@ def intervals(points: DataFrame, quantiles: DataFrame, by: list[str], level: flo
 
 
 def share_at_most(scores: DataFrame, points: DataFrame, by: list[str], key: list[str]) -> DataFrame:
-    """points: by, key, threshold. Share of the group's scores at or under each threshold.
+    """points: by, key, threshold. Share of the group's scores at or under each threshold, NULL without scores.
 
-    A range-count join without pairs: scores and thresholds in one ordered run, where a running count of scores is what each
-    threshold passes (scores before thresholds of the same value).
+    A range-count join without pairs: scores and thresholds are dealt together by ranges of (by, value), scores before thresholds of the
+    same value, and the running count of scores is what each threshold passes. A group is as many tasks' as its rows need.
     """
     s = scores.where("score is not null").select(*by, F.col("score").alias("x"), F.lit(0).alias("kind"), *(F.lit(None).cast(points.schema[k].dataType).alias(k) for k in key))
-    p = points.select(*by, F.col("threshold").alias("x"), F.lit(1).alias("kind"), *key)
-    w = W.partitionBy(*by).orderBy("x", "kind").rowsBetween(W.unboundedPreceding, 0)
-    both = s.unionByName(p).select("*", F.sum(1 - F.col("kind")).over(w).alias("below"), F.sum(1 - F.col("kind")).over(W.partitionBy(*by)).alias("n"))
-    return both.where("kind = 1").select(*by, *key, div(F.col("below"), F.col("n")).alias("share"))
+    both = s.unionByName(points.select(*by, F.col("threshold").alias("x"), F.lit(1).alias("kind"), *key)).withColumn("one", (1 - F.col("kind")).cast("long"))
+    n = scores.where("score is not null").groupBy(*by).agg(F.count("*").alias("n"))
+    below = ordered.running(both, by, "x", "one", ["kind"]).where("kind = 1")
+    joined = below.join(n, by, "left") if by else below.crossJoin(F.broadcast(n))  # one row without groups
+    return joined.select(*by, *key, div(F.col("before"), F.col("n")).alias("share"))
+
+
+SCENARIOS = 25
 
 
 def grid(k: int) -> list[float]:

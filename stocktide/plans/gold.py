@@ -15,8 +15,7 @@ GOLD = {
     "forecasts": "served_forecasts", "backtest_forecasts": "forecast_alignment", "prediction_intervals": "mondrian_interval", "safety_stock": "item_safety_stock", "allocation": "allocate_lp",
     "allocation_backtest": "allocation_backtest_lp", "allocation_backtest_pro_rata": "allocation_backtest_pro_rata", "allocation_node_fill": "allocation_node_fill", "model_metrics": "level_metrics", "reconciliation_metrics": "reconcile_all",
     "interval_coverage": "interval_coverage", "interval_coverage_segment": "interval_coverage_segment", "probable_stockouts": "censoring_summary", "drift": "drift_table", "decision_accuracy": "decision_accuracy",
-    "weekday_bias": "weekday_bias", "event_accuracy": "event_accuracy", "override_fva": "forecast_value_added", "bias_exceptions": "bias_exceptions", "planning_cycle": "planning_cycle", "twin_validation": "twin_validation",
-    "twin_timeline": "twin_timeline", "twin_frontier": "twin_frontier", "twin_policy_curve": "twin_policy_curve", "twin_stress": "twin_stress", "twin_responses": "twin_responses", "inventory_health": "inventory_health", "twin_exceptions": "twin_exceptions",
+    "weekday_bias": "weekday_bias", "event_accuracy": "event_accuracy", "override_fva": "forecast_value_added", "bias_exceptions": "bias_exceptions", "planning_cycle": "planning_cycle",
 }
 
 

@@ -9,7 +9,7 @@ from ..functions.exprs import r
 from ..operators import allocate as al
 from ..sources import retail
 from .q_forecast import decision_accuracy, fc1, p1
-from .q_stock import CFG, _supply, alloc_nodes, carried
+from .q_stock import _supply, alloc_nodes, carried
 from .registry import BODIES, define, query
 
 define("shelf", "SELECT f.fold, s.series_id, max(p.date) AS sold FROM foldt f CROSS JOIN (SELECT DISTINCT series_id FROM p1) s LEFT JOIN p1 p ON p.series_id = s.series_id AND p.price IS NOT NULL AND p.date <= f.origin AND p.date > f.origin - 28 GROUP BY ALL")
@@ -56,19 +56,19 @@ def allocation_totals(spark, sf):
     return policies(spark, sf).groupBy("policy").agg(r(F.sum("allocated"), 2).alias("allocated"), F.sum("actual").alias("demand"), r(F.try_divide(F.sum(sold), F.sum("actual")), 6).alias("fill_rate"))
 
 
-@query("SELECT policy, node, max(n)::BIGINT AS longest_short_run FROM (SELECT policy, node, island, count(*) AS n FROM (SELECT *, week - row_number() OVER (PARTITION BY policy, node ORDER BY week) AS island FROM (SELECT policy, node, week FROM bothpol WHERE least(actual, held + allocated) / nullif(actual, 0) < 0.9 - 1e-9)) GROUP BY ALL) GROUP BY ALL HAVING max(n) > 2")
+@query("SELECT policy, node, max(n)::BIGINT AS longest_short_run FROM (SELECT policy, node, island, count(*) AS n FROM (SELECT *, week - row_number() OVER (PARTITION BY policy, node ORDER BY week) AS island FROM (SELECT policy, node, week FROM bothpol WHERE least(actual, held + allocated) / nullif(actual, 0) < 0.5 - 1e-9)) GROUP BY ALL) GROUP BY ALL HAVING max(n) > 2")
 def fairness_by_policy(spark, sf):
     """Nodes that a policy leaves short for over two weeks in a row."""
     fill = F.try_divide(F.least(F.col("actual"), F.col("held") + F.col("allocated")), F.col("actual"))
     rows = policies(spark, sf).select(F.struct("policy", "node").alias("node"), F.col("week").alias("period"), fill.alias("fill_rate"))
-    return al.longest_short_runs(rows, 0.9, 2).select("node.policy", "node.node", "longest_short_run")
+    return al.longest_short_runs(rows, 0.5, 2).select("node.policy", "node.node", "longest_short_run")
 
 
 @query("SELECT split_part(node, '|', 1) AS category, count(*) AS watched, round(sum(forecast) / any_value(total), 6) AS share_of_week FROM (SELECT *, sum(forecast) OVER () AS total, list_avg(list_transform(scenarios, lambda d: least(d, allocated + held))) / nullif(list_avg(scenarios), 0) AS fill FROM alp) WHERE fill < 0.95 GROUP BY 1")
 def watch_list(spark, sf):
     """By category: nodes expected to fill less than 0.95 of the next week's demand, and their share of it."""
     nodes = alloc_nodes(spark, sf)
-    out = al.allocate(nodes, ["run"], _supply(), CFG.min_fill)
+    out = al.allocate(nodes, ["run"], _supply(), al.MIN_FILL)
     total = F.broadcast(nodes.agg(F.sum("forecast").alias("total")))  # one row
     low = out.where("expected_fill_rate < 0.95").crossJoin(total)
     return low.groupBy(F.split_part("node", F.lit("|"), F.lit(1)).alias("category")).agg(F.count("*").alias("watched"), r(F.sum("forecast") / F.first("total"), 6).alias("share_of_week"))

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Config
-from ..functions.exprs import bias, lookup, r, wmape
+from ..functions.exprs import bias, r, wmape
 from ..operators import drift, forecast, metrics, reconcile
 from ..sources import retail
 from ..sources.retail import P1
+from . import terms
 from .q_panel import p2
 from .registry import define, query
 
-CFG = Config()
-FOLDS = retail.folds(CFG)
+FOLDS = retail.folds()
 
 define("foldt", "SELECT fold, hi - back AS origin FROM bounds CROSS JOIN (VALUES " + ", ".join(f"('{k}', {v})" for k, v in FOLDS.items()) + ") t(fold, back)")
 _FLOORS = """SELECT o.fold, s.*, h::INTEGER AS step, CAST(o.origin + h::INTEGER AS DATE) AS date, m.method, CASE m.method WHEN 'naive' THEN n.sales ELSE w.sales END AS forecast
@@ -123,15 +122,14 @@ def window_sums(spark, sf):
     return metrics.window_sums(fca(spark, sf), 5, 28, ["actual", "forecast"], ["fold", "method", "series_id"])
 
 
-_REVIEW = "(1 + CASE cat_id WHEN 'ECONOMY' THEN 2 ELSE 7 END)"
-define("dacc", f"SELECT fold, method, {_REVIEW} AS window_days, cat_id, series_id, (step - 1) // {_REVIEW} AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM fca WHERE (step - 1) // {_REVIEW} < 28 // {_REVIEW} GROUP BY ALL")
+define("dacc", f"SELECT fold, method, {terms.SQL_DAYS} AS window_days, cat_id, series_id, (step - 1) // {terms.SQL_DAYS} AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM fca WHERE (step - 1) // {terms.SQL_DAYS} < 28 // {terms.SQL_DAYS} GROUP BY ALL")
 
 
 @query("SELECT fold, method, CAST(window_days AS INTEGER) AS window_days, cat_id, velocity, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0), 6) AS wmape, round(sum(forecast - actual) / nullif(sum(abs(actual)), 0), 6) AS bias, sum(actual) AS units FROM dacc JOIN (SELECT series_id, CASE WHEN avg(sales) >= 2 THEN 'fast' WHEN avg(sales) >= 0.5 THEN 'medium' WHEN avg(sales) >= 0.1 THEN 'slow' ELSE 'sporadic' END AS velocity FROM p1 CROSS JOIN bounds WHERE date <= hi - 112 GROUP BY 1) USING (series_id) GROUP BY ALL")
 def decision_accuracy(spark, sf):
     from ..functions.exprs import velocity
 
-    rows = fca(spark, sf).withColumn("window_days", F.lit(CFG.lead_days) + lookup(CFG.review_days, F.col("cat_id"), CFG.default_review))
+    rows = fca(spark, sf).withColumn("window_days", terms.protection_days())
     sums = metrics.window_sums(rows, F.col("window_days"), 28, ["actual", "forecast"], ["fold", "method", "window_days", "cat_id", "series_id"])
     known = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") <= F.date_sub("hi", 112))  # before the first fold
     speed = known.groupBy("series_id").agg(velocity(F.avg("sales")).alias("velocity"))
@@ -168,25 +166,25 @@ def tracking_signal(spark, sf):
     return signals(spark, sf).select("method", "series_id", r("tracking_signal").alias("tracking_signal"), r("per_week").alias("per_week"))
 
 
-@query("SELECT series_id, round(tracking_signal, 4) AS tracking_signal, round(-per_week, 4) AS bias_units_per_week, CASE WHEN tracking_signal > 0 THEN 'under-forecast' ELSE 'over-forecast' END AS direction, round(abs(per_week) * unit_price, 2) AS weekly_impact FROM sig JOIN uprice USING (series_id) WHERE method = 'seasonal_naive' AND abs(tracking_signal) > 0.5 ORDER BY abs(per_week) * unit_price DESC, series_id LIMIT 200")
+@query("SELECT series_id, round(tracking_signal, 4) AS tracking_signal, round(-per_week, 4) AS bias_units_per_week, CASE WHEN tracking_signal > 0 THEN 'under-forecast' ELSE 'over-forecast' END AS direction, round(abs(per_week) * unit_price, 2) AS weekly_impact FROM sig JOIN uprice USING (series_id) WHERE method = 'seasonal_naive' AND abs(tracking_signal) > 4 ORDER BY abs(per_week) * unit_price DESC, series_id LIMIT 200")
 def bias_exceptions(spark, sf):
-    """A report of 200 rows at most; the threshold is low because the test series are stationary."""
+    """A report of 200 rows at most. The test series are stationary, so it can be empty there; planted biases are in the tests."""
     price = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("unit_price"))
-    out = metrics.bias_exceptions(signals(spark, sf).where("method = 'seasonal_naive'"), price, threshold=0.5)
+    out = metrics.bias_exceptions(signals(spark, sf).where("method = 'seasonal_naive'"), price)
     return out.withColumns({"tracking_signal": r("tracking_signal"), "bias_units_per_week": r("bias_units_per_week"), "weekly_impact": r("weekly_impact", 2)})
 
 
-define("corr", "SELECT series_id, abs(tracking_signal) > 0.9375 AS flagged, CASE WHEN abs(tracking_signal) > 0.9375 THEN least(greatest(1 + 0.5 * (CASE WHEN mf > 0 THEN ma / mf ELSE 1 END - 1), 0.6), 1.6) ELSE 1 END AS multiplier FROM sig WHERE method = 'naive'")
+define("corr", "SELECT series_id, abs(tracking_signal) > 4 AS flagged, CASE WHEN abs(tracking_signal) > 4 THEN least(greatest(1 + 0.5 * (CASE WHEN mf > 0 THEN ma / mf ELSE 1 END - 1), 0.6), 1.6) ELSE 1 END AS multiplier FROM sig WHERE method = 'naive'")
 
 
 @query("SELECT series_id, flagged, round(multiplier, 6) AS multiplier FROM corr")
 def bias_correction(spark, sf):
-    return metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=0.9375).withColumn("multiplier", r("multiplier", 6))
+    return metrics.bias_correction(signals(spark, sf).where("method = 'naive'")).withColumn("multiplier", r("multiplier", 6))
 
 
 @query("SELECT scope, round(sum(abs(actual - forecast)) / sum(actual), 6) AS base_wmape, round(sum(abs(actual - forecast * multiplier)) / sum(actual), 6) AS adjusted_wmape, count(*) AS n, round(sum(abs(actual - forecast)) / sum(actual) - sum(abs(actual - forecast * multiplier)) / sum(actual), 6) AS fva FROM fca JOIN corr USING (series_id) CROSS JOIN (VALUES ('all'), ('flagged')) t(scope) WHERE method = 'naive' AND fold = 'holdout' AND (scope = 'all' OR flagged) GROUP BY 1")
 def forecast_value_added(spark, sf):
-    c = metrics.bias_correction(signals(spark, sf).where("method = 'naive'"), threshold=0.9375)
+    c = metrics.bias_correction(signals(spark, sf).where("method = 'naive'"))
     rows = fca(spark, sf).where("method = 'naive' and fold = 'holdout'").join(c, "series_id").withColumn("adjusted", F.col("forecast") * F.col("multiplier"))
     scoped = rows.withColumn("scope", F.explode(F.when(F.col("flagged"), F.array(F.lit("all"), F.lit("flagged"))).otherwise(F.array(F.lit("all")))))
     return metrics.value_added(scoped, ["scope"]).select("scope", r("base_wmape", 6).alias("base_wmape"), r("adjusted_wmape", 6).alias("adjusted_wmape"), "n", r("fva", 6).alias("fva"))
@@ -224,7 +222,7 @@ def planning_cycle(spark, sf):
 
 def replay(spark, sf, weeks: int = len(_WEEKS)):
     """The floor made anew at each of the last `weeks` weekly origins that have four weeks after them: its errors and how far it moved."""
-    runs = weekly_runs(spark, sf, {f"week_{k}": CFG.horizon + 7 * (weeks - 1 - k) for k in range(weeks)})
+    runs = weekly_runs(spark, sf, {f"week_{k}": retail.HORIZON + 7 * (weeks - 1 - k) for k in range(weeks)})
     near = lambda c: F.sum(F.when(F.col("step") <= 7, c))
     g = runs.groupBy("fold").agg(r(near(F.abs(F.col("actual") - F.col("forecast"))) / near(F.col("actual")), 6).alias("next_week_wmape"), r(wmape("actual", "forecast"), 6).alias("four_week_wmape"), r(bias("actual", "forecast"), 6).alias("four_week_bias"))
     return g.join(_stability(runs), "fold", "left")
@@ -280,9 +278,9 @@ def dept_prices(spark, sf):
     return p.groupBy("series_id").agg(r(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0))).alias("unit_price"))
 
 
-@query("SELECT DISTINCT cat_id, CASE cat_id WHEN 'ECONOMY' THEN 0.25 WHEN 'STANDARD' THEN 0.30 WHEN 'PROMO' THEN 0.40 ELSE 0.30 END::DOUBLE AS margin FROM fact")
+@query(f"SELECT DISTINCT cat_id, {terms.SQL_MARGIN}::DOUBLE AS margin FROM fact")
 def margin_weights(spark, sf):
-    return retail.table(spark, sf, "part").select(F.col("p_type").alias("cat_id")).distinct().select("cat_id", lookup(CFG.margins, F.col("cat_id"), CFG.default_margin).alias("margin"))
+    return retail.table(spark, sf, "part").select(F.col("p_type").alias("cat_id")).distinct().select("cat_id", terms.margin().alias("margin"))
 
 
 @query("SELECT series_id, round(coalesce(var_samp(actual - forecast), 0), 4) AS variance FROM fca WHERE method = 'seasonal_naive' AND fold = 'holdout' GROUP BY 1")

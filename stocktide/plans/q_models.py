@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import MIN_LAG
 from ..functions.exprs import bias, r, wmape
 from ..operators import features, models, stockouts
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
-from .q_forecast import CFG, fc1, fca, levels, p1
+from .q_forecast import fc1, fca, levels, p1
 from .q_stock import banded
 from .registry import query
 
 
+HISTORY_DAYS, NODE_DAYS = 548, 364
+
+
 def _frame(spark, sf):
     """Features of the last Config.history_days of the fast panel: `test` marks the holdout, `learn` the rows to fit on."""
     p = p1(spark, sf)
     cal = features.event_distance(retail.calendar(spark, sf)).select("date", "snap", "days_to_next", "days_since", "event_name")
     # a day's own price is known only where something was sold, so models get the last one from before the horizon
-    before = W.partitionBy("series_id").orderBy("date").rowsBetween(W.unboundedPreceding, -MIN_LAG)
+    before = W.partitionBy("series_id").orderBy("date").rowsBetween(W.unboundedPreceding, -features.MIN_LAG)
     f = features.add_features(p.withColumn("price", F.last("price", ignorenulls=True).over(before))).join(F.broadcast(cal), "date").crossJoin(F.broadcast(retail.bounds(spark, sf)))  # a row a day
     code = F.dense_rank().over(W.orderBy("series_id")) - 1
     codes = p.select("series_id").distinct().select("series_id", code.cast("double").alias("series_code"))
     f = f.join(codes, "series_id").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("price_ratio", F.coalesce("price_ratio", F.lit(1.0))).withColumn("price_change_7", F.coalesce("price_change_7", F.lit(0.0)))
-    f = f.where((F.col("date") > F.date_sub("hi", CFG.history_days)) & F.col("rolling_mean_56").isNotNull()).withColumn("test", F.col("date") > F.date_sub("hi", 28))
+    f = f.where((F.col("date") > F.date_sub("hi", HISTORY_DAYS)) & F.col("rolling_mean_56").isNotNull()).withColumn("test", F.col("date") > F.date_sub("hi", 28))
     # not to be learned from: closed days and probable stock-outs
     flagged = stockouts.probable_stockouts(p).where("flagged").select("series_id", "date", F.lit(True).alias("_out"))
     f = f.join(flagged, ["series_id", "date"], "left").withColumn("learn", ~F.col("test") & F.col("_out").isNull() & ~F.col("event_name").eqNullSafe("Christmas")).drop("_out")
@@ -64,9 +66,9 @@ def tweedie_glm(spark, sf):
 
 def _node_days(spark, sf, weekly=False):
     """Daily (or whole-week) sums of the states and the total up to the holdout's origin."""
-    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") <= F.date_sub("hi", 28)) & (F.col("date") > F.date_sub("hi", 28 + CFG.sarima_days)))
+    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") <= F.date_sub("hi", 28)) & (F.col("date") > F.date_sub("hi", 28 + NODE_DAYS)))
     node = F.explode(F.array("state_id", F.lit("total")))
-    day = F.date_add(F.date_sub("hi", 27 + CFG.sarima_days), (F.floor(F.datediff("date", F.date_sub("hi", 27 + CFG.sarima_days)) / 7) * 7).cast("int")) if weekly else F.col("date")
+    day = F.date_add(F.date_sub("hi", 27 + NODE_DAYS), (F.floor(F.datediff("date", F.date_sub("hi", 27 + NODE_DAYS)) / 7) * 7).cast("int")) if weekly else F.col("date")
     return p.select(node.alias("node"), day.alias("date"), "sales").groupBy("node", "date").agg(F.sum("sales").alias("sales"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import Config
 from ..functions.exprs import r, velocity
 from ..operators import features, hierarchy, stockouts
 from ..sources import retail
@@ -160,7 +159,7 @@ define("sflags", "SELECT *, sales = 0 AND started AND run_length >= 2 AND exp(-r
 
 
 def p2(spark, sf):
-    return retail.panel(spark, sf, P2, last_days=Config().matrix_days)
+    return retail.panel(spark, sf, P2, last_days=retail.MATRIX_DAYS)
 
 
 @query("SELECT series_id, date, sales, run_length::BIGINT AS run_length, started FROM zruns")

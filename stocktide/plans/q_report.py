@@ -1,4 +1,4 @@
-"""Dashboard aggregates, the simulation summary, and the what-if request."""
+"""Dashboard aggregates and reports."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, velocity, wmape
-from ..operators import metrics, twin
+from ..operators import metrics, ordered
 from .q_forecast import fca, p1
 from .q_stock import banded, cal_scores, carried
-from .q_twin import _rounded, frontier_runs, inputs, twin_responses, twin_timeline, twin_validation
 from .registry import define, query
 
 
@@ -70,9 +69,11 @@ def overview(spark, sf):
 
 @query("SELECT cat_id, round(avg(score), 6) AS mean_score, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, count(*) AS n FROM cal_scores GROUP BY 1")
 def score_summary(spark, sf):
-    q = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = cal_scores(spark, sf).groupBy("cat_id").agg(r(F.avg("score"), 6).alias("mean_score"), q.alias("q"), F.count("*").alias("n"))
-    return g.select("cat_id", "mean_score", *(r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))), "n")
+    s = cal_scores(spark, sf)
+    wanted = s.select("cat_id").distinct().select("cat_id", F.explode(F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    at = lambda level: r(F.max(F.when(F.col("q") == level, F.col("value"))), 6)
+    found = ordered.quantiles(s, ["cat_id"], "score", wanted, ordered.plain_position).groupBy("cat_id").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return s.groupBy("cat_id").agg(r(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n")).join(found, "cat_id")
 
 
 define("hol_events", "SELECT DISTINCT date AS ds, event_name AS holiday FROM cal WHERE event_name IS NOT NULL")
@@ -86,58 +87,10 @@ def holidays(spark, sf):
     return m5.holidays(cal)
 
 
-@query("SELECT series_id, CAST(dense_rank() OVER (ORDER BY series_id) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT series_id FROM p1)")
+@query("SELECT series_id, dense_rank() OVER (ORDER BY series_id) - 1 AS code FROM (SELECT DISTINCT series_id FROM p1)")
 def category_codes(spark, sf):
     """Integer codes of the series, in order of their names."""
-    return p1(spark, sf).select("series_id").distinct().select("series_id", (F.dense_rank().over(W.orderBy("series_id")) - 1).alias("code"))
-
-
-@query()
-def twin_trust(spark, sf):
-    """How often the twin's bands hold what was realised, and how far it misses."""
-    v = twin_validation(spark, sf)
-    scope = F.when(F.col("store") == "all", "network").otherwise("stores").alias("scope")
-    return v.groupBy(scope, "metric").agg(F.count_if("in_band").alias("in_band"), F.count("*").alias("n"), r(F.avg(F.abs("divergence"))).alias("mean_absolute_miss"), r(F.avg("predicted") / F.greatest(F.avg("realised"), F.lit(1e-9))).alias("ratio"))
-
-
-@query()
-def lost_sales_bias(spark, sf):
-    """Predicted over realised lost sales: the scale by which simulated losses are read."""
-    v = twin_validation(spark, sf).where("metric = 'lost_sales_value' and store = 'all'")
-    return v.groupBy("option").agg(r(F.try_divide(F.sum("predicted"), F.sum("realised"))).alias("bias"))
-
-
-@query()
-def timeline_rollup(spark, sf):
-    """The timeline of all stores, by category."""
-    t = twin_timeline(spark, sf)
-    return _rounded(t.groupBy("day", "category").agg(F.sum("on_hand").alias("on_hand"), F.sum("demand").alias("demand"), F.sum("lost").alias("lost")))
-
-
-@query()
-def best_responses(spark, sf):
-    """For each scenario the response of the highest net benefit whose lower bound is above zero."""
-    t = twin_responses(spark, sf).where("response <> 'none' and net_benefit_lower > 0")
-    w = W.partitionBy("scenario").orderBy(F.desc("net_benefit"), "response")
-    return t.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-@query()
-def twin_frontier_speed(spark, sf):
-    """The cost of each service level by demand speed."""
-    mean = F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / F.size("history")
-    speed = inputs(spark, sf).select("series_id", velocity(mean).alias("speed"))
-    sim = frontier_runs(spark, sf).where("kind = 'row' and option <> 'current'").join(speed, "series_id").withColumn("store", F.col("speed"))
-    k = twin.kpis(sim, "store").withColumn("cost", F.col("lost_margin") + F.col("holding_cost"))
-    return _rounded(k.groupBy(F.col("store").alias("speed"), F.col("option").alias("service_level")).agg(F.avg("cost").alias("cost"), F.avg("fill_rate").alias("fill_rate"), F.avg("inventory_value").alias("inventory_value")))
-
-
-@query()
-def what_if(spark, sf):
-    """A what-if request: baseline and scenario on the same futures."""
-    from .serve import simulate
-
-    return _rounded(simulate(spark, sf, {"policy": "forecast_reorder", "reps": 20, "service_level": 0.95, "scenario": {"demand_scale": 1.3, "days": [7, 14]}}))
+    return ordered.codes(p1(spark, sf), "series_id")
 
 
 @query("SELECT fold, method, series_id, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0), 6) AS wmape, round(sum(forecast - actual) / nullif(sum(abs(actual)), 0), 6) AS bias, sum(actual) AS units FROM fca GROUP BY ALL")

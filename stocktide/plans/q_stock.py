@@ -13,7 +13,8 @@ from ..operators import forecast, metrics, stockouts
 from ..operators import uncertainty as un
 from ..sources import retail
 from ..sources.store import materialised
-from .q_forecast import CFG, fca, fold_table, p1
+from . import terms
+from .q_forecast import fca, fold_table, p1
 from .registry import define, query
 
 define("ms1", "SELECT series_id, greatest(avg(change), 0.1) AS scale FROM (SELECT series_id, date, abs(sales - lag(sales, 7) OVER (PARTITION BY series_id ORDER BY date)) AS change FROM p1) CROSS JOIN bounds WHERE date > hi - 56 GROUP BY 1")
@@ -42,7 +43,7 @@ _QS = [0.025, 0.1, 0.9, 0.975]
 define("cq_cat", _sqlq("cal_scores", "cat_id, ", str(_QS)))
 define("cq_all", _sqlq("cal_scores", "", str(_QS)))
 define("cq_state", _sqlq("cal_scores", "state_id, ", str(_QS)))
-define("mond", "SELECT state_id, q, CASE WHEN s.n >= 504 THEN s.value ELSE a.value END AS value FROM cq_state s JOIN cq_all a USING (q)")
+define("mond", "SELECT state_id, q, CASE WHEN s.n >= 500 THEN s.value ELSE a.value END AS value FROM cq_state s JOIN cq_all a USING (q)")
 
 
 def _qs(spark, levels=_QS):
@@ -65,7 +66,7 @@ def banded(spark, sf, segmented: bool):
     s = srows(spark, sf)
     cal, points = s.where("fold <> 'holdout'"), s.where("fold = 'holdout'")
     by = ["state_id"] if segmented else []
-    q = un.mondrian_quantiles(cal, "state_id", _QS, 504) if segmented else un.conformal_quantiles(cal.select("score"), [], _qs(spark))
+    q = un.mondrian_quantiles(cal, "state_id", _QS) if segmented else un.conformal_quantiles(cal.select("score"), [], _qs(spark))
     for level, tag in ((0.8, "80"), (0.95, "95")):
         points = un.intervals(points, q, by, level).withColumnsRenamed({"lower": f"lower_{tag}", "upper": f"upper_{tag}"})
     return points
@@ -82,7 +83,7 @@ def conformal_interval(spark, sf):
 
 @query(_IV + "ivm")
 def mondrian_interval(spark, sf):
-    """By state; states with fewer than 504 scores take the pooled quantiles."""
+    """By state; states with fewer than 500 scores take the pooled quantiles."""
     return banded(spark, sf, True).select("series_id", "date", "forecast", *(r(c).alias(c) for c in _BANDS))
 
 
@@ -139,7 +140,7 @@ define("scen", "SELECT p.*, list_transform(quantiles, lambda q: greatest(forecas
 
 
 def scen(spark, sf):
-    return un.scenarios(week_points(spark, sf), un.score_grid(cal_scores(spark, sf), [], CFG.scenarios), [])
+    return un.scenarios(week_points(spark, sf), un.score_grid(cal_scores(spark, sf), [], un.SCENARIOS), [])
 
 
 @query("SELECT series_id, CAST(k AS INTEGER) AS scenario, round(scenarios[k], 4) AS demand FROM scen CROSS JOIN range(1, 26) t(k)")
@@ -153,7 +154,9 @@ def expected_fill(spark, sf):
     return scen(spark, sf).select("series_id", r(un.expected_fill(F.col("forecast")), 6).alias("expected_fill"))
 
 
-_REV = "(1 + CASE cat_id WHEN 'ECONOMY' THEN 2 ELSE 7 END)"
+_REV = terms.SQL_DAYS
+SHELF_LEAST = 2.0  # units that a shelf shows at least
+SUPPLY_RATIO = 0.9  # of the forecast, what there is to allocate
 define("mean56", "SELECT series_id, avg(sales) AS m FROM p1 CROSS JOIN bounds WHERE date > hi - 84 AND date <= hi - 28 GROUP BY 1")
 define("wsum", f"SELECT fold, series_id, cat_id, {_REV} AS protection_days, (step - 1) // {_REV} AS win, sum(actual) AS actual, sum(forecast) AS forecast FROM srows WHERE (step - 1) // {_REV} < 28 // {_REV} GROUP BY ALL")
 define("wscore", "SELECT protection_days, (actual - forecast) / greatest(m * protection_days, 1) AS score FROM wsum JOIN mean56 USING (series_id) WHERE fold <> 'holdout'")
@@ -164,7 +167,7 @@ define("isq", _sqlq("wscore", "protection_days, ", "[0.98, 0.96, 0.93]"))
 @query("SELECT series_id, CAST(protection_days AS INTEGER) AS protection_days, abc, q AS service_level, forecast, round(greatest(value * greatest(m * protection_days, 1), 0), 4) AS safety_stock, CAST(ceil(greatest(forecast + greatest(value * greatest(m * protection_days, 1), 0), 2) - 1e-9) AS DOUBLE) AS order_up_to FROM wsum JOIN mean56 USING (series_id) JOIN abc1 USING (series_id) JOIN isq USING (protection_days) WHERE fold = 'holdout' AND win = 0 AND q = CASE abc WHEN 'A' THEN 0.98 WHEN 'B' THEN 0.96 ELSE 0.93 END")
 def item_safety_stock(spark, sf):
     """Stock targets over each series' protection window at its value class's service level, in whole units."""
-    days = F.lit(CFG.lead_days) + lookup(CFG.review_days, F.col("cat_id"), CFG.default_review)
+    days = terms.protection_days()
     rows = srows(spark, sf).withColumn("protection_days", days)
     sums = metrics.window_sums(rows, F.col("protection_days"), 28, ["actual", "forecast"], ["fold", "series_id", "protection_days"])
     p = p1(spark, sf)
@@ -177,10 +180,10 @@ def item_safety_stock(spark, sf):
     points = s.where("fold = 'holdout' and window = 0").join(abc, "series_id").withColumn("q", target)
     q = un.conformal_quantiles(scores, ["protection_days"], points.select("protection_days", "q"))
     out = un.safety_stock(points, q, ["protection_days"])
-    return out.select("series_id", "protection_days", "abc", F.col("q").alias("service_level"), "forecast", r("safety_stock").alias("safety_stock"), round_to_case(F.greatest("order_up_to", F.lit(CFG.presentation_min))).alias("order_up_to"))
+    return out.select("series_id", "protection_days", "abc", F.col("q").alias("service_level"), "forecast", r("safety_stock").alias("safety_stock"), round_to_case(F.greatest("order_up_to", F.lit(SHELF_LEAST))).alias("order_up_to"))
 
 
-_MARGIN = "CASE cat_id WHEN 'ECONOMY' THEN 0.25 WHEN 'STANDARD' THEN 0.30 WHEN 'PROMO' THEN 0.40 ELSE 0.30 END"
+_MARGIN = terms.SQL_MARGIN
 define("anodes", f"SELECT s.series_id AS node, s.forecast, scenarios, unit_price * {_MARGIN} AS weight, greatest(h.held + h.allocated - h.actual, 0) AS held FROM scen s JOIN uprice USING (series_id) JOIN pw11 h ON h.node = s.series_id")
 define("aprep", "SELECT *, greatest(0.5 * forecast - held, 0) AS flo, held + greatest(0.5 * forecast - held, 0) AS start FROM anodes")
 define("aseg", "SELECT node, j, weight * (25 - j + 1) / 25 AS marginal, greatest(s[j] - greatest(start, coalesce(s[j - 1], 0)), 0) AS length FROM (SELECT *, list_sort(scenarios) AS s FROM aprep) CROSS JOIN range(1, 26) t(j)")
@@ -195,16 +198,16 @@ def alloc_nodes(spark, sf):
     left = F.greatest(F.col("held") + F.col("allocated") - F.col("actual"), F.lit(0.0))
     held = carried(spark, sf, "pro_rata").where(F.col("week") == WEEKS - 1).select(F.col("node").alias("series_id"), left.alias("held"))
     n = scen(spark, sf).join(price, "series_id").join(held, "series_id")
-    return n.select(F.lit("next").alias("run"), F.col("series_id").alias("node"), "forecast", (F.col("unit_price") * lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)).alias("weight"), "held", "scenarios")
+    return n.select(F.lit("next").alias("run"), F.col("series_id").alias("node"), "forecast", (F.col("unit_price") * terms.margin()).alias("weight"), "held", "scenarios")
 
 
 def _supply():
-    return F.lit(CFG.supply_ratio) * F.col("t_forecast")
+    return F.lit(SUPPLY_RATIO) * F.col("t_forecast")
 
 
 @query("SELECT node, forecast, held, round(allocated, 4) AS allocated, round(list_avg(list_transform(scenarios, lambda d: least(d, allocated + held))) / list_avg(scenarios), 6) AS expected_fill_rate, round(list_avg(list_transform(scenarios, lambda d: (d > allocated + held + 1e-9)::INT)), 6) AS stockout_risk FROM alp")
 def allocate_lp(spark, sf):
-    out = al.allocate(alloc_nodes(spark, sf), ["run"], _supply(), CFG.min_fill)
+    out = al.allocate(alloc_nodes(spark, sf), ["run"], _supply(), al.MIN_FILL)
     return out.select("node", "forecast", "held", r("allocated").alias("allocated"), r("expected_fill_rate", 6).alias("expected_fill_rate"), r("stockout_risk", 6).alias("stockout_risk"))
 
 
@@ -213,7 +216,7 @@ def allocate_pro_rata(spark, sf):
     return al.pro_rata(alloc_nodes(spark, sf), ["run"], _supply()).select("node", "forecast", "held", r("allocated").alias("allocated"))
 
 
-WEEKS = 4 * CFG.folds
+WEEKS = 4 * retail.BACKTESTS
 define("upb", "SELECT series_id, coalesce(sum(revenue) / nullif(sum(sales), 0), 1) AS price FROM p1 CROSS JOIN bounds WHERE date > hi - 140 AND date <= hi - 112 GROUP BY 1")
 define("wk0", f"SELECT node, w.week, w.forecast, w.actual, price, price * margin AS weight, list_transform(quantiles, lambda q: greatest(w.forecast + scale * q, 0)) AS scenarios FROM (SELECT series_id AS node, CAST(4 * (ascii(right(fold, 1)) - 49) + (step - 1) // 7 AS INTEGER) AS week, sum(forecast) AS forecast, sum(actual) AS actual, any_value(scale) AS scale, any_value({_MARGIN}) AS margin FROM srows WHERE fold <> 'holdout' GROUP BY ALL) w JOIN upb ON upb.series_id = node CROSS JOIN gridq")
 _carry = lambda p, k: f"SELECT w.*, {f'greatest(p.held + p.allocated - p.actual, 0)' if k else '0.0'} AS held FROM wk0 w {f'JOIN {p}{k - 1} p ON p.node = w.node' if k else ''} WHERE w.week = {k}"
@@ -233,8 +236,8 @@ def _weeks(spark, sf):
     price = p.where((F.col("date") > F.date_sub("hi", 140)) & (F.col("date") <= F.date_sub("hi", 112))).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("price"))
     week = (4 * (F.substring("fold", -1, 1).cast("int") - 1) + F.floor((F.col("step") - 1) / 7)).cast("int")
     rows = cal_scores(spark, sf).groupBy("series_id", "cat_id", week.alias("week")).agg(F.sum("forecast").alias("forecast"), F.sum("actual").alias("actual"), F.first("scale").alias("scale")).join(price, "series_id")
-    with_scenarios = un.scenarios(rows, un.score_grid(cal_scores(spark, sf), [], CFG.scenarios), [])
-    return with_scenarios.select(F.col("series_id").alias("node"), "week", "forecast", "actual", "price", (F.col("price") * lookup(CFG.margins, F.col("cat_id"), CFG.default_margin)).alias("weight"), "scenarios")
+    with_scenarios = un.scenarios(rows, un.score_grid(cal_scores(spark, sf), [], un.SCENARIOS), [])
+    return with_scenarios.select(F.col("series_id").alias("node"), "week", "forecast", "actual", "price", (F.col("price") * terms.margin()).alias("weight"), "scenarios")
 
 
 def _carried(spark, sf, policy: str):
@@ -244,7 +247,7 @@ def _carried(spark, sf, policy: str):
         now = weeks.where(F.col("week") == k)
         now = now.withColumn("held", F.lit(0.0)) if held is None else now.join(held, "node")
         if policy == "lp":
-            done = al.allocate(now, ["week"], _supply(), CFG.min_fill).select("node", "week", "forecast", "held", "allocated").join(now.select("node", "actual", "price"), "node")
+            done = al.allocate(now, ["week"], _supply(), al.MIN_FILL).select("node", "week", "forecast", "held", "allocated").join(now.select("node", "actual", "price"), "node")
         else:
             done = al.pro_rata(now, ["week"], _supply())
         done = materialised(done.select("node", "week", "forecast", "actual", "price", "held", "allocated"), "week")
@@ -275,10 +278,10 @@ def allocation_node_fill(spark, sf):
     return carried(spark, sf, "pro_rata").select("node", "week", r(F.try_divide(F.least(F.col("actual"), F.col("held") + F.col("allocated")), F.col("actual")), 6).alias("fill_rate"))
 
 
-@query("SELECT node, max(n)::BIGINT AS longest_short_run FROM (SELECT node, island, count(*) AS n FROM (SELECT *, week - row_number() OVER (PARTITION BY node ORDER BY week) AS island FROM (SELECT node, week FROM pwall WHERE least(actual, held + allocated) / nullif(actual, 0) < 0.9 - 1e-9)) GROUP BY ALL) GROUP BY 1 HAVING max(n) > 1")
+@query("SELECT node, max(n)::BIGINT AS longest_short_run FROM (SELECT node, island, count(*) AS n FROM (SELECT *, week - row_number() OVER (PARTITION BY node ORDER BY week) AS island FROM (SELECT node, week FROM pwall WHERE least(actual, held + allocated) / nullif(actual, 0) < 0.5 - 1e-9)) GROUP BY ALL) GROUP BY 1 HAVING max(n) > 2")
 def fairness_runs(spark, sf):
     fill = carried(spark, sf, "pro_rata").select("node", F.col("week").alias("period"), F.try_divide(F.least(F.col("actual"), F.col("held") + F.col("allocated")), F.col("actual")).alias("fill_rate"))
-    return al.longest_short_runs(fill, 0.9, 1)
+    return al.longest_short_runs(fill, 0.5, 2)
 
 
 define("ords", "SELECT cat_id AS product, w.series_id AS row, w.forecast AS quantity, 0.7 * sum(w.forecast) OVER (PARTITION BY cat_id) AS available, held / greatest(w.forecast / 7, 0.001) AS cover, unit_price AS value FROM wkpoint w JOIN (SELECT node AS series_id, held FROM anodes) USING (series_id) JOIN uprice USING (series_id)")
@@ -287,9 +290,11 @@ define("ords", "SELECT cat_id AS product, w.series_id AS row, w.forecast AS quan
 def orders(spark, sf):
     p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))
     price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("value"))
-    held = p.where(F.col("date") == F.date_sub("hi", 28)).select("series_id", F.col("sales").alias("held"))
-    o = week_points(spark, sf).join(price, "series_id").join(held, "series_id")
-    return o.select(F.col("cat_id").alias("product"), F.col("series_id").alias("row"), F.col("forecast").alias("quantity"), (0.7 * F.sum("forecast").over(W.partitionBy("cat_id"))).alias("available"), (F.col("held") / F.greatest(F.col("forecast") / 7, F.lit(0.001))).alias("cover"), "value")
+    held = alloc_nodes(spark, sf).select(F.col("node").alias("series_id"), "held")
+    points = week_points(spark, sf)
+    there = points.groupBy("cat_id").agg((0.7 * F.sum("forecast")).alias("available"))
+    o = points.join(price, "series_id").join(held, "series_id").join(there, "cat_id")
+    return o.select(F.col("cat_id").alias("product"), F.col("series_id").alias("row"), F.col("forecast").alias("quantity"), "available", (F.col("held") / F.greatest(F.col("forecast") / 7, F.lit(0.001))).alias("cover"), "value")
 
 
 @query("SELECT product, row, quantity, round(quantity * least(coalesce(available / nullif(sum(quantity) OVER (PARTITION BY product), 0), 1), 1), 4) AS shipped FROM ords")
@@ -315,13 +320,13 @@ define("hold", f"SELECT series_id, cat_id, step, forecast, {_REV} AS cover FROM
 
 @query("SELECT a.series_id, a.step, CAST(a.cover AS INTEGER) AS cover, round(coalesce((SELECT sum(b.forecast) FROM hold b WHERE b.series_id = a.series_id AND b.step > a.step AND b.step <= a.step + a.cover), 0) + greatest(a.step + a.cover - 28, 0) * (SELECT avg(b.forecast) FROM hold b WHERE b.series_id = a.series_id AND b.step > 21), 4) AS target FROM hold a")
 def cover_targets(spark, sf):
-    h = srows(spark, sf).where("fold = 'holdout'").select("series_id", "step", "forecast", (F.lit(CFG.lead_days) + lookup(CFG.review_days, F.col("cat_id"), CFG.default_review)).alias("cover"))
+    h = srows(spark, sf).where("fold = 'holdout'").select("series_id", "step", "forecast", (terms.protection_days()).alias("cover"))
     return al.cover_targets(h).withColumn("target", r("target"))
 
 
 @query(f"SELECT cat_id AS product, round(sqrt(sum((greatest(safety_stock, 0) * sqrt(14.0 / {_REV})) ** 2) + (1.65 * sum(forecast / 7)) ** 2), 4) AS dc_safety FROM sst WHERE q = 0.95 GROUP BY cat_id")
 def dc_safety(spark, sf):
-    cover = F.lit(CFG.lead_days) + lookup(CFG.review_days, F.col("cat_id"), CFG.default_review)
+    cover = terms.protection_days()
     rows = safety(spark, sf).where("q = 0.95").select(F.col("cat_id").alias("product"), F.col("safety_stock").alias("safety"), cover.alias("cover"), (F.col("forecast") / 7).alias("mean_daily"))
     return al.dc_safety(rows, 14).withColumn("dc_safety", r("dc_safety"))
 

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections import OrderedDict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SERVICE_GRID
-from ..operators import twin
-from ..operators.twin import Answer, Disruption, Option
-from ..sources.store import exists, materialised, read_gold
+from ..sources.store import exists, read_gold
 
 METRIC_TABLES = ("model_metrics", "reconciliation_metrics", "interval_coverage", "allocation_backtest", "drift")
-TABLES = ("twin_validation", "twin_timeline", "twin_frontier", "twin_policy_curve", "twin_stress", "twin_responses", "inventory_health", "twin_exceptions", "planning_cycle", "decision_accuracy", "weekday_bias", "event_accuracy", "override_fva", "bias_exceptions", "probable_stockouts", "interval_coverage_segment", "allocation_node_fill", "twin_frontier_speed")
+TABLES = ("planning_cycle", "decision_accuracy", "weekday_bias", "event_accuracy", "override_fva", "bias_exceptions", "probable_stockouts", "interval_coverage_segment", "allocation_node_fill")
 MAX_PAGE = 50_000
 
 
@@ -63,76 +57,3 @@ class Service:
         if name not in TABLES:
             raise ValueError(f"table must be one of {TABLES}")
         return self._page(name, {}, limit, offset)
-
-
-_answers: OrderedDict[str, DataFrame] = OrderedDict()
-ANSWERS, MAX_REPS = 64, 50
-HORIZON = 28
-#: The request's scenario: field -> (field of Disruption or Answer, least and most value, None: a window of days or a name). Fixed values of the outward contract.
-_DISRUPTION = {"demand_scale": ("demand_factor", 0.2, 3.0), "category": ("category", None, None), "days": ("demand_days", None, None), "dc_factor": ("supply_factor", 0.1, 1.5), "dc_days": ("supply_days", None, None), "delay": ("late_by", 0, 14), "delay_days": ("late_days", None, None)}
-_ANSWER = {"replan_after": ("replan_after", 0, 28), "planned": ("announced", 0, 1), "prebuild_days": ("build_ahead_days", 0, 21), "prebuild_until": ("build_until", 0, 28), "expedite_share": ("rush_share", 0.0, 1.0), "backup_share": ("spare_share", 0.0, 1.0), "premium": ("surcharge", 0.0, 1.0)}
-_WHOLE = {"delay", "replan_after", "prebuild_days", "prebuild_until"}
-
-
-def _field(name: str, value, low, high):
-    if name == "category":
-        if not isinstance(value, str):
-            raise ValueError("category must be a name")
-        return value
-    if low is None:
-        if len(value) != 2 or not all(isinstance(d, int) for d in value) or not 0 <= value[0] < value[1] <= HORIZON:
-            raise ValueError(f"{name} must be two days of 0 to {HORIZON}, the first before the second")
-        return tuple(value)
-    if not isinstance(value, (int, float)) or not low <= value <= high or name in _WHOLE and value != int(value):
-        raise ValueError(f"{name} must be {low} to {high}")
-    return bool(value) if name == "planned" else value
-
-
-def scenario(asked: dict) -> tuple[Disruption, Answer]:
-    """A request's scenario, checked; a bad or unknown field is a ValueError."""
-    if unknown := set(asked) - set(_DISRUPTION) - set(_ANSWER):
-        raise ValueError(f"unknown fields: {sorted(unknown)}")
-    made = [{to: _field(name, asked[name], low, high) for name, (to, low, high) in group.items() if asked.get(name) is not None} for group in (_DISRUPTION, _ANSWER)]
-    return Disruption(**made[0]), Answer(**made[1])
-
-
-def simulate(spark: SparkSession, sf_dir: str, request: dict) -> DataFrame:
-    """KPI bands of a baseline and, if asked for, a scenario on common random numbers.
-
-    request: policy, reps (1 to 50), service_level (one of the grid) or none, rationing, seed (0 to 10,000), scenario (see scenario()). A
-    bad value is a ValueError. The last 64 answers are kept, as tables in the shared folder.
-    """
-    if unknown := set(request) - {"policy", "reps", "service_level", "rationing", "seed", "scenario"}:
-        raise ValueError(f"unknown fields: {sorted(unknown)}")
-    if not 0 <= request.get("seed", 1) <= 10_000:
-        raise ValueError("seed must be 0 to 10000")
-    happening, answer = scenario(request.get("scenario") or {})
-    reps, level = request.get("reps", 20), request.get("service_level")
-    if not 1 <= reps <= MAX_REPS or level is not None and level not in SERVICE_GRID:
-        raise ValueError(f"reps must be 1 to {MAX_REPS} and service_level one of {SERVICE_GRID}")
-    key = json.dumps([sf_dir, spark.sparkContext.applicationId, request], sort_keys=True)
-    if key in _answers:
-        _answers.move_to_end(key)
-        return _answers[key]
-    from .q_twin import run
-
-    base = Option("baseline", policy=request.get("policy", "forecast_reorder"), reps=reps, seed=request.get("seed", 1), rationing=request.get("rationing", "proportional"), service_index=-1 if level is None else SERVICE_GRID.index(level))
-    options = [base]
-    if request.get("scenario"):
-        options.append(twin.with_options(base, name="scenario", disruption=happening, answer=answer))
-    k = twin.long_form(twin.kpis(run(spark, sf_dir, options)), ["option"], twin.KPIS + twin.DC_KPIS)
-    _answers[key] = materialised(twin.band(k, ["option", "metric"]), "answer")
-    if len(_answers) > ANSWERS:
-        _answers.popitem(last=False)
-    return _answers[key]
-
-
-def write_bundle(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The twin's inputs, one row a series with its arrays, replacing any older bundle."""
-    from .q_twin import inputs
-
-    inputs(spark, sf_dir).write.mode("overwrite").parquet(path)
-
-
-def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

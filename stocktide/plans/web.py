@@ -1,17 +1,14 @@
-"""Files for dashboards and web pages: an extract of the gold tables, forecasts as JSON by level, and preset simulations."""
+"""Files for dashboards and web pages: an extract of the gold tables, and forecasts as JSON by level."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import twin
-from ..operators.twin import Disruption, Option
 from ..sources.store import columnar_json, json_records, read_gold
-from .q_twin import REPS, SCENARIOS, answer, run
 
 REQUIRED = ("forecasts", "model_metrics", "prediction_intervals", "safety_stock", "allocation", "allocation_backtest", "drift")
-OPTIONAL = ("interval_coverage", "interval_coverage_segment", "reconciliation_metrics", "probable_stockouts", "decision_accuracy", "weekday_bias", "event_accuracy", "override_fva", "bias_exceptions", "planning_cycle", "allocation_node_fill", "twin_validation", "twin_timeline", "twin_frontier", "twin_policy_curve", "twin_stress", "twin_responses", "inventory_health", "twin_exceptions")
+OPTIONAL = ("interval_coverage", "interval_coverage_segment", "reconciliation_metrics", "probable_stockouts", "decision_accuracy", "weekday_bias", "event_accuracy", "override_fva", "bias_exceptions", "planning_cycle", "allocation_node_fill")
 
 
 def extract(spark: SparkSession, gold: str, target: str) -> dict[str, int]:
@@ -28,17 +25,8 @@ def extract(spark: SparkSession, gold: str, target: str) -> dict[str, int]:
     return rows
 
 
-def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KPI bands of both policies without and with each scenario on the same futures."""
-    happening = {"baseline": Disruption()} | SCENARIOS
-    options = [Option(f"{p}|{n}", policy=p, reps=REPS, seed=1, disruption=d, answer=answer(n)) for p in twin.POLICIES for n, d in happening.items()]
-    values = twin.long_form(twin.kpis(run(spark, sf_dir, options)), ["option"], twin.KPIS + twin.DC_KPIS)
-    part = lambda i: F.split_part("option", F.lit("|"), F.lit(i))
-    return twin.band(values, ["option", "metric"]).select(part(1).alias("policy"), part(2).alias("scenario"), "metric", "mean", "lower", "upper")
-
-
-def build(spark: SparkSession, sf_dir: str, gold: str, folder: str) -> dict[str, int]:
-    """A JSON file set: the served forecasts by level, every other gold table as records, the presets and a manifest of rows."""
+def build(spark: SparkSession, gold: str, folder: str) -> dict[str, int]:
+    """A JSON file set: the served forecasts by level, every other gold table as records, and a manifest of rows."""
     served = read_gold(spark, gold, "forecasts").where("served")
     by_level = served.select("level", F.struct("series_id", "date", "forecast").alias("x")).select("level", "x.*")
     rows = {}
@@ -50,7 +38,6 @@ def build(spark: SparkSession, sf_dir: str, gold: str, folder: str) -> dict[str,
         if df is not None:
             json_records(df).write.mode("overwrite").text(f"{folder}/{name}")
             rows[name] = df.count()
-    json_records(presets(spark, sf_dir)).write.mode("overwrite").text(f"{folder}/presets")
     manifest = spark.createDataFrame(list(rows.items()), "file string, rows long")
     json_records(manifest).coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
     return rows

@@ -11,9 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EVENTS, Config
 from .store import materialised
 
+#: Month-day of the calendar's events (fixed values of the test calendar).
+EVENTS = {"01-01": "NewYear", "02-14": "ValentinesDay", "07-04": "IndependenceDay", "10-31": "Halloween", "12-25": "Christmas"}
+HORIZON, BACKTESTS = 28, 3
+MATRIX_DAYS = 420  # of the panels at department grain
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,7 +101,7 @@ def panel(spark: SparkSession, sf_dir: str, keys: list[str], last_days: int | No
 P1, P2 = ["cat_id", "state_id"], ["dept_id", "cat_id", "state_id"]
 
 
-def folds(cfg: Config = Config()) -> dict[str, int]:
+def folds() -> dict[str, int]:
     """Fold name -> days from the last day back to the fold's origin."""
-    back = {f"backtest_{k + 1}": cfg.horizon * (cfg.folds + 1 - k) for k in range(cfg.folds)}
-    return back | {"holdout": cfg.horizon}
+    back = {f"backtest_{k + 1}": HORIZON * (BACKTESTS + 1 - k) for k in range(BACKTESTS)}
+    return back | {"holdout": HORIZON}

@@ -8,10 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stocktide.config import StoreRules, TwinConfig, WarehouseRules
 from stocktide.functions import exprs
-from stocktide.operators import allocate, drift, features, forecast, hierarchy, metrics, models, reconcile, stockouts, twin, twin_day, uncertainty
-from stocktide.operators.twin import Answer, Disruption, Option
+from stocktide.operators import allocate, drift, features, forecast, hierarchy, metrics, models, reconcile, stockouts, uncertainty
 
 D = dt.date(2016, 1, 1)
 
@@ -211,173 +209,6 @@ def test_rationing_modes(spark):
         allocate.ration(o, "by_mood")
 
 
-def twin_inputs(spark, n=3, level=10.0, safety=5.0):
-    row = lambda k: ("P", f"s{k}", "C", f"store{k}", k, [level] * 28, [level] * 28, [level] * 28, [level] * 84, [level] * 84, safety, [safety * q for q in range(8)], 2 + k, 4.0, 3.0, 0.01)
-    return spark.createDataFrame([row(k) for k in range(n)], "product string, series_id string, category string, store string, position int, history array<double>, forecast array<double>, actual array<double>, past_actual array<double>, past_forecast array<double>, safety double, safety_by_service array<double>, review int, price double, cost double, holding double")
-
-
-CALM = TwinConfig(warehouse=WarehouseRules(lead_spread=0.0))
-
-
-def test_steady_demand_never_runs_out_and_units_are_conserved(spark):
-    options = [Option("replay", replay=True), Option("futures", reps=6, seed=1), Option("naive", policy="last_week_reorder", replay=True), Option("endless", replay=True, unlimited=True)]
-    sim = twin.simulate(twin_inputs(spark), options, CALM).cache()
-    k = {(r.option, r.rep): r for r in twin.kpis(sim).collect()}
-    assert abs(k["replay", 0].fill_rate - 1) < 1e-9 and abs(k["endless", 0].units_sold - k["endless", 0].units_demanded) < 1e-6 and abs(k["naive", 0].fill_rate - 1) < 1e-9
-    assert sim.where("kind = 'dc'").agg(F.max("gap")).first()[0] < 1e-3
-    by = {r.store: r.units_sold for r in twin.kpis(sim, "store").where("option = 'replay'").collect()}
-    assert abs(sum(by.values()) - k["replay", 0].units_sold) < 1e-6
-
-
-def test_shocks_hurt_and_responses_help(spark):
-    cut, late = Disruption(supply_factor=0.3, supply_days=(0, 20)), Disruption(late_by=10, late_days=(0, 14))
-    with_ = lambda n, d=Disruption(), policy="forecast_reorder", **x: Option(n, policy=policy, reps=4, seed=3, disruption=d, answer=Answer(**x))
-    options = [with_("base"), with_("cut", cut), with_("backup", cut, spare_share=0.9, surcharge=0.1), with_("late", late), with_("fast", late, rush_share=1.0, surcharge=0.2), with_("naive_fast", late, "last_week_reorder", rush_share=1.0)]
-    k = {r.option: r for r in twin.kpis(twin.simulate(twin_inputs(spark, safety=1.0), options, CALM)).groupBy("option").agg(F.avg("units_lost").alias("lost"), F.avg("response_cost").alias("paid")).collect()}
-    assert k["cut"].lost > k["base"].lost and k["backup"].lost < k["cut"].lost and k["backup"].paid > 0 and k["base"].paid == 0
-    assert k["late"].lost > k["base"].lost and k["fast"].lost < k["late"].lost and "naive_fast" in k
-
-
-def test_more_safety_never_lowers_fill(spark):
-    options = [Option(str(m), reps=8, seed=2, safety_multiplier=m) for m in (0.0, 1.0, 4.0)]
-    rows = twin_inputs(spark).withColumn("past_actual", F.transform(F.sequence(F.lit(0), F.lit(83)), lambda i: (i * 7 % 21).cast("double")))
-    fill = {r.option: r.f for r in twin.kpis(twin.simulate(rows, options)).groupBy("option").agg(F.avg("fill_rate").alias("f")).collect()}
-    assert fill["0.0"] <= fill["1.0"] + 1e-9 <= fill["4.0"] + 2e-9
-
-
-def test_array_helpers():
-    f = np.arange(1.0, 11.0)[None]
-    rows, day = twin_day.Outlook(f, 9), np.arange(10)[None]
-    assert np.allclose(rows.between(day + 1, day + 4)[0][:2], [2 + 3 + 4, 3 + 4 + 5])
-    assert np.isclose(rows.of(8, 12), 9 + 10 + 2 * f[0, -7:].mean()) and rows.of(5, 3) == 0
-    assert twin_day.whole_packs(np.array([0.2]), 1)[0] == 0.2 and twin_day.whole_packs(np.array([6.1, -3.0]), 6).tolist() == [12, 0]
-    past = np.full((2, 14), 7.0), np.arange(42.0).reshape(2, 21), np.full((2, 21), 7.0), 5, 1
-    a = twin_day.past_weeks(*past)
-    assert a.shape == (5, 2, 14) and (a == twin_day.past_weeks(*past)).all()
-    factor = (49 + 0.5) / (49 + 0.5)
-    weeks = [np.arange(42.0).reshape(2, 3, 7)[:, k] * factor for k in range(3)]
-    for rep in a:  # each week is a whole past one, the same for both rows
-        for half in (rep[:, :7], rep[:, 7:]):
-            assert any(np.allclose(half, w) for w in weeks)
-    for pooled in (False, True):
-        assert (twin_day.own_errors(np.full((2, 14), 7.0), np.zeros((2, 21)), np.full((2, 21), 9.0), 3, 1, pooled) == 0).all()
-        low = twin_day.own_errors(np.full((2, 14), 7.0), np.full((2, 21), 10.0), np.full((2, 21), 9.0), 3, 1, pooled)
-        assert np.allclose(low, 8.0)
-
-
-def plain_twin(rows, option, cfg, demand):
-    """One replication, number by number, from the order of operations of a day: the plain version that the twin is held against."""
-    store, depot, w = cfg.store, cfg.warehouse, cfg.run_in_days
-    n, days, d, a = len(rows), w + len(rows[0]["forecast"]), option.disruption, option.answer
-    plan = [[sum(r["history"][-28:]) / 28] * w + list(r["forecast"]) for r in rows]
-    sales = [list(r["history"])[len(r["history"]) - w :] + list(demand[i]) for i, r in enumerate(rows)]
-    window = range(w + d.demand_days[0], w + d.demand_days[1]) if d.demand_days else range(days)
-    for i, r in enumerate(rows):
-        for t in window:
-            if d.category in (None, r["category"]):
-                sales[i][t] *= d.demand_factor
-                if a.announced:
-                    plan[i][t] *= d.demand_factor
-    expect = lambda series, first, last: sum(series[t] if t < days else sum(series[-7:]) / 7 for t in range(first, last))
-    total = [sum(p[t] for p in plan) for t in range(days)]
-    lead, every, slead = max(depot.lead_days, 1), max(depot.order_every, 1), max(store.lead_days, 1)
-    review = [max(r["review"], 1) for r in rows]
-    cover = [v + slead for v in review]
-    safety = [r["safety"] * option.safety_multiplier for r in rows]
-    pack = lambda q: max(q, 0) if store.pack <= 1 else math.ceil(max(q, 0) / store.pack - 1e-9) * store.pack
-    pool = lambda span: depot.safety_scale * math.sqrt(sum(max(s, 0) ** 2 * span / c for s, c in zip(safety, cover)) + (depot.safety_z * depot.lead_spread * sum(total) / days) ** 2)
-    goal = lambda i, t: pack(max(expect(plan[i], t + 1, t + 1 + cover[i]) + safety[i], store.shelf_minimum))
-    shelf, coming, sent_back = [goal(i, 0) for i in range(n)], {}, {}
-    landings = sorted(range(lead - every, 0, -every)) + [lead]
-    stock = pool(lead + every) + expect(total, 0, landings[0])
-    for x, y in zip(landings, landings[1:]):
-        sent_back[x] = sent_back.get(x, 0) + expect(total, x, y)
-    jitter = math.ceil(3 * depot.lead_spread)
-    sold, lost, asked, given_all, paid = [0.0] * n, [0.0] * n, 0.0, 0.0, 0.0
-    books = [[] for _ in range(n)]
-    unit = sum(r["cost"] for r in rows) / n
-    for t in range(days):
-        for i in range(n):
-            shelf[i] += coming.pop((i, t), 0)
-        share = d.supply_factor if (w + d.supply_days[0] <= t < w + d.supply_days[1] if d.supply_days else True) else 1.0
-        came = sent_back.pop(t, 0)
-        stock += came * (share + max(1 - share, 0) * a.spare_share)
-        paid += came * max(1 - share, 0) * a.spare_share * unit * a.surcharge
-        for i in range(n):
-            s = min(shelf[i], sales[i][t])
-            shelf[i] -= s
-            books[i].append(s)
-            if t >= w:
-                sold[i] += s
-                lost[i] += sales[i][t] - s
-        place = [shelf[i] + sum(q for (j, _), q in coming.items() if j == i) for i in range(n)]
-        orders = []
-        for i in range(n):
-            seen = books[i][-7:]
-            to = goal(i, t) if option.policy == "forecast_reorder" else pack(max(sum(seen) / len(seen) * cover[i] + safety[i], store.shelf_minimum))
-            orders.append(pack(to - place[i]) if (t - rows[i]["position"] % review[i]) % review[i] == 0 else 0.0)
-        left, given = max(stock, 0), [0.0] * n
-        if option.rationing == "proportional":
-            given = [o * min(left / sum(orders), 1) if sum(orders) else 0.0 for o in orders]
-        else:
-            rank = {"days_of_cover": lambda i: place[i] / max(plan[i][t], 1e-3), "value": lambda i: rows[i]["cost"] - rows[i]["price"]}[option.rationing]
-            for i in sorted(range(n), key=rank):
-                given[i] = min(orders[i], left)
-                left -= given[i]
-        stock -= sum(given)
-        for i in range(n):
-            coming[i, t + slead] = coming.get((i, t + slead), 0) + given[i]
-        if t >= w:
-            asked, given_all = asked + sum(orders), given_all + sum(given)
-        if t % every == 0:
-            since = w + (d.late_days[0] if d.late_days else 0)
-            late = d.late_by if d.late_by and since <= t and (not d.late_days or t < w + d.late_days[1]) else 0
-            longer = d.late_by and a.replan_after is not None and t >= since + a.replan_after
-            span = lead + every + (d.late_by if longer else 0)
-            up_to = expect(total, t + 1, t + 1 + span) + pool(span)
-            if a.build_ahead_days and (a.build_until is None or t < w + a.build_until):
-                up_to += expect(total, 0, a.build_ahead_days)
-            quantity = max(up_to - stock - sum(sent_back.values()), 0)
-            noise = int(np.clip(np.rint(twin_day.draws("lead", option.seed, "P", t).normal(0, 1, 1)[0] * depot.lead_spread), -jitter, jitter))
-            at = lambda takes: t + min(max(takes + noise, 1), lead + d.late_by + jitter + 1)
-            if late and a.rush_share:
-                short = expect(total, t, t + lead) + pool(lead + every) - max(stock, 0) - sum(q for x, q in sent_back.items() if x <= t + lead)
-                rushed = min(max(short, 0), quantity) * a.rush_share
-                paid += rushed * unit * a.surcharge
-                sent_back[at(lead)] = sent_back.get(at(lead), 0) + rushed
-                quantity -= rushed
-            sent_back[at(lead + late)] = sent_back.get(at(lead + late), 0) + quantity
-    return sold, lost, asked, given_all, paid, stock
-
-
-@pytest.mark.parametrize("seed", range(24))
-def test_twin_equals_the_plain_version(seed):
-    """Random products, rules, policies, rationing, disruptions and answers."""
-    g = np.random.default_rng(seed)
-    pick = lambda *x: x[g.integers(len(x))]
-    n, days = int(g.integers(1, 5)), 28
-    level = g.gamma(2, 6, n)
-    rows = [{"product": "P", "series_id": f"s{i}", "category": pick("A", "B"), "store": f"t{i}", "position": int(g.integers(50)), "history": g.poisson(level[i], 28).astype(float), "forecast": g.poisson(level[i], days).astype(float), "actual": g.poisson(level[i], days).astype(float), "past_actual": np.zeros(7), "past_forecast": np.zeros(7), "safety": float(g.gamma(1, 8)), "safety_by_service": np.zeros(8), "review": int(g.integers(1, 8)), "price": float(g.uniform(2, 9)), "cost": float(g.uniform(1, 5)), "holding": 0.01} for i in range(n)]
-    cfg = TwinConfig(store=StoreRules(lead_days=int(g.integers(1, 4)), pack=pick(1, 1, 6)), warehouse=WarehouseRules(lead_days=int(g.integers(2, 11)), lead_spread=pick(0.0, 1.0, 2.0), order_every=int(g.integers(2, 9))), run_in_days=pick(0, 14))
-    window = lambda: pick(None, (3, 15), (0, 28))
-    d = pick(Disruption(), Disruption(demand_factor=1.7, demand_days=window(), category=pick(None, "A")), Disruption(supply_factor=0.4, supply_days=window()), Disruption(late_by=6, late_days=window()))
-    a = pick(Answer(), Answer(announced=True, spare_share=0.5, surcharge=0.2, rush_share=0.7, replan_after=3), Answer(build_ahead_days=6, build_until=pick(None, 10), rush_share=1.0, surcharge=0.1))
-    option = Option("x", policy=pick(*twin.POLICIES), replay=True, seed=seed, safety_multiplier=pick(0.5, 1.0), rationing=pick(*twin_day.RATIONING), disruption=d, answer=a)
-    books = twin.play(pd.DataFrame(rows), option, cfg)
-    k = slice(cfg.run_in_days, None)
-    got = books.sold[0, :, k].sum(1), (books.demand - books.sold)[0, :, k].sum(1), books.asked[0], books.sent[0], books.surcharge[0], books.depot_stock[0, -1]
-    want = plain_twin(rows, option, cfg, [r["actual"] for r in rows])
-    for x, y in zip(got, (*want[:5], max(want[5], 0))):
-        assert np.allclose(x, y, atol=1e-6), (option, cfg)
-    assert books.missing < 1e-6
-
-
-def test_interpolation(spark):
-    c = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "x double, y double")
-    p = spark.createDataFrame([(2.0,), (9.0,)], "at double")
-    assert {r["at"]: r.value for r in twin.interpolate(c, p, "x", "y").collect()} == {2.0: 20.0, 9.0: None}
-
-
 def test_sarima():
     t = np.arange(300)
     x = 50 + 10 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(1).normal(0, 1, 300)
@@ -386,3 +217,39 @@ def test_sarima():
     assert (f >= 0).all() and np.abs(f - x[-28:]).mean() < 1.5 * np.abs(naive - x[-28:]).mean() and 0 < var < 10
     assert (models.sarima(np.array([3.0, 4.0]), 3)[0] == [4, 4, 4]).all()
     assert len(models.sarima(x[:52], 4, season=0)[0]) == 4
+
+
+def test_shadow_price_equals_a_greedy_pass(spark):
+    """Many nodes, two groups, equal weights (ties at the price), supplies from nothing to more than all can use."""
+    r = np.random.default_rng(3)
+    rows = [(g, f"{g}{i}", float(r.integers(1, 9)), float(r.choice([1.0, 2.0, 2.5])), float(r.integers(0, 3)), [float(v) for v in r.integers(0, 12, 5)]) for g in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, node string, forecast double, weight double, held double, scenarios array<double>").repartition(3)
+    for part in (0.0, 0.3, 0.9, 9.0):
+        got = allocate.allocate(df, ["run"], F.lit(part) * F.col("t_forecast"), 0.2).collect()
+        for g in "ab":
+            mine, total, segments = {x.node: x.allocated for x in got if x.run == g}, 0.0, []
+            for _, node, forecast, weight, held, demand in (x for x in rows if x[0] == g):
+                total += forecast
+                start, below = held + max(0.2 * forecast - held, 0), 0.0
+                for j, top in enumerate(sorted(demand)):
+                    segments.append((weight * (5 - j) / 5, max(top - max(start, below), 0), node))
+                    below = top
+            floors = sum(max(0.2 * x[2] - x[4], 0) for x in rows if x[0] == g)
+            left, worth = part * total - floors, 0.0
+            for value, length, _ in sorted(segments, reverse=True):
+                take = min(max(left, 0), length)
+                left, worth = left - take, worth + value * take
+            reached = 0.0
+            for _, node, forecast, weight, held, demand in (x for x in rows if x[0] == g):
+                low, high = held + max(0.2 * forecast - held, 0), held + mine[node]
+                reached += weight * sum(min(d, high) - min(d, low) for d in demand) / 5
+            assert abs(sum(mine.values()) - floors - min(max(part * total - floors, 0), sum(s[1] for s in segments))) < 1e-6 and abs(reached - worth) < 1e-6
+
+
+def test_a_planted_bias_is_flagged_at_the_real_threshold(spark):
+    weeks = [("m", "steady", k, 70.0 + k % 2, 70.0) for k in range(12)] + [("m", "low", k, 80.0 + k % 2, 70.0) for k in range(12)]
+    s = metrics.tracking_signal(spark.createDataFrame(weeks, "method string, series_id string, window int, actual double, forecast double"), ["method", "series_id"])
+    prices = spark.createDataFrame([("steady", 1.0), ("low", 2.0)], "series_id string, unit_price double")
+    assert [(r.series_id, r.direction) for r in metrics.bias_exceptions(s, prices).collect()] == [("low", "under-forecast")]
+    got = {r.series_id: (r.flagged, round(r.multiplier, 3)) for r in metrics.bias_correction(s).collect()}
+    assert got == {"steady": (False, 1.0), "low": (True, 1.075)}

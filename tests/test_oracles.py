@@ -17,15 +17,6 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert differences(QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLES[name]).df()) == ""
 
 
-def test_twin_tables(spark, sf):
-    v = QUERIES["twin_validation"](spark, sf).collect()
-    assert all(r.lower <= r.upper for r in v) and {r.store for r in v} >= {"all"}
-    f = QUERIES["twin_frontier"](spark, sf).collect()
-    chosen = [(r.assumption, r.category) for r in f if r.recommended]
-    assert len(chosen) == len(set(chosen)) == len({(r.assumption, r.category) for r in f})
-    assert all(r.inventory_change <= 0 for r in f if r.within_budget)
-
-
 def test_entry_imports_without_the_training_data_part(monkeypatch):
     import builtins
     import importlib

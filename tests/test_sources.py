@@ -86,18 +86,10 @@ def test_stream_equals_batch(spark, sf):
     assert got.agg(F.sum("n")).first()[0] == 2 * n
 
 
-def test_what_if_requests_are_checked(spark, sf):
-    for bad in ({"reps": 51}, {"service_level": 0.5}, {"colour": 1}, {"scenario": {"rain": 1}}, {"policy": "guess"}, {"seed": -1}, {"scenario": {"demand_scale": -5}}, {"scenario": {"delay": 10**6}}, {"scenario": {"delay": 1.5}}, {"scenario": {"days": [9, 3]}}, {"scenario": {"category": 7}}):
-        with pytest.raises(ValueError):
-            serve.simulate(spark, sf, bad)
-    ask = {"reps": 2, "scenario": {"dc_factor": 0.5, "dc_days": [0, 7]}}
-    assert serve.simulate(spark, sf, ask) is serve.simulate(spark, sf, dict(ask)) and serve.simulate(spark, sf, ask).count() == 34
-
-
 def test_gold_build_is_what_the_service_reads(spark, sf, tmp_path):
-    """One build of the served forecasts, read through the service; a bundle written and read; unknown commands."""
+    """One build of the served forecasts, read through the service; unknown commands."""
     from stocktide.__main__ import main
-    from stocktide.plans import gold, q_twin
+    from stocktide.plans import gold
 
     folder = str(tmp_path)
     assert set(gold.build(spark, sf, folder, ["forecasts"])["seconds"]) == {"forecasts"}
@@ -111,8 +103,6 @@ def test_gold_build_is_what_the_service_reads(spark, sf, tmp_path):
     whole = {r.date: r.forecast for r in s.get_forecast(level="total", limit=5000)[0].collect()}
     for day, value in whole.items():  # coherent: the states add up to the total
         assert abs(sum(v for (_, d), v in state.items() if d == day) - value) < 0.01
-    serve.write_bundle(spark, sf, f"{folder}/bundle")
-    assert serve.read_bundle(spark, f"{folder}/bundle").count() == q_twin.inputs(spark, sf).count() > 0
     with pytest.raises(SystemExit):
         main(["fly"])
 
@@ -131,3 +121,56 @@ def test_silver_follows_every_source(spark, sf, tmp_path):
     (copy / "nation.parquet").chmod(0o644)
     (copy / "nation.parquet").touch()
     assert retail.once(spark, str(copy), ("x",), lambda: spark.range(2)).count() == 2
+
+
+def test_extract_web_and_replay_commands(spark, sf, raw, tmp_path, capsys):
+    """Every command that writes files, on what it reads."""
+    import json
+
+    from stocktide.__main__ import main
+    from stocktide.plans import gold, web
+
+    folder, out = str(tmp_path / "gold"), str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        web.extract(spark, folder, out)
+    names = [n for n in web.REQUIRED if n != "allocation_backtest"]
+    gold.build(spark, sf, folder, names)
+    store.write_gold({"allocation_backtest": spark.createDataFrame([(1, 0.123456)], "week int, fill_rate double")}, folder)
+    main(["extract", folder, out])
+    rows = json.loads(capsys.readouterr().out)
+    assert set(rows) == set(web.REQUIRED) and all(spark.read.parquet(f"{out}/{n}.parquet").count() == k for n, k in rows.items())
+    assert spark.read.parquet(f"{out}/allocation_backtest.parquet").first().fill_rate == 0.1235
+    assert spark.read.option("header", True).csv(f"{out}/drift.csv").count() == rows["drift"]
+    main(["web", folder, f"{out}/web"])
+    made = json.loads(capsys.readouterr().out)
+    regions = spark.read.parquet(f"{sf}/region.parquet").count()
+    assert made["forecasts/total"] == 1 and made["forecasts/state"] == regions and made["drift"] == rows["drift"]
+    files = {x["file"]: x["rows"] for x in map(json.loads, (r[0] for r in spark.read.text(f"{out}/web/manifest").collect()))}
+    assert files == made
+    one = json.loads(spark.read.text(f"{out}/web/forecasts/total").first()[0])
+    assert one["id"] == "total" and len(one["dates"]) == len(one["forecast"]) == 28
+    main(["replay", sf, folder, "3"])
+    assert store.read_gold(spark, folder, "planning_cycle").count() == 3
+    main(["silver", str(raw), str(tmp_path / "silver")])
+    assert m5.read_silver(spark, str(tmp_path / "silver")).count() == 6 * DAYS
+
+
+def test_codes_and_range_counts_of_one_large_group(spark):
+    """One category over several tasks; unseen names."""
+    from stocktide.operators import ordered, uncertainty
+
+    names = spark.range(5000).select(F.format_string("n%05d", F.col("id")).alias("name")).repartition(7)
+    codes = ordered.codes(names.union(names), "name")
+    assert sorted((r.name, r.code) for r in codes.collect()) == [(f"n{i:05d}", i) for i in range(5000)]
+    new = spark.createDataFrame([("n00007",), ("who",), (None,)], "name string")
+    assert sorted(r.code for r in ordered.coded(new, codes, "name").collect()) == [-1, -1, 7]
+    scores = spark.range(20000).select(F.lit("one").alias("cat"), (F.col("id") % 1000).cast("double").alias("score"))
+    points = spark.range(2000).select(F.lit("one").alias("cat"), F.col("id").alias("k"), (F.col("id") - 500.5).alias("threshold"))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that several tasks share the group
+    try:
+        got = uncertainty.share_at_most(scores, points, ["cat"], ["k"]).collect()
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert len(got) == 2000 and all(r.share == min(max(r.k - 500, 0), 1000) / 1000 for r in got)
