@@ -4,17 +4,17 @@ histograms of the values, so no order of all segments is ever made."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
-from ..sources.store import materialised
 from . import ordered
 from .uncertainty import expected_fill, mean_of
 
 MIN_FILL = 0.5  # of its forecast, what every node gets
-BINS = 512
+BINS = 4096
 
 
 def _group_totals(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
@@ -22,49 +22,56 @@ def _group_totals(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
     return F.broadcast(df.groupBy(*by).agg(*(v.alias(k) for k, v in sums.items())))
 
 
-def shadow_price(segments: DataFrame, by: list[str], budget: DataFrame) -> DataFrame:
-    """segments: by, marginal, length; budget: by, budget. Returns by, price, share: what of the segments at the price fits.
+def shadow_price(segments: DataFrame, by: list[str], budget: dict[tuple, float], top: dict[tuple, float]) -> dict[tuple, tuple[float, float]]:
+    """segments: by, marginal, length; of each group the budget and an upper bound of the marginals, above zero. Group -> (price, share of the segments at the price that fits).
 
-    Two rounds narrow the price to one of BINS ranges of the values, then to one of BINS within it; the distinct values left there (a
-    four-millionth of the spread) are summed one by one. Groups without budget have no row.
+    Two rounds narrow a group's price to one of BINS ranges of the values, then to one of BINS within it; the distinct values left there (a
+    sixteen-millionth of the span) are summed one by one. What comes to the driver is BINS sums a group, whatever the number of
+    segments. Groups without budget are left out.
     """
-    left, rest = budget.withColumn("above", F.lit(0.0)), segments.select(*by, "marginal", "length")
-    for _ in range(2):
-        span = _group_totals(rest, by, lo=F.min("marginal"), hi=F.max("marginal"))
-        at = F.coalesce(div(F.col("marginal") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-        binned = rest.join(span, by).withColumn("bin", F.least(F.floor(at * BINS), F.lit(BINS - 1))).drop("lo", "hi")
-        higher = W.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)  # BINS rows a group
-        sums = binned.groupBy(*by, "bin").agg(F.sum("length").alias("sum")).join(F.broadcast(left), by)
-        sums = sums.withColumn("before", F.col("above") + F.coalesce(F.sum("sum").over(higher), F.lit(0.0))).where("before < budget")
-        hit = sums.groupBy(*by).agg(F.min("bin").alias("bin"), F.max("before").alias("above"), F.first("budget").alias("budget"))
-        rest = binned.join(F.broadcast(hit.select(*by, "bin")), [*by, "bin"]).drop("bin")
-        left = hit.drop("bin")
-    values = rest.groupBy(*by, "marginal").agg(F.sum("length").alias("sum")).join(F.broadcast(left), by)
-    higher = W.partitionBy(*by).orderBy(F.desc("marginal")).rowsBetween(W.unboundedPreceding, -1)
-    values = values.withColumn("before", F.col("above") + F.coalesce(F.sum("sum").over(higher), F.lit(0.0))).where("before < budget")
-    last = values.groupBy(*by).agg(F.min_by(F.struct("marginal", "before", "sum", "budget"), "marginal").alias("v"))
-    return last.select(*by, F.col("v.marginal").alias("price"), F.least((F.col("v.budget") - F.col("v.before")) / F.col("v.sum"), F.lit(1.0)).alias("share"))
+    spark, keys = segments.sparkSession, ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in by)
+    found = {g: (0.0, top[g], 0.0) for g in budget if budget[g] > 0 and top[g] > 0}  # the range's ends, what lies above it
+    rest = segments
+    for last in (False, False, True):
+        if not found:
+            return {}
+        spans = spark.createDataFrame([(*g, low, high) for g, (low, high, _) in found.items()], f"{keys}, lo double, hi double")
+        rest = rest.join(F.broadcast(spans), by).where((F.col("marginal") > F.col("lo")) & (F.col("marginal") <= F.col("hi")))
+        at = F.col("marginal") if last else F.ceil((F.col("marginal") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
+        sums = rest.groupBy(*by, at.alias("at")).agg(F.sum("length").alias("sum"), F.min("marginal").alias("low"), F.max("marginal").alias("high")).collect()
+        rest, narrowed, prices = segments, {}, {}
+        for row in sorted(sums, key=lambda row: -row.low):
+            g = tuple(row[c] for c in by)
+            _, _, above = narrowed.get(g, found[g])
+            before = above if g not in narrowed else above + prices[g][2]
+            if before < budget[g]:
+                narrowed[g] = (float(np.nextafter(row.low, 0.0)), row.high, before)
+                prices[g] = (row.low, min((budget[g] - before) / row.sum, 1.0), row.sum)
+        found = narrowed
+    return {g: v[:2] for g, v in prices.items()}
 
 
 def allocate(nodes: DataFrame, by: list[str], supply: Column, min_fill: float = MIN_FILL) -> DataFrame:
-    """nodes: by, node, forecast, weight, held, scenarios. supply: an expression over the total `t_forecast` of each `by`.
+    """nodes: by (few groups: runs or weeks), node, forecast, weight, held, scenarios; best a written table, as the search reads it four times.
+    supply: an expression over the total `t_forecast` of each `by`.
 
     Returns nodes with allocated, expected_fill_rate, stockout_risk. Raises nothing: floors beyond the supply show as a
     negative `slack`.
     """
-    n = nodes.withColumn("held", F.greatest("held", F.lit(0.0)))
+    n = nodes.select(*by, "node", "forecast", "weight", F.greatest("held", F.lit(0.0)).alias("held"), "scenarios")
     n = n.withColumn("floor", F.greatest(F.lit(min_fill) * F.col("forecast") - F.col("held"), F.lit(0.0))).withColumn("start", F.col("held") + F.col("floor"))
-    n = materialised(n, "nodes")  # read by every step of the search
-    totals = n.groupBy(*by).agg(F.sum("forecast").alias("t_forecast"), F.sum("floor").alias("t_floor")).select(*by, (supply - F.col("t_floor")).alias("slack"))
-    k = F.size("scenarios")
-    tops = F.array_sort("scenarios")
-    under = F.concat(F.array(F.lit(0.0)), tops)
-    seg = n.select(*by, "node", "weight", "start", k.alias("k"), F.posexplode(F.arrays_zip(tops.alias("top"), F.slice(under, F.lit(1), k).alias("under"))).alias("j", "s"))
-    seg = seg.select(*by, "node", F.greatest(F.col("s.top") - F.greatest("start", "s.under"), F.lit(0.0)).alias("length"), (F.col("weight") * (F.col("k") - F.col("j")) / F.col("k")).alias("marginal")).where("length > 0")
-    priced = seg.join(F.broadcast(shadow_price(seg, by, totals.withColumnRenamed("slack", "budget"))), by)  # a row a group
-    take = F.when(F.col("marginal") > F.col("price"), F.col("length")).when(F.col("marginal") == F.col("price"), F.col("length") * F.col("share")).otherwise(0.0)
-    taken = priced.groupBy(*by, "node").agg(F.sum(take).alias("take"))
-    out = n.join(taken, [*by, "node"], "left").join(F.broadcast(totals), by).withColumn("allocated", F.col("floor") + F.coalesce("take", F.lit(0.0)))
+    totals = n.groupBy(*by).agg(F.sum("forecast").alias("t_forecast"), F.sum("floor").alias("t_floor"), F.max("weight").alias("top")).select(*by, (supply - F.col("t_floor")).alias("slack"), "top").collect()  # a row a group
+    budget = {tuple(t[c] for c in by): t.slack for t in totals}
+    k, tops = F.size("scenarios"), F.array_sort("scenarios")
+    length = lambda top, j: F.greatest(top - F.greatest(F.col("start"), F.when(j > 0, F.get(tops, j - 1)).otherwise(0.0)), F.lit(0.0))
+    marginal = lambda j: F.col("weight") * (k - j) / k
+    seg = n.select(*by, F.inline(F.transform(tops, lambda top, j: F.struct(length(top, j).alias("length"), marginal(j).alias("marginal"))))).where("length > 0")
+    price = shadow_price(seg, by, budget, {tuple(t[c] for c in by): t.top for t in totals})
+    keys = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in by)
+    groups = nodes.sparkSession.createDataFrame([(*g, budget[g], *price.get(g, (float("inf"), 0.0))) for g in budget], f"{keys}, slack double, price double, share double")
+    part = lambda j: F.when(marginal(j) > F.col("price"), F.lit(1.0)).when(marginal(j) == F.col("price"), F.col("share")).otherwise(0.0)
+    take = F.aggregate(F.transform(tops, lambda top, j: length(top, j) * part(j)), F.lit(0.0), lambda a, x: a + x)
+    out = n.join(F.broadcast(groups), by).withColumn("allocated", F.col("floor") + take)
     stock = F.col("allocated") + F.col("held")
     return out.select(*by, "node", "forecast", "weight", "held", "scenarios", "allocated", "slack", expected_fill(stock).alias("expected_fill_rate"), mean_of(F.transform("scenarios", lambda d: (d > stock + 1e-9).cast("double"))).alias("stockout_risk"))
 

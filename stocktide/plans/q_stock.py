@@ -192,6 +192,10 @@ define("alp", "SELECT node, forecast, held, scenarios, flo + coalesce(take, 0) A
 
 
 def alloc_nodes(spark, sf):
+    return retail.once(spark, sf, ("alloc_nodes",), lambda: _alloc_nodes(spark, sf))
+
+
+def _alloc_nodes(spark, sf):
     """The holdout's first week; on hand is what the twelve allocated weeks before it leave."""
     p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf)))
     price = p.where(F.col("date") > F.date_sub("hi", 28)).groupBy("series_id").agg(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0)).alias("unit_price"))
