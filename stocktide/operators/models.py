@@ -1,21 +1,18 @@
-"""Learned models. Trees and linear models are Spark ML; SARIMA is a conditional-sum-of-squares fit in numpy, one small series a
-group. Trees are fitted to log1p of sales with squared loss, as Spark ML has no Tweedie trees; a Tweedie GLM is offered beside them."""
+"""Linear models by Spark ML (trees are in boosting), and SARIMA."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def feature_columns(df: DataFrame) -> list[str]:
     """What models may see: numbers known at least a horizon ahead."""
-    known = {"dayofweek", "day", "month", "weekofyear", "weekend", "days_to_next", "days_since", "snap", "series_code", "price", "price_ratio", "price_change_7", "promo"}
+    known = {"dayofweek", "day", "month", "weekofyear", "weekend", "days_to_next", "days_since", "snap", "price", "price_ratio", "price_change_7", "promo"}
     return [c for c in df.columns if c in known or c.startswith(("lag_", "rolling_"))]
 
 
@@ -23,22 +20,6 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def fit_gbt(train: DataFrame, cols: list[str], trees: int = 20, depth: int = 5, seed: int = 7):
-    data = _assembled(train.withColumn("label", F.log1p(F.col("sales").cast("double"))), cols).select("features", "label")
-    return GBTRegressor(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.2, seed=seed, cacheNodeIds=False).fit(data)
-
-
-def predict_gbt(model, rows: DataFrame, cols: list[str]) -> DataFrame:
-    """forecast, at least zero."""
-    return model.transform(_assembled(rows, cols)).withColumn("forecast", F.greatest(F.expm1("prediction"), F.lit(0.0))).drop("features", "prediction")
-
-
-def local_gbt(train: DataFrame, rows: DataFrame, cols: list[str], by: str, values: list[str], **how) -> DataFrame:
-    """One model for each value of `by` (the stores: a short list), each row scored by its own."""
-    parts = [predict_gbt(fit_gbt(train.where(F.col(by) == v), cols, **how), rows.where(F.col(by) == v), cols) for v in values]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def fit_tweedie(train: DataFrame, cols: list[str], power: float = 1.1):
     data = _assembled(train.withColumn("label", F.col("sales").cast("double")), cols).select("features", "label")
     return GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, regParam=0.01, maxIter=25).fit(data)

@@ -6,32 +6,79 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, wmape
-from ..operators import features, models, stockouts
+from ..operators import boosting, features, forecast, models, stockouts
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
-from .q_forecast import fc1, fca, levels, p1
+from .q_forecast import FOLDS, fc1, fca, levels, p1
 from .q_stock import banded
 from .registry import query
 
 
 HISTORY_DAYS, NODE_DAYS = 548, 364
+NATION = ["cat_id", "store_id", "state_id"]  # the grain of the learned models
+TREES, DEPTH, RATE = 24, 4, 0.2  # of the registered models, which serve as a floor of quality; see README for 300 trees
+CATEGORIES = ["cat_id", "store_id"]
 
 
-def _frame(spark, sf):
-    """Features of the last Config.history_days of the fast panel: `test` marks the holdout, `learn` the rows to fit on."""
-    p = p1(spark, sf)
+def _features(spark, sf):
+    p = retail.panel(spark, sf, NATION)
     cal = features.event_distance(retail.calendar(spark, sf)).select("date", "snap", "days_to_next", "days_since", "event_name")
     # a day's own price is known only where something was sold, so models get the last one from before the horizon
     before = W.partitionBy("series_id").orderBy("date").rowsBetween(W.unboundedPreceding, -features.MIN_LAG)
     f = features.add_features(p.withColumn("price", F.last("price", ignorenulls=True).over(before))).join(F.broadcast(cal), "date").crossJoin(F.broadcast(retail.bounds(spark, sf)))  # a row a day
-    code = F.dense_rank().over(W.orderBy("series_id")) - 1
-    codes = p.select("series_id").distinct().select("series_id", code.cast("double").alias("series_code"))
-    f = f.join(codes, "series_id").withColumn("price", F.coalesce("price", F.lit(0.0))).withColumn("price_ratio", F.coalesce("price_ratio", F.lit(1.0))).withColumn("price_change_7", F.coalesce("price_change_7", F.lit(0.0)))
-    f = f.where((F.col("date") > F.date_sub("hi", HISTORY_DAYS)) & F.col("rolling_mean_56").isNotNull()).withColumn("test", F.col("date") > F.date_sub("hi", 28))
-    # not to be learned from: closed days and probable stock-outs
-    flagged = stockouts.probable_stockouts(p).where("flagged").select("series_id", "date", F.lit(True).alias("_out"))
-    f = f.join(flagged, ["series_id", "date"], "left").withColumn("learn", ~F.col("test") & F.col("_out").isNull() & ~F.col("event_name").eqNullSafe("Christmas")).drop("_out")
-    return materialised(f, "features")
+    f = materialised(f.where(F.col("date") > F.date_sub("hi", HISTORY_DAYS)), "features")
+    ok = features.training_rows(f, stockouts.probable_stockouts(p).where("flagged")).select("series_id", "date", F.lit(True).alias("learn"))
+    f = f.join(ok, ["series_id", "date"], "left").withColumns({"learn": F.coalesce("learn", F.lit(False)), "price_ratio": F.coalesce("price_ratio", F.lit(1.0)), "price_change_7": F.coalesce("price_change_7", F.lit(0.0)), "price": F.coalesce("price", F.lit(0.0))})
+    return f.withColumn("ago", F.datediff("hi", "date"))
+
+
+def frame(spark, sf):
+    """Features of the last HISTORY_DAYS of categories in nations; learn: rows to fit on (training_rows); ago: days before the last one."""
+    return retail.once(spark, sf, ("features",), lambda: _features(spark, sf))
+
+
+def _ahead(f, fold):
+    """The four weeks after a fold's origin."""
+    return f.where((F.col("ago") < FOLDS[fold]) & (F.col("ago") >= FOLDS[fold] - retail.HORIZON) & F.col("rolling_mean_56").isNotNull())
+
+
+_forests: dict[tuple, boosting.Forest] = {}
+
+
+def forest(spark, sf, trees: int = TREES) -> boosting.Forest:
+    """For each fold one pooled Tweedie model and one for each nation, and for the holdout pooled quantiles: all grown together, once a session."""
+    key = (spark.sparkContext.applicationId, trees, retail.state(spark, sf))
+    if key not in _forests:
+        f, nations = frame(spark, sf), [x[0] for x in retail.table(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]
+        models = [boosting.Wanted(f"{kind}|{fold}|{n or ''}", fold, n) for fold in FOLDS for kind, names in (("gbt_global", [None]), ("gbt_local", nations)) for n in names]
+        models += [boosting.Wanted(f"q{level}", "holdout", None, "pinball", level) for level in (0.1, 0.9)]
+        learn = {fold: F.col("learn") & (F.col("ago") >= back) for fold, back in FOLDS.items()}
+        _forests.clear()
+        _forests[key] = boosting.fit(f.where("learn"), "sales", learn, models, [c for c in models_see(f)], CATEGORIES, trees=trees, depth=DEPTH, rate=RATE)
+    return _forests[key]
+
+
+def models_see(f) -> list[str]:
+    return [c for c in models.feature_columns(f) if c not in CATEGORIES]
+
+
+def _candidates(spark, sf, trees: int = TREES):
+    f, grown = frame(spark, sf), forest(spark, sf, trees)
+    keep = ["series_id", "cat_id", "store_id", "state_id", "date", "sales"]
+    out = None
+    for fold in FOLDS:
+        names = [m.name for m in grown.models if m.fold == fold and m.loss == "tweedie"]
+        p = boosting.predict(grown, _ahead(f, fold), names, keep).withColumn("method", F.split_part("model", F.lit("|"), F.lit(1))).drop("model").withColumn("fold", F.lit(fold))
+        out = p if out is None else out.unionByName(p)
+    keys = F.concat_ws("|", *NATION)
+    floor = forecast.floors(retail.panel(spark, sf, NATION), forecast.origins(retail.bounds(spark, sf), FOLDS)).withColumn("series_id", keys)
+    actual = f.select("series_id", "date", "sales")
+    return out.unionByName(floor.join(actual, ["series_id", "date"]).select(*out.columns))
+
+
+def candidates(spark, sf):
+    """Each fold's four weeks by four methods: two floors, the pooled trees and a nation's own."""
+    return retail.once(spark, sf, ("candidates",), lambda: _candidates(spark, sf))
 
 
 def _scored(rows):
@@ -40,27 +87,45 @@ def _scored(rows):
 
 @query()
 def gbt_global(spark, sf):
-    """One pooled model, scored on the holdout."""
-    f = _frame(spark, sf)
-    cols = models.feature_columns(f)
-    return _scored(models.predict_gbt(models.fit_gbt(f.where("learn"), cols), f.where("test"), cols))
+    """One pooled Tweedie model, scored on the holdout."""
+    return _scored(candidates(spark, sf).where("method = 'gbt_global' and fold = 'holdout'"))
 
 
 @query()
 def gbt_local(spark, sf):
-    """One model for each state."""
-    f = _frame(spark, sf)
-    cols = models.feature_columns(f)
-    states = [x[0] for x in retail.table(spark, sf, "region").select("r_name").orderBy("r_name").collect()]
-    return _scored(models.local_gbt(f.where("learn"), f.where("test"), cols, "state_id", states, trees=8))
+    """One model for each nation, grown in the same aggregates as all others."""
+    return _scored(candidates(spark, sf).where("method = 'gbt_local' and fold = 'holdout'"))
+
+
+@query()
+def candidate_errors(spark, sf):
+    """Four candidate models on every fold."""
+    g = candidates(spark, sf).groupBy("fold", "method").agg(wmape("sales", "forecast").alias("wmape"), bias("sales", "forecast").alias("bias"), F.count("*").alias("n"))
+    return g.select("fold", "method", r("wmape", 6).alias("wmape"), r("bias", 6).alias("bias"), "n")
+
+
+@query()
+def candidate_select(spark, sf):
+    """The candidate with the least mean error over the backtests; the holdout has no say."""
+    e = candidate_errors(spark, sf).where("fold like 'backtest%'").groupBy("method").agg(F.avg("wmape").alias("w"))
+    return e.agg(F.min_by("method", F.struct("w", "method")).alias("method"), r(F.min("w"), 6).alias("wmape"))
+
+
+@query()
+def gbt_quantiles(spark, sf):
+    """Pooled trees with pinball loss: what share of the holdout lies under each level, and the loss."""
+    p = boosting.predict(forest(spark, sf), _ahead(frame(spark, sf), "holdout"), ["q0.1", "q0.9"], ["state_id", "sales"])
+    level = F.substring("model", 2, 9).cast("double")
+    e = F.col("sales") - F.col("forecast")
+    return p.groupBy("state_id", level.alias("level")).agg(r(F.avg((e <= 0).cast("double")), 6).alias("share_below"), r(F.avg(F.greatest(level * e, (level - 1) * e)), 6).alias("pinball"), F.count("*").alias("n"))
 
 
 @query()
 def tweedie_glm(spark, sf):
-    f = _frame(spark, sf)
-    cols = models.feature_columns(f)
-    model = models.fit_tweedie(f.where("learn"), cols)
-    rows = model.transform(models._assembled(f.where("test"), cols)).withColumn("forecast", F.greatest("prediction", F.lit(0.0)))
+    f = frame(spark, sf)
+    cols = models_see(f)
+    model = models.fit_tweedie(f.where(F.col("learn") & (F.col("ago") >= retail.HORIZON)), cols)
+    rows = model.transform(models._assembled(_ahead(f, "holdout"), cols)).withColumn("forecast", F.greatest("prediction", F.lit(0.0)))
     return _scored(rows)
 
 
