@@ -1,9 +1,8 @@
-"""Linear models by Spark ML (trees are in boosting), and SARIMA."""
+"""Linear models by Spark ML. Trees are in boosting, seasonal ARIMA in sarima."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
@@ -41,61 +40,3 @@ def seasonal_regression(history: DataFrame, future: DataFrame, z: float = 1.96)
     p = model.transform(_assembled(f, cols))
     at = lambda d: F.greatest(F.col("prediction") + d * sd, F.lit(0.0))
     return p.select("date", at(0).alias("forecast"), at(-z).alias("lower"), at(z).alias("upper"))
-
-
-def _residuals(y: np.ndarray, phi: float, theta: float, season: float, s: int) -> np.ndarray:
-    """One-step errors of an ARMA(1,1) with a seasonal moving average, by conditional recursion."""
-    e = np.zeros(len(y))
-    for t in range(len(y)):
-        v = y[t] - (phi * y[t - 1] if t else 0.0) - (theta * e[t - 1] if t else 0.0)
-        if s and t >= s:
-            v -= season * e[t - s] + (theta * season * e[t - s - 1] if t > s else 0.0)
-        e[t] = v
-    return e
-
-
-def sarima(values: np.ndarray, horizon: int, season: int = 7) -> tuple[np.ndarray, float]:
-    """(forecast at least zero, residual variance) of (1,1,1)(0,1,1)_season, or of (1,1,1) for season 0. A series that leaves fewer than
-    twenty (or two seasons of) differences is repeated from its last season, with variance 0."""
-    x = np.asarray(values, float)
-    d = np.diff(x)
-    burn = 2
-    if season:
-        d, burn = d[season:] - d[:-season], 17
-    if len(d) < max(20, 2 * season):
-        last = x[-season:] if season and len(x) >= season else x[-1:]
-        return np.maximum(np.resize(last, horizon), 0), 0.0
-    best, at, step = np.inf, np.zeros(3), 0.4
-    loss = lambda p: float((_residuals(d, *p, season)[burn:] ** 2).sum())
-    best = loss(at)
-    while step > 0.02:  # pattern search inside the stationary box
-        moved = False
-        for i in range(3 if season else 2):
-            for way in (step, -step):
-                p = at.copy()
-                p[i] = np.clip(p[i] + way, -0.95, 0.95)
-                if (v := loss(p)) < best:
-                    best, at, moved = v, p, True
-        step = step if moved else step / 2
-    e, phi, theta, big = _residuals(d, *at, season), *at
-    y, err, out = list(d), list(e), []
-    for _ in range(horizon):
-        v = phi * y[-1] + theta * err[-1] + (big * err[-season] + theta * big * err[-season - 1] if season else 0.0)
-        y.append(v)
-        err.append(0.0)
-    full = list(x)
-    for v in y[len(d) :]:
-        full.append(full[-1] + v + (full[-season] - full[-season - 1] if season else 0.0))
-        out.append(full[-1])
-    return np.maximum(np.array(out), 0), float(np.var(e[burn:]))
-
-
-def sarima_nodes(daily: DataFrame, horizon: int = 28, season: int = 7, last: int = 364) -> DataFrame:
-    """daily: node, date, sales. A forecast for each aggregate node; a node's series is a bounded number of days."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("date").tail(last)
-        f, var = sarima(p["sales"].to_numpy(float), horizon, season)
-        return pd.DataFrame({"node": p["node"].iloc[0], "step": np.arange(1, horizon + 1, dtype=np.int32), "forecast": f, "variance": var})
-
-    return daily.groupBy("node").applyInPandas(run, "node string, step int, forecast double, variance double")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, wmape
-from ..operators import boosting, features, forecast, models, stockouts
+from ..operators import boosting, features, forecast, models, reconcile, sarima, stockouts
 from ..sources import retail
 from ..sources.store import columnar_json, json_records, materialised
 from .q_forecast import FOLDS, fc1, fca, levels, p1
@@ -129,26 +129,90 @@ def tweedie_glm(spark, sf):
     return _scored(rows)
 
 
-def _node_days(spark, sf, weekly=False):
-    """Daily (or whole-week) sums of the states and the total up to the holdout's origin."""
-    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where((F.col("date") <= F.date_sub("hi", 28)) & (F.col("date") > F.date_sub("hi", 28 + NODE_DAYS)))
-    node = F.explode(F.array("state_id", F.lit("total")))
-    day = F.date_add(F.date_sub("hi", 27 + NODE_DAYS), (F.floor(F.datediff("date", F.date_sub("hi", 27 + NODE_DAYS)) / 7) * 7).cast("int")) if weekly else F.col("date")
-    return p.select(node.alias("node"), day.alias("date"), "sales").groupBy("node", "date").agg(F.sum("sales").alias("sales"))
+def _tree(df, *keep):
+    """Each row of a category in a nation once for every node above it: level (0 the total), node, parent, keep."""
+    leaf = F.concat_ws("|", *NATION)
+    places = ((0, F.lit("total"), F.lit("")), (1, F.col("state_id"), F.lit("total")), (2, F.col("store_id"), F.col("state_id")), (3, leaf, F.col("store_id")))
+    return df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("level"), n.alias("node"), p.alias("parent")) for k, n, p in places))).alias("_n"), *keep).select("_n.*", *keep)
+
+
+def _node_days(spark, sf, weekly=False, fold="holdout"):
+    """Daily (or whole-week) sums of every node above the leaves, and of them, in the NODE_DAYS up to a fold's origin."""
+    back = FOLDS[fold]
+    p = retail.panel(spark, sf, NATION).crossJoin(F.broadcast(retail.bounds(spark, sf))).withColumn("ago", F.datediff(F.date_sub("hi", back), "date"))  # one row
+    p = p.where((F.col("ago") >= 0) & (F.col("ago") < NODE_DAYS))
+    day = F.date_sub(F.date_sub("hi", back), (F.floor(F.col("ago") / 7) * 7).cast("int")) if weekly else F.col("date")
+    leaves = p.groupBy(*NATION, day.alias("date")).agg(F.sum("sales").alias("sales"))
+    return _tree(leaves, "date", "sales").groupBy("level", "node", "parent", "date").agg(F.sum("sales").alias("sales"))
+
+
+def node_forecasts(spark, sf, weekly=False):
+    """level, node, parent, step, forecast, variance of all nodes, for the holdout."""
+    how = {"horizon": 4, "season": 0} if weekly else {}
+    return retail.once(spark, sf, ("sarima", weekly), lambda: sarima.nodes(_node_days(spark, sf, weekly), ["level", "node", "parent"], **how))
 
 
 @query()
 def sarima_nodes(spark, sf):
-    """Daily SARIMA of every aggregate node."""
-    out = models.sarima_nodes(_node_days(spark, sf))
-    return out.select("node", "step", r("forecast").alias("forecast"), r("variance").alias("variance"))
+    """Daily seasonal ARIMA of the total, every region, nation and category in a nation."""
+    return node_forecasts(spark, sf).select("level", "node", "step", r("forecast").alias("forecast"), r("variance").alias("variance"))
 
 
 @query()
 def weekly_arima_nodes(spark, sf):
-    """ARIMA of whole-week totals."""
-    out = models.sarima_nodes(_node_days(spark, sf, weekly=True), horizon=4, season=0, last=52)
-    return out.select("node", "step", r("forecast").alias("forecast"), r("variance").alias("variance"))
+    """ARIMA of whole-week totals of the same nodes."""
+    return node_forecasts(spark, sf, weekly=True).select("level", "node", "step", r("forecast").alias("forecast"), r("variance").alias("variance"))
+
+
+def _base(spark, sf):
+    """y and w of every node: leaves by the candidate chosen on the backtests with their squared error there, nodes above by their ARIMA and its variance."""
+    c = candidates(spark, sf)
+    best = F.broadcast(candidate_select(spark, sf).select("method"))  # one row
+    mine = c.join(best, "method").withColumn("node", F.concat_ws("|", *NATION))
+    spread = mine.where("fold like 'backtest%'").groupBy("node").agg(F.avg((F.col("sales") - F.col("forecast")) ** 2).alias("w"))
+    leaf = mine.where("fold = 'holdout'").crossJoin(F.broadcast(retail.bounds(spark, sf))).withColumn("step", F.datediff("date", F.date_sub("hi", FOLDS["holdout"])))
+    leaf = leaf.join(spread, "node").select("step", "node", F.col("store_id").alias("parent"), F.lit(3).alias("level"), F.col("forecast").alias("y"), "w")
+    upper = node_forecasts(spark, sf).where("level < 3").select("step", "node", "parent", "level", F.col("forecast").alias("y"), F.greatest("variance", F.lit(1e-9)).alias("w"))
+    return upper.unionByName(leaf)
+
+
+def learned_tree(spark, sf):
+    return retail.once(spark, sf, ("learned_tree",), lambda: _base(spark, sf))
+
+
+def _errors(spark, sf):
+    """Of each leaf, the chosen candidate's errors on the backtests' days."""
+    best = F.broadcast(candidate_select(spark, sf).select("method"))
+    e = candidates(spark, sf).join(best, "method").where("fold like 'backtest%'")
+    return e.select(*NATION, "date", (F.col("sales") - F.col("forecast")).alias("error"))
+
+
+@query()
+def reconcile_learned(spark, sf):
+    """Learned leaves and ARIMA above them, made coherent: by their sums, by variances, and by the full shrunk covariance of their errors."""
+    base = learned_tree(spark, sf)
+    leaves = {"bottom_up": base.where("level = 3").select("step", "node", F.col("y").alias("forecast")), "mint_variance": reconcile.mint_tree(base, 3, ["step"]).where("level = 3").select("step", "node", "forecast")}
+    errors = _tree(_errors(spark, sf), "date", "error").groupBy("node", "date").agg(F.sum("error").alias("error"))
+    leaves["mint_shrunk"] = reconcile.mint_shrunk(base, errors).where("level = 3").select("step", "node", "forecast")
+    out = base.select(F.lit("base").alias("method"), "level", "node", "step", F.col("y").alias("forecast"))
+    for method, rows in leaves.items():
+        parts = F.split("node", r"\|")
+        keyed = rows.select("step", *(parts[k].alias(c) for k, c in enumerate(NATION)), F.greatest("forecast", F.lit(0.0)).alias("forecast"))
+        sums = _tree(keyed, "step", "forecast").groupBy("level", "node", "step").agg(F.sum("forecast").alias("forecast"))
+        out = out.unionByName(sums.select(F.lit(method).alias("method"), "level", "node", "step", "forecast"))
+    ahead = retail.panel(spark, sf, NATION).crossJoin(F.broadcast(retail.bounds(spark, sf))).withColumn("step", F.datediff("date", F.date_sub("hi", FOLDS["holdout"]))).where("step between 1 and 28")
+    actual = _tree(ahead, "step", "sales").groupBy("level", "node", "step").agg(F.sum("sales").alias("sales"))
+    return out.join(actual, ["level", "node", "step"]).groupBy("method", "level").agg(r(wmape("sales", "forecast"), 6).alias("wmape"), r(bias("sales", "forecast"), 6).alias("bias"), F.count("*").alias("n"))
+
+
+@query()
+def temporal_learned(spark, sf):
+    """Every node's daily ARIMA against that of its whole weeks, each by its variance."""
+    d = node_forecasts(spark, sf).where("level < 3").withColumn("week", F.floor((F.col("step") - 1) / 7))
+    spread = d.groupBy("level", "node", "week").agg(F.avg("variance").alias("vd"))
+    daily = d.join(spread, ["level", "node", "week"]).select("level", "node", "week", "step", "forecast", "vd")
+    weekly = node_forecasts(spark, sf, weekly=True).select("level", "node", (F.col("step") - 1).cast("long").alias("week"), F.col("forecast").alias("total"), F.col("variance").alias("vw"))
+    return reconcile.temporal(daily, weekly, ["level", "node"]).select("level", "node", "week", "step", r("forecast").alias("forecast"))
 
 
 @query()

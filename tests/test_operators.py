@@ -4,12 +4,11 @@ import datetime as dt
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stocktide.functions import exprs
-from stocktide.operators import allocate, drift, features, forecast, hierarchy, metrics, models, reconcile, stockouts, uncertainty
+from stocktide.operators import allocate, drift, features, forecast, hierarchy, metrics, reconcile, stockouts, uncertainty
 
 D = dt.date(2016, 1, 1)
 
@@ -150,6 +149,27 @@ def test_tree_equals_dense(spark):
     assert np.allclose([got[n] for n in names], reconcile.mint_dense(s, [y[n] for n in names], [w[n] for n in names]))
 
 
+def test_shrunk_covariance_equals_dense(spark):
+    """Two levels with correlated errors: the intensity and the reconciled values by the dense formulas."""
+    r = np.random.default_rng(11)
+    names, parents, level = ["t", "a", "b", "a1", "a2", "b1", "b2"], ["", "t", "t", "a", "a", "b", "b"], [0, 1, 1, 2, 2, 2, 2]
+    e = r.normal(size=(30, 7)) + 1.5 * r.normal(size=(30, 1))
+    errors = spark.createDataFrame([(n, day(k), float(e[k, i])) for k in range(30) for i, n in enumerate(names)], "node string, date date, error double")
+    y, w = r.uniform(5, 30, (3, 7)), r.uniform(1, 4, 7)
+    base = spark.createDataFrame([(s, n, parents[i], level[i], float(y[s, i]), float(w[i])) for s in range(3) for i, n in enumerate(names)], "step int, node string, parent string, level int, y double, w double")
+    z = e / np.sqrt((e**2).mean(axis=0))
+    x = z[:, :, None] * z[:, None, :]
+    off = ~np.eye(7, dtype=bool)
+    lam = min(max((x.var(axis=0, ddof=1) / 30)[off].sum() / (x.mean(axis=0) ** 2)[off].sum(), 0), 1)
+    _, got = reconcile.shrinkage(errors)
+    assert abs(got - lam) < 1e-9 and 0 < lam < 1
+    cov = np.where(off, (1 - lam) * x.mean(axis=0), 1.0) * np.sqrt(np.outer(w, w))
+    c = np.array([[1, -1, -1, 0, 0, 0, 0], [0, 1, 0, -1, -1, 0, 0], [0, 0, 1, 0, 0, -1, -1]], float)
+    want = y.T - cov @ c.T @ np.linalg.solve(c @ cov @ c.T, c @ y.T)
+    out = {(q.step, q.node): q.forecast for q in reconcile.mint_shrunk(base, errors).collect()}
+    assert len(out) == 21 and all(abs(out[s, n] - want[i, s]) < 1e-6 for s in range(3) for i, n in enumerate(names))
+
+
 def test_top_down_and_temporal(spark):
     h = spark.createDataFrame([(k, day(d), v) for d in range(3) for k, v in (("a", 4.0), ("b", 6.0))], "series_id string, date date, sales double")
     total = spark.createDataFrame([(1, 100.0), (2, 50.0)], "step int, forecast double")
@@ -209,14 +229,49 @@ def test_rationing_modes(spark):
         allocate.ration(o, "by_mood")
 
 
-def test_sarima():
+def test_sarima_likelihood_equals_the_dense_gaussian():
+    from stocktide.operators import sarima
+
+    r = np.random.default_rng(2)
+    for season, p in ((7, (0.5, -0.4, -0.6)), (0, (0.3, 0.6, 0.0)), (7, (-0.7, 0.2, 0.5))):
+        w = r.normal(size=(2, 40))
+        ma = sarima._moving(np.array([p]), season)[0]
+        psi = [0.0] * 600  # of the stationary process, far enough back
+        for k in range(600):
+            psi[k] = (ma[k] if k < len(ma) else 0.0) + (p[0] * psi[k - 1] if k else 0.0)
+        psi = np.array(psi)
+        auto = np.array([(psi[: 600 - lag] * psi[lag:]).sum() for lag in range(40)])
+        cov = auto[np.abs(np.subtract.outer(np.arange(40), np.arange(40)))]
+        v, f, _ = sarima.innovations(w, np.tile(p, (2, 1)), season)
+        for k in range(2):
+            s2 = w[k] @ np.linalg.solve(cov, w[k]) / 40
+            dense = -0.5 * (40 * np.log(2 * np.pi * s2) + 40 + np.linalg.slogdet(cov)[1])
+            assert abs(sarima.log_likelihood(v, f)[k] - dense) < 1e-8
+
+
+def test_sarima_finds_parameters_and_forecasts(spark):
+    from stocktide.operators import sarima
+
+    r, phi, theta, big = np.random.default_rng(4), 0.4, 0.3, -0.5
+    e = r.normal(size=(6, 900))
+    w = np.zeros((6, 900))
+    for t in range(9, 900):
+        w[:, t] = phi * w[:, t - 1] + e[:, t] + theta * e[:, t - 1] + big * e[:, t - 7] + theta * big * e[:, t - 8]
+    got = sarima.fit(w[:, 50:], 7)
+    assert np.abs(got.mean(axis=0) - [phi, theta, big]).max() < 0.08
+    best = sarima.log_likelihood(*sarima.innovations(w[:, 50:], got, 7)[:2])
+    for move in np.eye(3) * 0.01:  # a maximum: no neighbour is better
+        for sign in (1, -1):
+            assert (sarima.log_likelihood(*sarima.innovations(w[:, 50:], got + sign * move, 7)[:2]) <= best + 1e-6).all()
     t = np.arange(300)
-    x = 50 + 10 * np.sin(2 * np.pi * t / 7) + np.random.default_rng(1).normal(0, 1, 300)
-    f, var = models.sarima(x[:-28], 28)
-    naive = np.resize(x[-35:-28], 28)
-    assert (f >= 0).all() and np.abs(f - x[-28:]).mean() < 1.5 * np.abs(naive - x[-28:]).mean() and 0 < var < 10
-    assert (models.sarima(np.array([3.0, 4.0]), 3)[0] == [4, 4, 4]).all()
-    assert len(models.sarima(x[:52], 4, season=0)[0]) == 4
+    x = 50 + 10 * np.sin(2 * np.pi * t / 7) + r.normal(0, 1, (3, 300))
+    f, var = sarima.forecast(x[:, :-28], 28)
+    naive = np.tile(x[:, -35:-28], 4)
+    assert (f >= 0).all() and np.abs(f - x[:, -28:]).mean() < 0.9 * np.abs(naive - x[:, -28:]).mean() and (np.diff(var, axis=1) >= 0).all() and 0.3 < var[:, 0].mean() < 3
+    assert (sarima.forecast(np.array([[3.0, 4.0]]), 3)[0] == [[4, 4, 4]]).all() and (sarima.forecast(np.full((1, 60), 5.0), 3)[0] == 5).all()
+    rows = [(n, day(k), float(x[i, k])) for i, n in enumerate("abc") for k in range(272)] + [("short", day(k), 2.0) for k in range(5)]
+    out = {(q.node, q.step): q for q in sarima.nodes(spark.createDataFrame(rows, "node string, date date, sales double").repartition(3), ["node"]).collect()}
+    assert len(out) == 4 * 28 and all(abs(out[n, h + 1].forecast - f[i, h]) < 1e-6 * 50 for i, n in enumerate("abc") for h in range(28)) and out["short", 9].variance == 0
 
 
 def test_shadow_price_equals_a_greedy_pass(spark):
