@@ -148,7 +148,7 @@ def proofs(df: DataFrame, fields: Sequence[str] = FIELDS, claim: dict[str, Colum
     group = F.col(group_col).cast("string")
     claimed = leaf([(claim or {}).get(c, F.col(c)) for c in fields])
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group)).alias("key"), leaf([F.col(c) for c in fields]).alias("digest"), claimed.alias("claim"))
-    placed = positions(written(rows, "leaves"), ["key"], [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("claim")])
+    placed = positions(written(rows, "leaves"), ["key"], [F.col("doc_id").asc_nulls_first(), *(F.conv(F.substring(c, 1, 15), 16, 10).cast("long") for c in ("digest", "claim"))])  # their leading 60 bits
     leaves = written(placed.withColumnRenamed("position", "pos"), "placed")
     trees = _trees(leaves, shape)
     groups = written(positions(trees[-1].select(F.col("key").alias("group"), "digest"), [], [F.col("group")]).select(F.lit("").alias("key"), F.col("position").alias("pos"), "total", "digest", "group"), "groups")
