@@ -75,7 +75,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int =
     rows = written(df.select(doc.alias("doc_id"), source.alias("source"), src.alias("src"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw"), weight.alias("weight")), "sizes")
     sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.sum((F.col("weight") * ODDS_UNIT).cast("decimal(38,0)") * F.col("size")).cast("double").alias("weighted"))
     rates = source_targets(sources.select("src", "source_size"), weights, max_repeats).join(sources.select("src", "weighted"), "src")
-    rates = written(rates.withColumn("rate", F.col("target") / F.col("source_size")).withColumn("mean_weight", F.col("weighted") / ODDS_UNIT / F.col("source_size")), "rates")
+    rates = written(rates.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).withColumn("mean_weight", F.try_divide(F.col("weighted") / ODDS_UNIT, F.col("source_size"))), "rates")
     share = F.col("rate") if not weight_col else F.coalesce(F.col("rate") * F.col("weight") / F.nullif(F.col("mean_weight"), F.lit(0.0)), F.lit(0.0))
     wanted = rows.join(rates, "src").withColumn("wanted", F.when(F.col("size") > 0, F.least(share, F.lit(float(max_repeats)))).otherwise(0.0))
     wanted = wanted.withColumn("certain", F.floor("wanted")).withColumn("odds", F.floor((F.col("wanted") - F.col("certain")) * ODDS_UNIT).cast("long"))
