@@ -14,8 +14,8 @@ an earlier document, or the first fingerprint goes on differently elsewhere. Of
 way through a second family. A batch sends a value once, whatever number of its documents hold it, so a frequent passage costs one
 entry a batch. Which occurrence in one batch comes first, the batch knows itself: rows of one doc_id are in one batch.
 
-Defined cases: a null text is empty; texts under 100 bytes lose nothing; a null id comes after all others; rows of one id are
-separate documents in order of their text; an empty table gives no row; other columns are not read.
+Defined cases: a null text is empty; texts under 100 bytes lose nothing; a null id comes after all others (below 2**62),
+in order of its text; rows of one id are separate documents in order of their text; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LENGTH = 100
 K = 40
 BATCH = 4 << 20
 _CHUNK = 1 << 20
-_LAST = np.iinfo(np.int64).max  # a null id
+_NULLS = 1 << 62  # null ids come from here on
 _U = np.uint64
 NEW, EARLIER, FORKED = 0, 1, 2
 
@@ -176,10 +176,11 @@ class Batch:
     """One batch's documents in order, as one buffer."""
 
     def __init__(self, table: pa.Table):
-        ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
+        given = table.column("doc_id").to_pylist()
         texts = [(t or "").encode() for t in table.column("text").to_pylist()]
+        ids = [_NULLS + int.from_bytes(t[:7].ljust(7, b"\0")) if i is None else i for i, t in zip(given, texts, strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
+        self.ids, self.given = np.array([ids[i] for i in order], np.int64), [given[i] for i in order]
         self.buffer = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
         self.ends = np.cumsum(np.array([len(texts[i]) for i in order], np.int64))
 
@@ -220,12 +221,12 @@ class Batch:
         np.add.at(self.cover, self.wanted[gone] + LENGTH, -1)
         removed = np.cumsum(self.cover[:-1]) > 0
         out, at = [], 0
-        for doc, end in zip(self.ids.tolist(), self.ends.tolist(), strict=True):
+        for doc, end in zip(self.given, self.ends.tolist(), strict=True):
             r = removed[at:end]
             n = int(r.sum())
             spans = int(np.count_nonzero(r[1:] & ~r[:-1])) + int(r[0]) if n else 0
             rest = self.buffer[at:end][~r] if n else self.buffer[at:end]
-            out.append((None if doc == _LAST else doc, end - at, n, spans, hashlib.sha256(rest.tobytes()).hexdigest()))
+            out.append((doc, end - at, n, spans, hashlib.sha256(rest.tobytes()).hexdigest()))
             at = end
         return out
 
@@ -271,7 +272,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = id_and_text(df, id_col, text_col)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // batch_bytes))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    # rows of one id are one batch's; rows without one are dealt by the bytes that order them
+    prefix = F.rpad(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 7), 7, F.lit(b"\0"))
+    dealt = docs.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(prefix)).otherwise(F.xxhash64("doc_id")), F.lit(n)))
 
     def index(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         batch = Batch(table)

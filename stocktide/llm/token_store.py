@@ -43,7 +43,7 @@ def write_token_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, i
             yield as_batch(_ARROW, ids, pa.array(np.full(len(texts), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)))
             at += int(offsets[-1])
 
-    dealt = id_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = id_and_text(df, id_col, text_col).repartitionByRange("doc_id", F.when(F.col("doc_id").isNull(), F.substring("text", 1, 64))).sortWithinPartitions("doc_id", "text")  # many null ids are several tasks'
     (
         dealt.mapInArrow(run, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")

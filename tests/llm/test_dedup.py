@@ -51,6 +51,14 @@ def test_repeats_of_odd_rows(odd, docs):
     assert suffix.remove_repeats(docs([]).limit(0)).count() == 0
 
 
+def test_repeats_of_many_rows_without_an_id(docs):
+    """Rows without an id are several batches' and come in the order of their texts; the largest ids stay theirs."""
+    rows = [(None if i % 2 else i, t) for i, t in _passages(6, 90)] + [((1 << 62) - 1, "x" * 150), ((1 << 63) - 1, "unlike anything else " * 9), (None, "x" * 120)]
+    got = suffix.remove_repeats(docs(rows), batch_bytes=700).collect()
+    last = (1 << 63) - 1
+    assert _key(map(tuple, got)) == _key(brute_repeats(rows)) and [r.doc_id for r in got if r.doc_id == last] == [last]
+
+
 def test_stretches_cut_at_chunks(monkeypatch):
     monkeypatch.setattr(suffix, "_CHUNK", 512)
     monkeypatch.setattr(suffix.Rolling, "_powers", {})

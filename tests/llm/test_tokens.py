@@ -130,3 +130,14 @@ def test_empty_tables(spark, docs):
     assert token_store.read_token_ids(spark, path).count() == 0
     assert packing.pack_documents(empty, BYTE).count() == 0
     assert token_count.count_tokens(empty, PIECE).count() == 0
+
+
+def test_rows_without_an_id_are_several_tasks(docs, spark):
+    """They come first, in order of their texts, whatever the number of files."""
+    texts = [f"t{i:03d} " + "word " * (i % 5) for i in range(60)]
+    path = fresh_path(spark, "nulls")
+    token_store.write_token_ids(docs([(None, t) for t in texts] + [(3, "a b")]).repartition(5), path, WORD)
+    rows = sorted(token_store.read_token_ids(spark, path).collect(), key=lambda r: r.start)
+    e = Encoder.at(WORD)
+    assert [r.doc_id for r in rows] == [None] * 60 + [3]
+    assert [list(r.ids) for r in rows[:60]] == [e.library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
