@@ -2,7 +2,7 @@
 
 python -m stocktide gold SF_DIR FOLDER [TABLE...]      gold tables, a run log and a summary
 python -m stocktide silver RAW_DIR SILVER_DIR [STATE...]  raw wide files to the silver table, the states that it lacks
-python -m stocktide replay SF_DIR FOLDER [WEEKS]       the planning cycle of the last weeks
+python -m stocktide replay SF_DIR FOLDER [WEEKS [MODELS]]  the planning cycle of the last weeks; with a folder for models, of the learned model too
 python -m stocktide extract GOLD_DIR FOLDER            what dashboards read
 python -m stocktide web GOLD_DIR FOLDER                JSON files
 """
@@ -27,7 +27,12 @@ def main(args: list[str]) -> None:
     elif command == "replay" and len(rest) >= 2:
         from stocktide.plans.q_forecast import replay
 
-        store.write_gold({"planning_cycle": replay(session(), rest[0], int(rest[2]) if len(rest) > 2 else 5)}, rest[1])
+        weeks = int(rest[2]) if len(rest) > 2 else 5
+        store.write_gold({"planning_cycle": replay(session(), rest[0], weeks)}, rest[1])
+        if len(rest) > 3:
+            from stocktide.plans.q_models import learned_replay
+
+            store.write_gold({"planning_cycle_learned": learned_replay(session(), rest[0], weeks, rest[3])}, rest[1])
         done = rest[1]
     elif command == "extract" and len(rest) == 2:
         done = web.extract(session(), *rest)

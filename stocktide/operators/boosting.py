@@ -20,7 +20,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder
@@ -265,3 +265,19 @@ def predict(forest: Forest, rows: DataFrame, names: list[str], keep: list[str],
     columns = [F.col(c).cast("double").alias(c) for c in forest.numeric] + [F.col(c).cast("string").alias(c) for c in forest.categorical]
     out = schema.add("model", "string").add("forecast", "double")
     return rows.select(*columns, F.col(store).cast("string").alias("_s"), *(F.col(c).alias(f"_k{n}") for n, c in enumerate(keep))).mapInArrow(run, out)
+
+
+STORE = "run string, parent string, note string, trees int, forest binary"
+
+
+def save(spark: SparkSession, path: str, run: str, forest: Forest, parent: str | None = None, note: str = "") -> None:
+    """Appends a forest to a model store: its nodes, and the run that it continues."""
+    row = (run, parent, note, max((len(t) for t in forest.trees), default=0), bytearray(pickle.dumps(forest)))
+    spark.createDataFrame([row], STORE).coalesce(1).write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, path: str, run: str) -> Forest:
+    found = spark.read.schema(STORE).parquet(path).where(F.col("run") == run).select("forest").head(1)
+    if not found:
+        raise KeyError(f"no run {run!r} in {path}")
+    return pickle.loads(found[0].forest)

@@ -1,10 +1,9 @@
-"""Linear models by Spark ML. Trees are in boosting, seasonal ARIMA in sarima."""
+"""Linear models by Spark ML. Trees are in boosting, seasonal ARIMA in sarima, trend and seasons in additive."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +21,3 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 def fit_tweedie(train: DataFrame, cols: list[str], power: float = 1.1):
     data = _assembled(train.withColumn("label", F.col("sales").cast("double")), cols).select("features", "label")
     return GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, regParam=0.01, maxIter=25).fit(data)
-
-
-def fourier(df: DataFrame, origin: str = "1970-01-01") -> DataFrame:
-    """Trend, weekly and yearly waves, and a holiday flag: the regressors of an additive seasonal model."""
-    t = F.datediff("date", F.lit(origin).cast("date"))
-    waves = {f"{f}{n}_{k}": getattr(F, f)(t * (2 * np.pi * k / period)) for n, period, top in (("w", 7.0, 3), ("y", 365.25, 4)) for k in range(1, top + 1) for f in ("sin", "cos")}
-    return df.withColumns({"trend": t / 365.25, **waves})
-
-
-def seasonal_regression(history: DataFrame, future: DataFrame, z: float = 1.96) -> DataFrame:
-    """forecast, lower and upper of an additive trend and seasonality model of one series (columns date, sales, holiday)."""
-    h, f = fourier(history), fourier(future)
-    cols = [c for c in h.columns if c not in ("date", "sales", "series_id")]
-    model = LinearRegression(regParam=0.01).fit(_assembled(h.withColumn("label", F.col("sales").cast("double")), cols))
-    sd = model.summary.rootMeanSquaredError
-    p = model.transform(_assembled(f, cols))
-    at = lambda d: F.greatest(F.col("prediction") + d * sd, F.lit(0.0))
-    return p.select("date", at(0).alias("forecast"), at(-z).alias("lower"), at(z).alias("upper"))

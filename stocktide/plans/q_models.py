@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bias, r, wmape
-from ..operators import boosting, features, forecast, models, reconcile, sarima, stockouts
+from ..operators import additive, boosting, features, forecast, metrics, models, reconcile, sarima, stockouts
 from ..sources import retail
-from ..sources.store import columnar_json, json_records, materialised
+from ..sources.store import columnar_json, json_records, materialised, shared_folder
+from . import terms
 from .q_forecast import FOLDS, fc1, fca, levels, p1
 from .q_stock import banded
 from .registry import query
@@ -129,6 +132,50 @@ def tweedie_glm(spark, sf):
     return _scored(rows)
 
 
+FIRST_TREES, MORE_TREES = 12, 2
+
+
+def learned_runs(spark, sf, weeks: int = 5, store: str | None = None):
+    """fold, series_id, cat_id, step, date, forecast, actual, k: the pooled model at each of the last weekly origins, each week's going on where the
+    stored one of the week before stopped, with the rows that are new by then."""
+    f, path, cols = frame(spark, sf), store or f"{shared_folder(spark)}/models-{uuid.uuid4().hex}", models_see(frame(spark, sf))
+    out = None
+    for k in range(weeks):
+        back = retail.HORIZON + 7 * (weeks - 1 - k)
+        warm = boosting.load(spark, path, f"week_{k - 1}") if k else None
+        learn = {"week": F.col("learn") & (F.col("ago") >= back)}
+        grown = boosting.fit(f.where("learn"), "sales", learn, [boosting.Wanted("pooled", "week")], cols, CATEGORIES, trees=MORE_TREES if k else FIRST_TREES, depth=DEPTH, rate=RATE, warm=warm)
+        boosting.save(spark, path, f"week_{k}", grown, f"week_{k - 1}" if k else None, f"origin {back} days before the last day")
+        ahead = f.where((F.col("ago") < back) & (F.col("ago") >= back - retail.HORIZON) & F.col("rolling_mean_56").isNotNull())
+        p = boosting.predict(grown, ahead, ["pooled"], ["series_id", "cat_id", "date", "ago", "sales"])
+        p = p.select(F.lit(f"week_{k}").alias("fold"), "series_id", "cat_id", (F.lit(back) - F.col("ago")).alias("step"), "date", "forecast", F.col("sales").alias("actual"), F.lit(k).alias("k"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def learned_replay(spark, sf, weeks: int = 5, store: str | None = None):
+    """A row a week, of the learned model and the floor: next week's and four weeks' error, bias, the error of decision windows, and how far the forecast moved."""
+    runs = materialised(learned_runs(spark, sf, weeks, store), "replay")
+    panel = retail.panel(spark, sf, NATION)
+    floor = forecast.floors(panel, forecast.origins(retail.bounds(spark, sf), {f"week_{k}": retail.HORIZON + 7 * (weeks - 1 - k) for k in range(weeks)})).where("method = 'seasonal_naive'")
+    floor = forecast.with_actuals(floor, panel).withColumn("k", F.substring_index("fold", "_", -1).cast("int"))
+    both = runs.withColumn("model", F.lit("gbt_global")).unionByName(floor.withColumn("model", F.lit("seasonal_naive")).select(*runs.columns, "model"))
+    near = lambda c: F.sum(F.when(F.col("step") <= 7, c))
+    g = both.groupBy("model", "fold").agg(r(near(F.abs(F.col("actual") - F.col("forecast"))) / near(F.col("actual")), 6).alias("next_week_wmape"), r(wmape("actual", "forecast"), 6).alias("four_week_wmape"), r(bias("actual", "forecast"), 6).alias("four_week_bias"))
+    days = both.withColumn("window_days", terms.protection_days())
+    sums = metrics.window_sums(days, F.col("window_days"), retail.HORIZON, ["actual", "forecast"], ["model", "fold", "window_days", "series_id"])
+    decided = sums.groupBy("model", "fold").agg(r(wmape("actual", "forecast"), 6).alias("decision_wmape"))
+    old = both.select("model", "series_id", "date", (F.col("k") + 1).alias("k"), "forecast")
+    moved = metrics.stability(old, both, ["model", "series_id", "date", "k"], ["model", "fold"]).select("model", "fold", r("stability", 6).alias("stability"))
+    return g.join(decided, ["model", "fold"]).join(moved, ["model", "fold"], "left")
+
+
+@query()
+def planning_cycle_learned(spark, sf):
+    """The weekly re-fit with carried model state, beside the floor at the same grain."""
+    return learned_replay(spark, sf)
+
+
 def _tree(df, *keep):
     """Each row of a category in a nation once for every node above it: level (0 the total), node, parent, keep."""
     leaf = F.concat_ws("|", *NATION)
@@ -217,12 +264,17 @@ def temporal_learned(spark, sf):
 
 @query()
 def seasonal_regression(spark, sf):
-    """Trend, Fourier seasonality and holidays of the total, with an interval."""
-    cal = retail.calendar(spark, sf, ahead=28).select("date", F.col("event_name").isNotNull().cast("double").alias("holiday"))
-    total = p1(spark, sf).groupBy("date").agg(F.sum("sales").alias("sales")).join(cal, "date")
-    hi = total.agg(F.max("date")).first()[0]
-    out = models.seasonal_regression(total, cal.where(F.col("date") > F.lit(hi)))
-    return out.select("date", *(r(c).alias(c) for c in ("forecast", "lower", "upper")))
+    """Trend with change points, weekly and yearly waves and holidays of the total, every region and every nation, with intervals, after the last day."""
+    cal = retail.calendar(spark, sf, ahead=retail.HORIZON).select("date", F.col("event_name").isNotNull().cast("double").alias("holiday"))
+    sums = retail.daily(spark, sf, NATION)
+    # days without a sale count as zero: the spine of every node's days
+    days = _tree(sums, "date", "sales").where("level < 3").groupBy("level", "node", "date").agg(F.sum("sales").alias("sales"))
+    known = cal.join(F.broadcast(retail.bounds(spark, sf)), F.col("date") <= F.col("hi")).select("date", "holiday")  # one row
+    spine = days.select("level", "node").distinct().crossJoin(F.broadcast(known))  # nodes above the leaves times days
+    history = spine.join(days, ["level", "node", "date"], "left").withColumn("sales", F.coalesce("sales", F.lit(0.0)))
+    future = cal.join(F.broadcast(retail.bounds(spark, sf)), F.col("date") > F.col("hi")).select("date", "holiday")
+    out = additive.forecasts(history, future, ["level", "node"])
+    return out.select(F.col("level").cast("int").alias("level"), "node", "date", *(r(c).alias(c) for c in ("forecast", "lower", "upper")))
 
 
 @query("SELECT fold, method, round(max(CASE WHEN level = 'series' THEN w END), 4) AS series, round(max(CASE WHEN level = 'category' THEN w END), 4) AS category, round(max(CASE WHEN level = 'state' THEN w END), 4) AS state, round(max(CASE WHEN level = 'total' THEN w END), 4) AS total FROM (SELECT fold, method, level, sum(abs(actual - forecast)) / sum(actual) AS w FROM lev GROUP BY ALL) GROUP BY ALL")

@@ -170,6 +170,32 @@ def test_shrunk_covariance_equals_dense(spark):
     assert len(out) == 21 and all(abs(out[s, n] - want[i, s]) < 1e-6 for s in range(3) for i, n in enumerate(names))
 
 
+def test_additive_models_equal_dense_solves(spark):
+    """Nodes dealt over tasks against one solve each; a change of slope and a holiday are found; intervals widen and hold."""
+    from stocktide.operators import additive
+
+    r, n = np.random.default_rng(8), 900
+    t = np.arange(n)
+    mean = {"a": 40 + 0.02 * t + np.maximum(t - 360, 0) * 0.05 + 6 * np.sin(2 * np.pi * t / 7), "b": 90 + 10 * np.cos(2 * np.pi * t / 365.25)}
+    hol = (t % 50 == 0).astype(float)
+    rows = [(k, day(i), float(m[i] + 15 * hol[i] + r.normal(0, 2)), float(hol[i])) for k, m in mean.items() for i in range(n)]
+    future = spark.createDataFrame([(day(i), float(i % 50 == 0)) for i in range(n, n + 28)], "date date, holiday double")
+    got = {(q.node, q.date): q for q in additive.forecasts(spark.createDataFrame(rows, "node string, date date, sales double, holiday double").repartition(5), future, ["node"]).collect()}
+    first = (D - dt.date(1970, 1, 1)).days
+    ahead = np.arange(n, n + 28)
+    for k in mean:
+        x = additive.design((first + t).astype(float), hol, first, first + n - 1)
+        y = np.array([q[2] for q in rows if q[0] == k])
+        ridge = np.full(x.shape[1], 1e-9)
+        ridge[2 : 2 + additive.CHANGES] = 0.01
+        beta = np.linalg.solve(x.T @ x + np.diag(ridge * n), x.T @ y)
+        want = additive.design((first + ahead).astype(float), (ahead % 50 == 0).astype(float), first, first + n - 1) @ beta
+        mine = [got[k, day(int(i))] for i in ahead]
+        assert np.allclose([q.forecast for q in mine], want, atol=1e-6) and all(q.lower <= q.forecast <= q.upper for q in mine)
+        assert 7 < mine[0].upper - mine[0].lower < 14 and mine[-1].upper - mine[-1].lower > mine[1].upper - mine[1].lower - 1
+    assert abs(got["a", day(900)].forecast - (40 + 18 + 27 + 15 + 6 * np.sin(2 * np.pi * 900 / 7))) < 5
+
+
 def test_top_down_and_temporal(spark):
     h = spark.createDataFrame([(k, day(d), v) for d in range(3) for k, v in (("a", 4.0), ("b", 6.0))], "series_id string, date date, sales double")
     total = spark.createDataFrame([(1, 100.0), (2, 50.0)], "step int, forecast double")

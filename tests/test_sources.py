@@ -149,8 +149,13 @@ def test_extract_web_and_replay_commands(spark, sf, raw, tmp_path, capsys):
     assert files == made
     one = json.loads(spark.read.text(f"{out}/web/forecasts/total").first()[0])
     assert one["id"] == "total" and len(one["dates"]) == len(one["forecast"]) == 28
-    main(["replay", sf, folder, "3"])
-    assert store.read_gold(spark, folder, "planning_cycle").count() == 3
+    main(["replay", sf, folder, "2", f"{folder}/models"])
+    assert store.read_gold(spark, folder, "planning_cycle").count() == 2
+    weeks = {(q.model, q.fold): q for q in store.read_gold(spark, folder, "planning_cycle_learned").collect()}
+    assert len(weeks) == 4 and weeks["gbt_global", "week_1"].stability < weeks["seasonal_naive", "week_1"].stability and weeks["gbt_global", "week_0"].stability is None
+    assert all(abs(weeks["gbt_global", w].four_week_bias) < 0.3 and weeks["gbt_global", w].decision_wmape > 0 for w in ("week_0", "week_1"))
+    kept = {q.run: (q.parent, q.trees) for q in spark.read.parquet(f"{folder}/models").collect()}
+    assert kept == {"week_0": (None, 12), "week_1": ("week_0", 14)}
     main(["silver", str(raw), str(tmp_path / "silver")])
     assert m5.read_silver(spark, str(tmp_path / "silver")).count() == 6 * DAYS
 
@@ -174,3 +179,30 @@ def test_codes_and_range_counts_of_one_large_group(spark):
         for c, v in keep.items():
             spark.conf.set(c, v)
     assert len(got) == 2000 and all(r.share == min(max(r.k - 500, 0), 1000) / 1000 for r in got)
+
+
+def test_contents_are_held_against_a_manifest(spark, raw, tmp_path):
+    """A changed cell, a lost row, a doubled row, another file: each is named; order and files do not matter."""
+    from stocktide.sources import content
+
+    sales, calendar, prices = m5.load(spark, raw)
+    keys = {"sales": ["item_id", "store_id"], "calendar": ["date"], "prices": ["store_id", "item_id", "wm_yr_wk"]}
+    held = lambda **t: content.manifest(spark, {n: (t.get(n, df), keys[n]) for n, df in (("sales", sales), ("calendar", calendar), ("prices", prices))})
+    path = str(tmp_path / "manifest")
+    content.manifest(spark, {"sales": (sales, keys["sales"])}, raw).write.parquet(path)
+    held().write.parquet(path + "2")
+    known = spark.read.parquet(path + "2")
+    assert content.differences(known, held(sales=sales.repartition(5).orderBy(F.rand(1)))) == []
+    one = prices.limit(1).collect()[0]
+    is_one = (F.col("store_id") == one.store_id) & (F.col("item_id") == one.item_id) & (F.col("wm_yr_wk") == one.wm_yr_wk)
+    lost = content.differences(known, held(prices=prices.where(~is_one)))
+    assert len(lost) == 1 and lost[0].startswith(f"table prices: 1 row fewer than {prices.count()}, the one of hash ")
+    doubled = content.differences(known, held(prices=prices.union(prices.where(is_one))))
+    assert len(doubled) == 1 and "1 row more" in doubled[0]
+    assert content.rows_of_hash(prices.union(prices.where(is_one)), int(doubled[0].rsplit(" ", 1)[1])).collect() == [one, one]
+    assert content.differences(known, held(sales=sales.withColumn("d_7", F.when(F.col("item_id") == "FOODS_1_000", (F.col("d_7") + 1).cast("short")).otherwise(F.col("d_7"))))) == ["table sales: values changed in d_7"]
+    assert content.differences(known, held(sales=sales.drop("d_3"))) == ["column sales.d_3 is missing", "table sales: columns changed"]
+    files = content.manifest(spark, {}, raw)
+    assert {r.name for r in files.collect()} == {"sales_train_evaluation.csv", "calendar.csv", "sell_prices.csv"}
+    other = files.withColumn("text", F.when(F.col("name") == "calendar.csv", "0").otherwise(F.col("text")))
+    assert [d.split(":")[0] for d in content.differences(other, files)] == ["file calendar.csv"]
