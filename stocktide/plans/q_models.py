@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bias, r, wmape
 from ..operators import additive, boosting, features, forecast, metrics, models, reconcile, sarima, stockouts
 from ..sources import retail
+from ..sources.retail import NATION
 from ..sources.store import columnar_json, json_records, materialised, shared_folder
 from . import terms
 from .q_forecast import FOLDS, fc1, fca, levels, p1
@@ -18,7 +19,6 @@ from .registry import query
 
 
 HISTORY_DAYS, NODE_DAYS = 548, 364
-NATION = ["cat_id", "store_id", "state_id"]  # the grain of the learned models
 TREES, DEPTH, RATE = 24, 4, 0.2  # of the registered models, which serve as a floor of quality; see README for 300 trees
 CATEGORIES = ["cat_id", "store_id"]
 

@@ -60,11 +60,21 @@ def long_tail_share(spark, sf):
     return g.select("part", "series", "sales", r(F.col("sales") / F.sum("sales").over(W.partitionBy()), 6).alias("share"))
 
 
-@query("SELECT round(avg((actual BETWEEN lower_95 AND upper_95)::INT), 6) AS coverage_95, round(sum(abs(actual - forecast)) / sum(actual), 6) AS wmape, round(sum(forecast - actual) / sum(actual), 6) AS bias, count(*) AS n FROM ivp")
+@query("SELECT method, round(least_bias, 6) AS least_bias, round(most_bias, 6) AS most_bias, round(coverage, 6) AS segment_coverage, round(trusted, 6) AS trusted_share FROM (SELECT method, min(bias) AS least_bias, max(bias) AS most_bias FROM (SELECT fold, method, sum(forecast - actual) / nullif(sum(abs(actual)), 0) AS bias FROM fca GROUP BY ALL) GROUP BY 1) CROSS JOIN (SELECT avg(coverage) AS coverage, avg((coverage >= 0.9)::INT) AS trusted FROM (SELECT cat_id, avg((actual BETWEEN lower_95 AND upper_95)::INT) AS coverage FROM ivp GROUP BY 1))")
+def accuracy_summary(spark, sf):
+    """Of each method the range of its bias over the folds; the mean coverage of the categories' intervals and the share of those that hold 90 % or more."""
+    each = fca(spark, sf).groupBy("fold", "method").agg(F.try_divide(F.sum(F.col("forecast") - F.col("actual")), F.sum(F.abs("actual"))).alias("bias"))
+    held = banded(spark, sf, False).groupBy("cat_id").agg(F.avg(F.col("actual").between(F.col("lower_95"), F.col("upper_95")).cast("double")).alias("coverage"))
+    c = held.agg(r(F.avg("coverage"), 6).alias("segment_coverage"), r(F.avg((F.col("coverage") >= 0.9).cast("double")), 6).alias("trusted_share"))
+    return each.groupBy("method").agg(r(F.min("bias"), 6).alias("least_bias"), r(F.max("bias"), 6).alias("most_bias")).crossJoin(F.broadcast(c))  # one row
+
+
+@query("SELECT round(avg((actual BETWEEN lower_95 AND upper_95)::INT), 6) AS coverage_95, round(sum(abs(actual - forecast)) / sum(actual), 6) AS wmape, round(sum(forecast - actual) / sum(actual), 6) AS bias, count(*) AS n, round((SELECT sum(lp) / sum(pro_rata) - 1 FROM polpair), 6) AS lp_revenue_change FROM ivp")
 def overview(spark, sf):
-    """Headline figures of the holdout."""
+    """Headline figures of the holdout, and what the scenario allocation earned beyond the pro-rata one."""
     b = banded(spark, sf, False)
-    return b.agg(r(F.avg(F.col("actual").between(F.col("lower_95"), F.col("upper_95")).cast("double")), 6).alias("coverage_95"), r(wmape("actual", "forecast"), 6).alias("wmape"), r(bias("actual", "forecast"), 6).alias("bias"), F.count("*").alias("n"))
+    change = pairs(spark, sf).agg(r(F.try_divide(F.sum("lp"), F.sum("pro_rata")) - 1, 6).alias("lp_revenue_change"))
+    return b.agg(r(F.avg(F.col("actual").between(F.col("lower_95"), F.col("upper_95")).cast("double")), 6).alias("coverage_95"), r(wmape("actual", "forecast"), 6).alias("wmape"), r(bias("actual", "forecast"), 6).alias("bias"), F.count("*").alias("n")).crossJoin(F.broadcast(change))  # one row
 
 
 @query("SELECT cat_id, round(avg(score), 6) AS mean_score, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, count(*) AS n FROM cal_scores GROUP BY 1")

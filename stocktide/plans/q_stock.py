@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import lookup, r, round_to_case, uniform
+from ..functions.exprs import lookup, r, round_to_case, uniform, velocity
 from ..operators import allocate as al
 from ..operators import forecast, metrics, stockouts
 from ..operators import uncertainty as un
 from ..sources import retail
 from ..sources.store import materialised
 from . import terms
-from .q_forecast import fca, fold_table, p1
+from .q_forecast import _FLOORS, fca, fold_table, p1
 from .registry import define, query
 
 define("ms1", "SELECT series_id, greatest(avg(change), 0.1) AS scale FROM (SELECT series_id, date, abs(sales - lag(sales, 7) OVER (PARTITION BY series_id ORDER BY date)) AS change FROM p1) CROSS JOIN bounds WHERE date > hi - 56 GROUP BY 1")
@@ -42,8 +42,14 @@ def _sqlq(table: str, by: str, q: str) -> str:
 _QS = [0.025, 0.1, 0.9, 0.975]
 define("cq_cat", _sqlq("cal_scores", "cat_id, ", str(_QS)))
 define("cq_all", _sqlq("cal_scores", "", str(_QS)))
-define("cq_state", _sqlq("cal_scores", "state_id, ", str(_QS)))
-define("mond", "SELECT state_id, q, CASE WHEN s.n >= 500 THEN s.value ELSE a.value END AS value FROM cq_state s JOIN cq_all a USING (q)")
+define("fcn", _FLOORS.format(keys="series_id, cat_id, store_id, state_id", panel="pn"))
+define("msn", "SELECT series_id, greatest(avg(change), 0.1) AS scale FROM (SELECT series_id, date, abs(sales - lag(sales, 7) OVER (PARTITION BY series_id ORDER BY date)) AS change FROM pn) CROSS JOIN bounds WHERE date > hi - 56 GROUP BY 1")
+define("veln", "SELECT series_id, CASE WHEN avg(sales) >= 2 THEN 'fast' WHEN avg(sales) >= 0.5 THEN 'medium' WHEN avg(sales) >= 0.1 THEN 'slow' ELSE 'sporadic' END AS speed FROM pn CROSS JOIN bounds WHERE date <= hi - 112 GROUP BY 1")
+define("srn", "SELECT f.fold, f.series_id, f.date, f.forecast, scale, (p.sales - f.forecast) / scale AS score, speed || '|' || f.cat_id AS segment FROM fcn f JOIN pn p ON p.series_id = f.series_id AND p.date = f.date JOIN msn ON msn.series_id = f.series_id JOIN veln ON veln.series_id = f.series_id WHERE method = 'seasonal_naive'")
+define("calseg", "SELECT segment, score FROM srn WHERE fold <> 'holdout'")
+define("cq_seg", _sqlq("calseg", "segment, ", str(_QS)))
+define("cq_pool", _sqlq("calseg", "", str(_QS)))
+define("mond", "SELECT segment, q, CASE WHEN s.n >= 500 THEN s.value ELSE a.value END AS value FROM cq_seg s JOIN cq_pool a USING (q)")
 
 
 def _qs(spark, levels=_QS):
@@ -59,14 +65,24 @@ def conformal_quantile(spark, sf):
 
 _BAND = "greatest(forecast + lo{l} * scale, 0) AS lower_{l}, greatest(forecast + hi{l} * scale, 0) AS upper_{l}"
 define("ivp", "SELECT h.*, " + ", ".join(_BAND.format(l=x) for x in (80, 95)) + " FROM (SELECT * FROM srows WHERE fold = 'holdout') h CROSS JOIN (SELECT max(CASE WHEN q = 0.025 THEN value END) AS lo95, max(CASE WHEN q = 0.975 THEN value END) AS hi95, max(CASE WHEN q = 0.1 THEN value END) AS lo80, max(CASE WHEN q = 0.9 THEN value END) AS hi80 FROM cq_all)")
-define("ivm", "SELECT h.*, " + ", ".join(_BAND.format(l=x) for x in (80, 95)) + " FROM (SELECT * FROM srows WHERE fold = 'holdout') h JOIN (SELECT state_id, max(CASE WHEN q = 0.025 THEN value END) AS lo95, max(CASE WHEN q = 0.975 THEN value END) AS hi95, max(CASE WHEN q = 0.1 THEN value END) AS lo80, max(CASE WHEN q = 0.9 THEN value END) AS hi80 FROM mond GROUP BY 1) USING (state_id)")
+define("ivm", "SELECT h.*, " + ", ".join(_BAND.format(l=x) for x in (80, 95)) + " FROM (SELECT * FROM srn WHERE fold = 'holdout') h JOIN (SELECT segment, max(CASE WHEN q = 0.025 THEN value END) AS lo95, max(CASE WHEN q = 0.975 THEN value END) AS hi95, max(CASE WHEN q = 0.1 THEN value END) AS lo80, max(CASE WHEN q = 0.9 THEN value END) AS hi80 FROM mond GROUP BY 1) USING (segment)")
+
+
+def segment_scores(spark, sf):
+    """Scaled errors of the seasonal naive forecast of categories in nations, and their segment: speed (before the folds) and category."""
+    panel = retail.panel(spark, sf, retail.NATION)
+    f = forecast.with_actuals(forecast.floors(panel, fold_table(spark, sf)).where("method = 'seasonal_naive'"), panel)
+    known = panel.crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") <= F.date_sub("hi", 112))  # one row
+    speed = known.groupBy("series_id").agg(velocity(F.avg("sales")).alias("speed"))
+    j = f.join(metrics.mad_scale(panel), "series_id").join(speed, "series_id")
+    return j.withColumn("score", (F.col("actual") - F.col("forecast")) / F.col("scale")).withColumn("segment", F.concat_ws("|", "speed", "cat_id"))
 
 
 def banded(spark, sf, segmented: bool):
-    s = srows(spark, sf)
+    s = segment_scores(spark, sf) if segmented else srows(spark, sf)
     cal, points = s.where("fold <> 'holdout'"), s.where("fold = 'holdout'")
-    by = ["state_id"] if segmented else []
-    q = un.mondrian_quantiles(cal, "state_id", _QS) if segmented else un.conformal_quantiles(cal.select("score"), [], _qs(spark))
+    by = ["segment"] if segmented else []
+    q = un.mondrian_quantiles(cal, "segment", _QS) if segmented else un.conformal_quantiles(cal.select("score"), [], _qs(spark))
     for level, tag in ((0.8, "80"), (0.95, "95")):
         points = un.intervals(points, q, by, level).withColumnsRenamed({"lower": f"lower_{tag}", "upper": f"upper_{tag}"})
     return points
@@ -83,7 +99,7 @@ def conformal_interval(spark, sf):
 
 @query(_IV + "ivm")
 def mondrian_interval(spark, sf):
-    """By state; states with fewer than 500 scores take the pooled quantiles."""
+    """Categories in nations, by speed and category; segments with fewer than 500 scores take the pooled quantiles."""
     return banded(spark, sf, True).select("series_id", "date", "forecast", *(r(c).alias(c) for c in _BANDS))
 
 

@@ -19,6 +19,7 @@ CTES = {
     "day_list": "SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date, lo, hi FROM bounds",
     "cal": f"SELECT date, CAST(date - lo AS INTEGER) AS day_idx, 'd_' || (date - lo + 1) AS d, CAST(11101 + (date - lo) // 7 AS INTEGER) AS wm_yr_wk, CAST(isodow(date) - 1 AS INTEGER) AS dow, CAST(day(date) AS INTEGER) AS day, CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week, CAST(year(date) AS INTEGER) AS year, {_EVENT} AS event_name, CASE WHEN day(date) <= 10 THEN 1 ELSE 0 END AS snap FROM day_list",
     "p1": "SELECT s.cat_id || '|' || s.state_id AS series_id, s.cat_id, s.state_id, c.date, c.day_idx, coalesce(f.sales, 0) AS sales, coalesce(f.revenue, 0) AS revenue, f.revenue / f.sales AS price FROM (SELECT DISTINCT cat_id, state_id FROM fact) s CROSS JOIN cal c LEFT JOIN (SELECT cat_id, state_id, date, sum(sales) AS sales, sum(revenue) AS revenue FROM fact GROUP BY ALL) f ON f.cat_id = s.cat_id AND f.state_id = s.state_id AND f.date = c.date",
+    "pn": "SELECT s.cat_id || '|' || s.store_id || '|' || s.state_id AS series_id, s.cat_id, s.store_id, s.state_id, c.date, c.day_idx, coalesce(f.sales, 0) AS sales FROM (SELECT DISTINCT cat_id, store_id, state_id FROM fact) s CROSS JOIN cal c LEFT JOIN (SELECT cat_id, store_id, state_id, date, sum(sales) AS sales FROM fact GROUP BY ALL) f ON f.cat_id = s.cat_id AND f.store_id = s.store_id AND f.state_id = s.state_id AND f.date = c.date",
     "p2": f"SELECT s.dept_id || '|' || s.cat_id || '|' || s.state_id AS series_id, s.dept_id, s.cat_id, s.state_id, c.date, c.day_idx, coalesce(f.sales, 0) AS sales, coalesce(f.revenue, 0) AS revenue, f.revenue / f.sales AS price FROM (SELECT DISTINCT dept_id, cat_id, state_id FROM fact) s CROSS JOIN (SELECT cal.date, cal.day_idx FROM cal, bounds WHERE cal.date >= hi - {MATRIX_DAYS - 1}) c LEFT JOIN (SELECT dept_id, cat_id, state_id, date, sum(sales) AS sales, sum(revenue) AS revenue FROM fact GROUP BY ALL) f ON f.dept_id = s.dept_id AND f.cat_id = s.cat_id AND f.state_id = s.state_id AND f.date = c.date",
 }
 

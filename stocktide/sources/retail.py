@@ -99,6 +99,7 @@ def panel(spark: SparkSession, sf_dir: str, keys: list[str], last_days: int | No
 
 
 P1, P2 = ["cat_id", "state_id"], ["dept_id", "cat_id", "state_id"]
+NATION = ["cat_id", "store_id", "state_id"]  # the grain of learned models and of intervals by segment
 
 
 def folds() -> dict[str, int]:
