@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bias, r, wmape
 from ..operators import drift, forecast, metrics, reconcile
 from ..sources import retail
+from ..sources.store import shared_folder
 from ..sources.retail import P1
 from . import terms
 from .q_panel import p2
@@ -253,6 +254,20 @@ def drift_table(spark, sf):
 
 
 _TOTAL_ERROR = "sum(CASE WHEN fold {f} 'holdout' THEN abs(actual - forecast) END) / sum(CASE WHEN fold {f} 'holdout' THEN actual END)"
+@query()
+def drift_sketches(spark, sf):
+    """PSI of the states' demand from a table of day sketches: the last four weeks against all days before, and against the four weeks before."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    drift.add_sketches(p1(spark, sf).select("state_id", "date", F.log1p("sales").alias("x")), path, ["state_id"])
+    s = spark.read.parquet(path).crossJoin(F.broadcast(retail.bounds(spark, sf)))  # one row
+    ago = F.datediff("hi", "date")
+    all_before = drift.psi_of_sketches(s, ["state_id"], ago >= 28, ago < 28).withColumnRenamed("psi", "psi_all")
+    month = drift.psi_of_sketches(s, ["state_id"], (ago >= 28) & (ago < 56), ago < 28).withColumnRenamed("psi", "psi_month")
+    return all_before.join(month, "state_id").select("state_id", r("psi_all").alias("psi_all"), r("psi_month").alias("psi_month"))
+
+
 define("decay", f"SELECT now / before - 1 AS decay FROM (SELECT {_TOTAL_ERROR.format(f='=')} AS now, {_TOTAL_ERROR.format(f='<>')} AS before FROM fca WHERE method = 'seasonal_naive')")
 
 

@@ -124,6 +124,22 @@ def test_psi(spark):
     assert flag.retrain and flag.reasons.startswith("PSI >= 0.2 for 2 node(s): n1, n2; WMAPE is worse than before by over 0.1 of it")
 
 
+def test_sketches_of_days_give_the_psi(spark, tmp_path):
+    """Only new days are read; PSI of merged sketches is near the exact one, for ties and for a group without recent days."""
+    r, path = np.random.default_rng(9), str(tmp_path / "sketches")
+    rows = [(g, day(k), float(np.round(r.gamma(2, 3) + (2 if g == "moved" and k >= 30 else 0), 1 if g != "ties" else 0))) for g in ("same", "moved", "ties") for k in range(40) for _ in range(150)]
+    rows += [("old", day(1), 1.0), ("same", day(2), None), ("same", day(2), float("nan"))]
+    df = spark.createDataFrame(rows, "g string, date date, x double")
+    assert drift.add_sketches(df.where(F.col("date") < day(30)), path, ["g"]) == 30 and drift.add_sketches(df, path, ["g"]) == 10 and drift.add_sketches(df, path, ["g"]) == 0
+    stored = spark.read.parquet(path)
+    assert stored.agg(F.sum("n")).first()[0] == 3 * 40 * 150 + 1
+    new = F.col("date") >= day(30)
+    got = {q.g: q.psi for q in drift.psi_of_sketches(stored, ["g"], ~new, new).collect()}
+    exact = {q.g: q.psi for q in drift.psi(df.select("g", new.alias("recent"), "x"), ["g"]).collect()}
+    assert set(got) == {"same", "moved", "ties", "old"} and got["old"] == 0 and exact["moved"] > 0.2
+    assert all(abs(got[g] - exact[g]) < 0.02 + 0.05 * exact[g] for g in ("same", "moved", "ties"))
+
+
 def test_floors(spark):
     p = series(spark, [float(k) for k in range(20)]).unionByName(series(spark, [5.0], "short").withColumn("date", F.lit(day(19))))
     folds = spark.createDataFrame([("f", day(19))], "fold string, origin date")
