@@ -2,6 +2,11 @@
 
 Each stage reads what its predecessor kept, written as Parquet in the shared folder; all but the last return the columns of
 documents.
+
+Defined cases: a null or empty text has no word, so the first stage drops it; rows without an id are documents of their own (of equal or near
+texts one stays, and a row with an id before one without); repeated rows and rows of one id with other texts are judged each; a null n_chars
+is set where a text changes and else stays; an empty table gives no piece; all other columns, whatever their names, go through
+the first four stages as they are.
 """
 
 from __future__ import annotations
