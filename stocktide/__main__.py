@@ -2,6 +2,8 @@
 
 python -m stocktide gold SF_DIR FOLDER [TABLE...]      gold tables, a run log and a summary
 python -m stocktide silver RAW_DIR SILVER_DIR [STATE...]  raw wide files to the silver table, the states that it lacks
+python -m stocktide manifest RAW_DIR PATH              shapes and checksums of raw files, to be kept
+python -m stocktide verify RAW_DIR PATH                what differs from them; an error if anything does
 python -m stocktide replay SF_DIR FOLDER [WEEKS [MODELS]]  the planning cycle of the last weeks; with a folder for models, of the learned model too
 python -m stocktide extract GOLD_DIR FOLDER            what dashboards read
 python -m stocktide web GOLD_DIR FOLDER                JSON files
@@ -14,7 +16,7 @@ import sys
 
 from stocktide.plans import gold, web
 from stocktide.session import session
-from stocktide.sources import m5, store
+from stocktide.sources import content, m5, store
 
 
 def main(args: list[str]) -> None:
@@ -34,6 +36,13 @@ def main(args: list[str]) -> None:
 
             store.write_gold({"planning_cycle_learned": learned_replay(session(), rest[0], weeks, rest[3])}, rest[1])
         done = rest[1]
+    elif command == "manifest" and len(rest) == 2:
+        content.raw_manifest(session(), rest[0]).coalesce(1).write.parquet(rest[1])
+        done = rest[1]
+    elif command == "verify" and len(rest) == 2:
+        done = content.verify(session(), *rest)
+        if done:
+            sys.exit("\n".join(done))
     elif command == "extract" and len(rest) == 2:
         done = web.extract(session(), *rest)
     elif command == "web" and len(rest) == 2:

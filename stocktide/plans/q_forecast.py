@@ -287,9 +287,10 @@ def model_select(spark, sf):
     return e.agg(F.min_by("method", F.struct("w", "method")).alias("method"), r(F.min("w"), 6).alias("wmape"))
 
 
-@query("SELECT series_id, round(coalesce(unit_price, 1), 4) AS unit_price FROM uprice")
+@query("SELECT series_id, round(coalesce(sum(revenue) / nullif(sum(sales), 0), 1), 4) AS unit_price FROM p2 CROSS JOIN bounds WHERE date > hi - 28 GROUP BY 1")
 def dept_prices(spark, sf):
-    p = p1(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28))
+    """What a unit of each department cost in the last four weeks, 1 where nothing was sold."""
+    p = p2(spark, sf).crossJoin(F.broadcast(retail.bounds(spark, sf))).where(F.col("date") > F.date_sub("hi", 28))
     return p.groupBy("series_id").agg(r(F.coalesce(F.try_divide(F.sum("revenue"), F.sum("sales")), F.lit(1.0))).alias("unit_price"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import m5
+
 MANIFEST = "kind string, name string, part string, rows long, total decimal(38,0), parity long, text string"
 
 
@@ -69,6 +71,20 @@ def differences(known: DataFrame, now: DataFrame) -> list[str]:
     return said
 
 
+#: The raw files' tables and their keys.
+KEYS = {"sales": ["item_id", "store_id"], "calendar": ["date"], "prices": ["store_id", "item_id", "wm_yr_wk"]}
+
+
+def raw_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the raw files and the tables in them."""
+    return manifest(spark, {n: (df, KEYS[n]) for n, df in zip(KEYS, m5.load(spark, folder), strict=True)}, folder)
+
+
+def verify(spark: SparkSession, folder: str, path: str) -> list[str]:
+    """What differs from the manifest at path, and what is wrong with shapes and keys; empty if nothing is."""
+    return differences(spark.read.parquet(path), raw_manifest(spark, folder)) + m5.validate(*m5.load(spark, folder))
+
+
 def rows_of_hash(df: DataFrame, value: int) -> DataFrame:
     """The rows that a difference names by their hash; a doubled row comes twice."""
     return df.where(_row_hash(df) == value)

@@ -53,8 +53,11 @@ def state(spark: SparkSession, sf_dir: str) -> tuple:
 
 def once(spark: SparkSession, sf_dir: str, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """A table of the shared folder, built where it is missing: once for each session, name and state of the sources."""
-    key = (spark.sparkContext.applicationId, sf_dir, *name, state(spark, sf_dir))
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, *name, state(spark, sf_dir))
     if key not in _silver:
+        for old in [k for k in _silver if k[0] != app or k[:-1] == key[:-1]]:  # of ended sessions and older sources
+            del _silver[old]
         _silver[key] = materialised(make(), "silver")
     return _silver[key]
 

@@ -202,6 +202,18 @@ def test_contents_are_held_against_a_manifest(spark, raw, tmp_path):
     assert content.rows_of_hash(prices.union(prices.where(is_one)), int(doubled[0].rsplit(" ", 1)[1])).collect() == [one, one]
     assert content.differences(known, held(sales=sales.withColumn("d_7", F.when(F.col("item_id") == "FOODS_1_000", (F.col("d_7") + 1).cast("short")).otherwise(F.col("d_7"))))) == ["table sales: values changed in d_7"]
     assert content.differences(known, held(sales=sales.drop("d_3"))) == ["column sales.d_3 is missing", "table sales: columns changed"]
+    import shutil
+
+    from stocktide.__main__ import main
+
+    folder = tmp_path / "files"
+    shutil.copytree(raw, folder)
+    main(["manifest", str(folder), path + "3"])
+    main(["verify", str(folder), path + "3"])
+    text = (folder / "sell_prices.csv").read_text().splitlines()
+    (folder / "sell_prices.csv").write_text("\n".join([*text, text[1]]) + "\n")
+    with pytest.raises(SystemExit, match="(?s)file sell_prices.csv: contents changed.*table prices: 1 row more than 60, the one of hash.*several prices"):
+        main(["verify", str(folder), path + "3"])
     files = content.manifest(spark, {}, raw)
     assert {r.name for r in files.collect()} == {"sales_train_evaluation.csv", "calendar.csv", "sell_prices.csv"}
     other = files.withColumn("text", F.when(F.col("name") == "calendar.csv", "0").otherwise(F.col("text")))
