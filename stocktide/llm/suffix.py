@@ -12,7 +12,8 @@ entry's least doc_id, the others become a level of their own, and levels of equa
 logarithmically many. The scan of the whole family then tells each batch, in one byte a suffix, whether the stretch occurs in
 an earlier document, or the first fingerprint goes on differently elsewhere. Of the latter stretches every single window takes the same
 way through a second family. A batch sends a value once, whatever number of its documents hold it, so a frequent passage costs one
-entry a batch. Which occurrence in one batch comes first, the batch knows itself: rows of one doc_id are in one batch.
+entry a batch. Crowded anchors, those that go on in CROWD or more ways in a bounded sample of the documents (a licence line's), are dealt by
+both fingerprints and count as going on differently: the sample decides where an entry is compared, never what is found. Which occurrence in one batch comes first, the batch knows itself: rows of one doc_id are in one batch.
 
 Defined cases: a null text is empty; texts under 100 bytes lose nothing; a null id comes after all others (below 2**62),
 in order of its text; rows of one id are separate documents in order of their text; an empty table gives no row; other columns are not read.
@@ -33,6 +34,8 @@ from .common import as_batch, id_and_text
 LENGTH = 100
 K = 40
 BATCH = 4 << 20
+SAMPLE = 64 << 20  # bytes of documents in which crowded anchors are looked for
+CROWD = 16
 _CHUNK = 1 << 20
 _NULLS = 1 << 62  # null ids come from here on
 _U = np.uint64
@@ -191,13 +194,19 @@ class Batch:
         self.first, self.last, self.key, self.span = stretches(self.buffer, self.ends)
         self.order, self.distinct = suffix_array(self.key, self.span)
 
+    def settled(self, found: np.ndarray, order: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+        """Flags of entries(), from those found in the order of dealing: a crowded anchor that is nowhere earlier goes on differently."""
+        flags = np.empty(len(found), np.uint8)
+        flags[order] = found
+        flags[(flags == NEW) & np.isin(self.key[self.order[self.distinct]], crowded)] = FORKED
+        return flags
+
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = self.order[self.distinct]
         return self.key[own], self.span[own], self.docs_at(self.first[own])
 
     def apply(self, flags: np.ndarray) -> None:
         """flags: of entries(). Marks what is settled and lists the windows of the forked stretches."""
-        self.index()
         of = np.full(len(self.key), EARLIER, np.uint8)  # later equal stretches of this batch
         of[self.order[self.distinct]] = flags
         self.cover = np.zeros(len(self.buffer) + 1, np.int32)
@@ -237,9 +246,17 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _deal(batch: int, entries: tuple[np.ndarray, ...], buckets: int) -> pa.Table:
-    """Entries, sorted by key, cut into buckets of equal key ranges."""
-    of = ((entries[0] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+def _buckets(key: np.ndarray, span: np.ndarray, buckets: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each entry's bucket: a range of keys, or for crowded ones of both fingerprints mixed; the order of dealing)."""
+    mixed = np.where(np.isin(key, crowded), (key ^ span) * _MIX, key) if len(crowded) else key
+    of = ((mixed >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    return of, np.argsort(of, kind="stable")
+
+
+def _deal(batch: int, entries: tuple[np.ndarray, ...], buckets: int, crowded: np.ndarray) -> pa.Table:
+    """Entries, sorted by key, cut into buckets in which they stay sorted."""
+    of, order = _buckets(*entries[:2], buckets, crowded)
+    of, entries = of[order], tuple(x[order] for x in entries)
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     cut = lambda x: [x[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(of)][: len(edge)], strict=True)]
     return pa.Table.from_batches([as_batch(_SENT, of[edge], np.full(len(edge), batch), *map(cut, entries))])
@@ -264,7 +281,22 @@ def _scan_bucket(kind: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH) -> DataFrame:
+def crowded_keys(docs: DataFrame, total: int, sample: int, crowd: int) -> np.ndarray:
+    """Sorted fingerprints of anchors that go on in `crowd` or more ways in a sample of the documents of some `sample` bytes: at most sample / (30 * crowd)."""
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // sample)))) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(0).to_pylist()]
+            _, _, key, span = stretches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.array([len(t) for t in texts], np.int64)))
+            once = np.unique(np.stack([key, span]), axis=1).view(np.int64) if len(key) else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["key", "span"])
+
+    ways = few.mapInArrow(run, "key long, span long").distinct().groupBy("key").count().where(F.col("count") >= crowd)
+    return np.sort(np.array([r.key for r in ways.select("key").collect()], np.int64).view(_U))
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; see the module's text.
 
     One plan: the dealt texts are one exchange, which the three steps that need texts read again.
@@ -276,20 +308,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.rpad(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 7), 7, F.lit(b"\0"))
     dealt = docs.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(prefix)).otherwise(F.xxhash64("doc_id")), F.lit(n)))
 
+    crowded, none = crowded_keys(docs, total, sample, crowd), np.empty(0, _U)
+
     def index(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         batch = Batch(table)
         batch.index()
-        return _deal(key[0].as_py(), batch.entries(), n)
+        return _deal(key[0].as_py(), batch.entries(), n, crowded)
 
-    def fork(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+    def answered(table: pa.Table, answers: pa.Table) -> Batch:
         batch = Batch(table)
-        batch.apply(_joined(answers, 1))
-        return _deal(key[0].as_py(), batch.window_entries(), n)
+        batch.index()
+        _, order = _buckets(*batch.entries()[:2], n, crowded)
+        batch.apply(batch.settled(_joined(answers, 1), order, crowded))
+        return batch
+
+    def fork(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        return _deal(key[0].as_py(), answered(table, answers).window_entries(), n, none)
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = Batch(table)
-        batch.apply(_joined(answers, 1))
-        rows = batch.finish(_joined(answers, 2))
+        rows = answered(table, answers).finish(_joined(answers, 2))
         return pa.Table.from_batches([as_batch(_OUT, *(zip(*rows, strict=True) if rows else [[]] * 5))])
 
     sent, flags = "bucket long, batch long, key binary, span binary, doc binary", "batch long, kind int, bucket long, flags binary"

@@ -51,6 +51,24 @@ def test_repeats_of_odd_rows(odd, docs):
     assert suffix.remove_repeats(docs([]).limit(0)).count() == 0
 
 
+def test_a_line_of_every_document_is_dealt_to_many_buckets(docs):
+    """An anchor with another continuation in each document leaves no bucket with all of them, and changes no result."""
+    r = random.Random(3)
+    line = "this text is released under the terms of a licence that is printed at the end of it, see there;"
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(300)) + line + "".join(r.choice("abcdefgh ") for _ in range(300))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1][150:600]) for i in range(40)]
+    assert _key(map(tuple, suffix.remove_repeats(docs(rows), batch_bytes=20_000).collect())) == _key(brute_repeats(rows))
+    assert _key(map(tuple, suffix.remove_repeats(docs(rows), batch_bytes=20_000, crowd=2).collect())) == _key(brute_repeats(rows))
+    import pyarrow as pa
+
+    batch = suffix.Batch(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    batch.index()
+    crowded = suffix.crowded_keys(docs(rows).select("doc_id", "text"), 1, 1 << 20, suffix.CROWD)
+    key, span, _ = batch.entries()
+    assert 1 <= len(crowded) < 30 and max(np.bincount(suffix._buckets(key, span, 50, np.empty(0, np.uint64))[0])) > 400
+    assert max(np.bincount(suffix._buckets(key, span, 50, crowded)[0])) < 2.5 * len(key) / 50
+
+
 def test_repeats_of_many_rows_without_an_id(docs):
     """Rows without an id are several batches' and come in the order of their texts; the largest ids stay theirs."""
     rows = [(None if i % 2 else i, t) for i, t in _passages(6, 90)] + [((1 << 62) - 1, "x" * 150), ((1 << 63) - 1, "unlike anything else " * 9), (None, "x" * 120)]
