@@ -103,26 +103,22 @@ def mint_shrunk(base: DataFrame, errors: DataFrame, tolerance: float = 1e-7, rou
     c = inner.select("p", F.col("p").alias("node"), F.lit(1.0).alias("s")).unionByName(tree.where("parent <> ''").select(F.col("parent").alias("p"), "node", F.lit(-1.0).alias("s")))
     c = materialised(c, "constraints")
 
-    def down(v):  # W C' v, a row for each node
-        up = v.join(c, "p").groupBy("step", "node").agg(F.sum(F.col("s") * F.col("v")).alias("v"))
-        return up.join(w, F.col("node") == F.col("b")).groupBy("step", F.col("a").alias("node")).agg(F.sum(F.col("c") * F.col("v")).alias("v"))
-
-    def gap(x):  # C x, a row for each inner node
-        return x.join(c, "node").groupBy("step", "p").agg(F.sum(F.col("s") * F.col("v")).alias("v"))
-
-    state = gap(base.select("step", "node", F.col("y").alias("v"))).select("step", "p", F.lit(0.0).alias("z"), F.col("v").alias("r"), F.col("v").alias("d"))
-    state = materialised(state, "gradients")
+    # C W and C W C', a row for each inner node and node, and for each pair of inner nodes: never more than W
+    cw = materialised(c.join(w, F.col("node") == F.col("b")).groupBy("p", F.col("a").alias("node")).agg(F.sum(F.col("s") * F.col("c")).alias("g")), "gains")
+    cwc = materialised(cw.join(c.withColumnRenamed("p", "p2"), "node").groupBy("p2", "p").agg(F.sum(F.col("g") * F.col("s")).alias("m")), "system")
+    gap = base.select("step", "node", "y").join(c, "node").groupBy("step", "p").agg(F.sum(F.col("s") * F.col("y")).alias("r"))
+    state = materialised(gap.select("step", "p", F.lit(0.0).alias("z"), "r", F.col("r").alias("d")), "gradients")
     first = None
     for _ in range(rounds):
         size = state.agg(F.max(F.abs("r"))).first()[0] or 0.0
         first = size if first is None else first
         if size <= tolerance * max(first, 1.0):
             break
-        q = gap(down(state.select("step", "p", F.col("d").alias("v")))).withColumnRenamed("v", "q")
+        q = state.select("step", F.col("p").alias("p2"), "d").join(cwc, "p2").groupBy("step", "p").agg(F.sum(F.col("m") * F.col("d")).alias("q"))
         j = materialised(state.join(q, ["step", "p"]), "gradients")
         dots = F.broadcast(j.groupBy("step").agg(div(F.sum(F.col("r") ** 2), F.sum(F.col("d") * F.col("q"))).alias("alpha"), F.sum(F.col("r") ** 2).alias("rr")))  # a row a step
         moved = j.join(dots, "step").select("step", "p", (F.col("z") + F.coalesce("alpha", F.lit(0.0)) * F.col("d")).alias("z"), (F.col("r") - F.coalesce("alpha", F.lit(0.0)) * F.col("q")).alias("r"), "d", "rr")
         beta = F.broadcast(moved.groupBy("step").agg(F.coalesce(div(F.sum(F.col("r") ** 2), F.first("rr")), F.lit(0.0)).alias("beta")))
-        state = materialised(moved.join(beta, "step").select("step", "p", "z", "r", (F.col("r") + F.col("beta") * F.col("d")).alias("d")), "gradients")
-    change = down(state.select("step", "p", F.col("z").alias("v"))).withColumnRenamed("v", "change")
+        state = moved.join(beta, "step").select("step", "p", "z", "r", (F.col("r") + F.col("beta") * F.col("d")).alias("d"))
+    change = state.join(cw, "p").groupBy("step", "node").agg(F.sum(F.col("g") * F.col("z")).alias("change"))
     return base.join(change, ["step", "node"], "left").select("step", "node", "level", (F.col("y") - F.coalesce("change", F.lit(0.0))).alias("forecast"))
