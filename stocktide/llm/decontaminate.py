@@ -5,9 +5,12 @@ characters may differ by e = floor(m * error_rate) edits; cut into e + 1 pieces,
 unchanged. An Aho-Corasick automaton finds the pieces of all items in one pass over a whole text; around each hit, Myers'
 bit-parallel algorithm gives the least edit distance of the item to any substring of the hit's surroundings.
 
-Items come in blocks of at most BLOCK_CHARS characters (and the item that fills it), so an automaton is bounded; a worker builds it once
-for all its tasks. Each block is a pass over all documents: the work is the documents times the benchmark's size over BLOCK_CHARS, and
-the benchmark as a whole, a set of tests, passes the driver block by block.
+Items come in blocks of at most BLOCK_CHARS characters (and the item that fills it), so an automaton is bounded; PASS_BLOCKS blocks are
+one broadcast and one pass over the documents, in one Python worker a task. With a single block, texts stream through its automaton,
+which a worker builds once for all its tasks; with several, a task gathers texts up to GATHER_CHARS and takes one block's automaton after the
+other over them, so that only one is held (building one takes a tenth of the time of scanning that much). A benchmark beyond one pass is taken
+in several: all but the last are written to the shared folder and their broadcasts destroyed, so driver and executors hold one
+pass of it at a time.
 
 Defined cases: null, blank or symbol-only items match nothing; items of equal normalised text are all reported; items shorter
 than MIN_CHARS must occur exactly and as whole words; null and empty documents match nothing; a null id is returned as null;
@@ -16,6 +19,7 @@ repeated rows are reported each; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,11 +28,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, slices
+from .common import as_batch, id_and_text, written
 
 ERROR_RATE = 0.07
 MIN_CHARS = 24
 BLOCK_CHARS = 4 << 20
+PASS_BLOCKS = 8
+GATHER_CHARS = 32 << 20
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -127,52 +133,94 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 _indexes: dict[tuple, ItemIndex] = {}
 
 
-def _index(block: Broadcast, error_rate: float) -> ItemIndex:
-    """The block's automaton, built once in each worker process; only the last one is kept."""
-    key = (hash(tuple(block.value)), len(block.value), error_rate)
-    if key not in _indexes:
+def _index(key: str, block: list[tuple[int, str]], error_rate: float) -> ItemIndex:
+    """The block's automaton, kept by the worker process until another one is asked for."""
+    if (key, error_rate) not in _indexes:
         _indexes.clear()
-        _indexes[key] = ItemIndex(block.value, error_rate)
-    return _indexes[key]
-
-
-def _blocks(df: DataFrame, items: DataFrame) -> Iterator[Broadcast]:
-    """The items' blocks, each sent once to each executor: BLOCK_CHARS bounds them."""
-    for block in item_blocks(items):
-        yield df.sparkSession.sparkContext.broadcast(block)
+        _indexes[key, error_rate] = ItemIndex(block, error_rate)
+    return _indexes[key, error_rate]
+
+
+def _passes(df: DataFrame, items: DataFrame, block_chars: int, pass_blocks: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(the blocks of one pass with a digest each, whether it is the last), at most pass_blocks of block_chars characters in a broadcast."""
+    send, group = df.sparkSession.sparkContext.broadcast, []
+    for block in item_blocks(items, chars=block_chars):
+        if len(group) == pass_blocks:
+            yield send(group), False
+            group = []
+        group.append((hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest(), block))
+    if group:
+        yield send(group), True
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], at: int, chars: int) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+    """(slices of at most 512 rows, their texts in column `at` with null as empty): one slice, or as many as reach `chars` characters."""
+    parts, texts, size = [], [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            parts.append(batch.slice(start, 512))
+            new = [t or "" for t in parts[-1].column(at).to_pylist()]
+            texts += new
+            size += sum(map(len, new))
+            if size >= chars:
+                yield parts, texts
+                parts, texts, size = [], [], 0
+    if parts:
+        yield parts, texts
 
 
 SCHEMA = "doc_id long, item_id long, distance int, end_char long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end_char", pa.int64())])
 
 
-def contaminated(df: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(
+    df: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text",
+    block_chars: int = BLOCK_CHARS, pass_blocks: int = PASS_BLOCKS,
+) -> DataFrame:
     """doc_id, item_id, distance, end_char for each document and item found in it, the best match of each."""
     docs, out = id_and_text(df, id_col, text_col), None
-    for block in _blocks(df, items):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = _index(block, error_rate)
-            for ids, texts in slices(batches):
-                rows = [(d, *m) for d, t in zip(ids.to_pylist(), texts, strict=True) for m in index.matches(t)]
-                yield as_batch(_ARROW, *(zip(*rows, strict=True) if rows else [[]] * 4))
+    for shared, last in _passes(df, items, block_chars, pass_blocks):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = shared.value
+            for parts, texts in _gathered(batches, 1, GATHER_CHARS if len(blocks) > 1 else 0):
+                ids = [i for p in parts for i in p.column(0).to_pylist()]
+                for key, block in blocks:
+                    index = _index(key, block, error_rate)
+                    rows = [(d, *m) for d, t in zip(ids, texts, strict=True) for m in index.matches(t)]
+                    if rows:
+                        yield as_batch(_ARROW, *zip(*rows, strict=True))
 
         found = docs.mapInArrow(run, SCHEMA)
+        if not last:
+            found = written(found, "contaminated")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def keep_clean(df: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
+def keep_clean(
+    df: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text",
+    block_chars: int = BLOCK_CHARS, pass_blocks: int = PASS_BLOCKS,
+) -> DataFrame:
     """The rows of df, with all their columns, in which no item is found."""
     at = df.columns.index(text_col)
-    for block in _blocks(df, items):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = _index(block, error_rate)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    yield part.filter(pa.array([not index.matches(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
+    for shared, last in _passes(df, items, block_chars, pass_blocks):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks = shared.value
+            for parts, texts in _gathered(batches, at, GATHER_CHARS if len(blocks) > 1 else 0):
+                clean = [True] * len(texts)
+                for key, block in blocks:
+                    index = _index(key, block, error_rate)
+                    clean = [c and not index.matches(t) for c, t in zip(clean, texts, strict=True)]
+                start = 0
+                for part in parts:
+                    yield part.filter(pa.array(clean[start : start + part.num_rows], pa.bool_()))
+                    start += part.num_rows
 
         df = df.mapInArrow(run, df.schema)
+        if not last:
+            df = written(df, "clean")
+            shared.destroy()
     return df

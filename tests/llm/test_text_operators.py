@@ -201,6 +201,10 @@ def test_matches_equal_brute_force(docs, spark):
     assert got == want and any(want.values())
     clean = decontaminate.keep_clean(docs(rows), frame)
     assert sorted(x.doc_id or -1 for x in clean.collect()) == sorted(i or -1 for i, _ in rows if i not in {d for d, _ in want})
+    for blocks in (50, 2):  # several blocks in one pass, several passes
+        parts = {"block_chars": 150, "pass_blocks": blocks}
+        assert {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(docs(rows), frame, **parts).collect()} == want
+        assert sorted(x.doc_id or -1 for x in decontaminate.keep_clean(docs(rows), frame, **parts).collect()) == sorted(x.doc_id or -1 for x in clean.collect())
 
 
 def test_item_blocks(spark, docs):
