@@ -2,6 +2,7 @@
 
 import csv
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -86,6 +87,30 @@ def test_stream_equals_batch(spark, sf):
     assert got.agg(F.sum("n")).first()[0] == 2 * n
 
 
+def test_rate_limit_as_a_stream(spark, tmp_path):
+    """Requests out of order over several micro-batches, with ties, repeats, a null client and late ones, against a plain count."""
+    r, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(r.choice([1, 2, 3, None]), k, start + dt.timedelta(seconds=60 * k + r.choice([0, r.randrange(-5400, 5400)]))) for k in range(400)]
+    rows += [rows[7], (1, 900, rows[9][2]), (2, 901, None)]
+    rows.sort(key=lambda x: 10 if x[1] > 899 else x[1])
+    late = (1, 999, start)
+    files = [rows[:100], rows[100:200], rows[200:300], [*rows[300:], late], [(9, 1000, start + dt.timedelta(days=9))], [(9, 1001, start + dt.timedelta(days=9, seconds=5))]]
+    schema = "user_id long, event_id long, ts timestamp"
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/f{i}")
+        for f in (tmp_path / f"f{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    limits.state_in_rocksdb(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f*")
+    got = sorted((str(x.user_id), x.event_id, x.n, x.limited) for x in limits.drain(limits.rate_limited(stream, late="4 hours")).collect())
+    kept = [x for x in rows if x[2] is not None]
+    want = []
+    for user, event, ts in kept:
+        n = sum(u == user and ts - dt.timedelta(hours=1) <= at <= ts for u, _, at in kept)
+        want.append((str(user), event, n, n > 2))
+    assert got == sorted(want)
+
+
 def test_gold_build_is_what_the_service_reads(spark, sf, tmp_path):
     """One build of the served forecasts, read through the service; unknown commands."""
     from stocktide.__main__ import main
