@@ -7,7 +7,8 @@ for bytes because suffixes are compared far from their texts. Both are 64-bit po
 two strings count as equal if two such hashes of different bases are.
 
 Documents are dealt to batches of some BATCH bytes by the hash of doc_id, suffixes to buckets by their first fingerprint. In a
-bucket each new batch's array is merge-scanned against the levels of the family: suffixes that a level has only lower that
+bucket the batches' entries are put together to arrays of RUN entries, so that the work is that of the entries, however many batches
+they come from. Each new array is merge-scanned against the levels of the family: suffixes that a level has only lower that
 entry's least doc_id, the others become a level of their own, and levels of equal size merge, so that there are only
 logarithmically many. The scan of the whole family then tells each batch, in one byte a suffix, whether the stretch occurs in
 an earlier document, or the first fingerprint goes on differently elsewhere. Of the latter stretches every single window takes the same
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ K = 40
 BATCH = 4 << 20
 SAMPLE = 64 << 20  # bytes of documents in which crowded anchors are looked for
 CROWD = 16
+RUN = 1 << 16  # entries that a family takes in at once
+BUCKETS = 128  # up to so many there are as many buckets of stretches as batches, beyond that one for four
 _CHUNK = 1 << 20
 _NULLS = 1 << 62  # null ids come from here on
 _U = np.uint64
@@ -151,7 +155,7 @@ class Family:
         return place, (low < end) & (level[1][place] == span), count
 
     def add(self, key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> None:
-        """Takes in a batch's sorted distinct entries."""
+        """Takes in sorted distinct entries."""
         for level in self.levels:
             if not len(key):
                 return
@@ -166,7 +170,7 @@ class Family:
             self.levels.append(tuple(x[order] for x in both))
 
     def scan(self, key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """NEW, EARLIER or FORKED for each of a batch's entries, as uint8."""
+        """NEW, EARLIER or FORKED for each entry, as uint8."""
         least, count = doc.copy(), np.zeros(len(key), np.int64)
         for level in self.levels:
             place, there, n = self._find(level, key, span)
@@ -246,6 +250,12 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+def bucket_counts(batches: int) -> tuple[int, int]:
+    """Buckets of stretches and of windows: fewer than batches on large inputs, as each batch sends each bucket a row; windows can be as many as bytes."""
+    few = max(min(batches, BUCKETS), -(-batches // 4))
+    return few, min(batches, 2 * few)
+
+
 def _buckets(key: np.ndarray, span: np.ndarray, buckets: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(each entry's bucket: a range of keys, or for crowded ones of both fingerprints mixed; the order of dealing)."""
     mixed = np.where(np.isin(key, crowded), (key ^ span) * _MIX, key) if len(crowded) else key
@@ -253,30 +263,48 @@ def _buckets(key: np.ndarray, span: np.ndarray, buckets: int, crowded: np.ndarra
     return of, np.argsort(of, kind="stable")
 
 
+def _packed(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Binary values, one from each edge to the next."""
+    ends = np.append(edge, len(values)).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of binary values, one after another, and the place in them at which each value begins."""
+    whole = column.combine_chunks().cast(pa.binary())
+    if not len(whole):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    at = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    return np.frombuffer(whole.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind), (at[:-1] - at[0]) // np.dtype(kind).itemsize
+
+
 def _deal(batch: int, entries: tuple[np.ndarray, ...], buckets: int, crowded: np.ndarray) -> pa.Table:
     """Entries, sorted by key, cut into buckets in which they stay sorted."""
     of, order = _buckets(*entries[:2], buckets, crowded)
-    of, entries = of[order], tuple(x[order] for x in entries)
+    of = of[order]
     edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-    cut = lambda x: [x[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(of)][: len(edge)], strict=True)]
-    return pa.Table.from_batches([as_batch(_SENT, of[edge], np.full(len(edge), batch), *map(cut, entries))])
+    return pa.Table.from_batches([as_batch(_SENT, of[edge], np.full(len(edge), batch), *(_packed(x[order], edge) for x in entries))])
 
 
 def _joined(table: pa.Table, kind: int) -> np.ndarray:
     """A batch's flags of one kind, in the order in which its entries were dealt."""
-    rows = sorted((b, f) for k, b, f in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "flags")), strict=True) if k == kind)
-    return np.frombuffer(b"".join(f for _, f in rows), np.uint8)
+    return _unpacked(table.filter(pc.equal(table.column("kind"), kind)).sort_by("bucket").column("flags"), np.uint8)[0]
 
 
 def _scan_bucket(kind: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("batch").to_pylist(), *(table.column(c).to_pylist() for c in ("key", "span", "doc")), strict=True))
-        arrays = [(b, np.frombuffer(k, _U), np.frombuffer(s, _U), np.frombuffer(d, np.int64)) for b, k, s, d in rows]
-        family = Family()
-        for _, k, s, d in arrays:
-            family.add(k, s, d)
-        n = len(arrays)
-        return pa.Table.from_batches([as_batch(_FLAGS, [a[0] for a in arrays], [kind] * n, [key[0].as_py()] * n, [family.scan(*a[1:]).tobytes() for a in arrays])])
+        keys, edge = _unpacked(table.column("key"), _U)
+        spans, docs = _unpacked(table.column("span"), _U)[0], _unpacked(table.column("doc"), np.int64)[0]
+        family, orders, flags = Family(), [], np.empty(len(keys), np.uint8)
+        for at in range(0, len(keys), RUN):
+            order, first = suffix_array(keys[at : at + RUN], spans[at : at + RUN])
+            orders.append(order + at)
+            own = np.flatnonzero(first)
+            family.add(keys[orders[-1][own]], spans[orders[-1][own]], np.minimum.reduceat(docs[orders[-1]], own))
+        for order in orders:
+            flags[order] = family.scan(keys[order], spans[order], docs[order])
+        n = len(edge)
+        return pa.Table.from_batches([as_batch(_FLAGS, table.column("batch").combine_chunks(), np.full(n, kind), np.full(n, key[0].as_py()), _packed(flags, edge))])
 
     return run
 
@@ -304,6 +332,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = id_and_text(df, id_col, text_col)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // batch_bytes))
+    for_stretches, for_windows = bucket_counts(n)
     # rows of one id are one batch's; rows without one are dealt by the bytes that order them
     prefix = F.rpad(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 7), 7, F.lit(b"\0"))
     dealt = docs.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(prefix)).otherwise(F.xxhash64("doc_id")), F.lit(n)))
@@ -313,17 +342,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def index(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         batch = Batch(table)
         batch.index()
-        return _deal(key[0].as_py(), batch.entries(), n, crowded)
+        return _deal(key[0].as_py(), batch.entries(), for_stretches, crowded)
 
     def answered(table: pa.Table, answers: pa.Table) -> Batch:
         batch = Batch(table)
         batch.index()
-        _, order = _buckets(*batch.entries()[:2], n, crowded)
+        _, order = _buckets(*batch.entries()[:2], for_stretches, crowded)
         batch.apply(batch.settled(_joined(answers, 1), order, crowded))
         return batch
 
     def fork(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _deal(key[0].as_py(), answered(table, answers).window_entries(), n, none)
+        return _deal(key[0].as_py(), answered(table, answers).window_entries(), for_windows, none)
 
     def finish(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         rows = answered(table, answers).finish(_joined(answers, 2))

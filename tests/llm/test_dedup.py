@@ -94,6 +94,41 @@ def test_stretches_cut_at_chunks(monkeypatch):
     monkeypatch.setattr(suffix.Rolling, "_powers", {})
 
 
+def test_a_bucket_takes_in_its_entries_whatever_the_number_of_batches(monkeypatch):
+    """Many batches with a few entries each: as many steps of the family as the entries fill runs, and the answers of a dictionary."""
+    import pyarrow as pa
+
+    r, rows, best, ways = np.random.default_rng(2), [], {}, {}
+    for i in range(300):
+        key, span = np.unique(r.integers(0, 2000, 20, np.uint64)), r.integers(0, 3, 20, np.uint64)
+        entries = list(zip(key.tolist(), span.tolist(), r.integers(0, 1000, 20).tolist()))
+        rows.append((i, entries))
+        for k, s, d in entries:
+            best[k, s] = min(best.get((k, s), 1 << 60), d)
+            ways.setdefault(k, set()).add(s)
+    steps, add, scan = [], suffix.Family.add, suffix.Family.scan
+    monkeypatch.setattr(suffix, "RUN", 900, raising=False)
+    monkeypatch.setattr(suffix.Family, "add", lambda self, *x: steps.append(len(x[0])) or add(self, *x))
+    monkeypatch.setattr(suffix.Family, "scan", lambda self, *x: steps.append(len(x[0])) or scan(self, *x))
+    column = lambda j, kind: [np.array([e[j] for e in entries], kind).tobytes() for _, entries in rows]
+    table = pa.table({"bucket": [7] * 300, "batch": [i for i, _ in rows], "key": column(0, np.uint64), "span": column(1, np.uint64), "doc": column(2, np.int64)}, schema=suffix._SENT)
+    got = suffix._scan_bucket(2)((pa.scalar(7),), table.take(r.permutation(300))).to_pylist()
+    assert [(g["kind"], g["bucket"]) for g in got] == [(2, 7)] * 300
+    flag = lambda k, s, d: suffix.EARLIER if best[k, s] < d else suffix.FORKED if len(ways[k]) > 1 else suffix.NEW
+    assert {g["batch"]: list(g["flags"]) for g in got} == {i: [flag(*e) for e in entries] for i, entries in rows}
+    assert len(steps) <= 2 * (1 + sum(len(e) for _, e in rows) // 900)
+
+
+def test_repeats_with_fewer_buckets_than_batches(docs, monkeypatch):
+    """Each batch sends at most a row to each bucket; their numbers do not both follow the input."""
+    rows = _passages(5, 80)
+    monkeypatch.setattr(suffix, "BUCKETS", 3, raising=False)
+    got = suffix.remove_repeats(docs(rows), batch_bytes=1000).collect()
+    assert _key(map(tuple, got)) == _key(brute_repeats(rows))
+    n = -(-sum(len(t.encode()) for _, t in rows) // 1000)
+    assert n > 12 and suffix.bucket_counts(n) == (-(-n // 4), 2 * -(-n // 4)) and suffix.bucket_counts(2) == (2, 2)
+
+
 def test_family_levels_stay_geometric():
     r, family = np.random.default_rng(1), suffix.Family()
     best = {}
